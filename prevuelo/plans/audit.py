@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prevuelo.functions.wording import NO_DATA_ERROR
 from prevuelo.operators import candidates as keys
 from prevuelo.operators import enrichment, report, rows, score
 from prevuelo.operators.dossier import dossiers
 from prevuelo.operators.findings import findings, rule_status
 from prevuelo.operators.measure import column_facts, measure, row_facts
 from prevuelo.operators.samples import sample_values
+from prevuelo.sources.csv import read_csv
 from prevuelo.sources.frames import Frame
 from prevuelo.sources.shared import written
 
@@ -132,10 +135,31 @@ def audit(*frames: Frame, parse_errors: DataFrame | None = None, rejected: DataF
     return Audit(frames, written(measure(*frames), "facts"), parse_errors, rejected)
 
 
-def require_data(result: Audit, spark: SparkSession) -> Audit:
-    """Strict mode: raise when a frame kept no rows."""
-    from prevuelo.functions.wording import NO_DATA_ERROR
+def audit_csv(
+    spark: SparkSession,
+    path: str | list[str],
+    sep: str | None = None,
+    dataset_id: Callable[[Column], Column] | None = None,
+    max_bytes: int | None = None,
+) -> Audit:
+    """Audit every CSV file below ``path`` in one job, whatever their headers.
 
+    Files are read in groups of one header each; there are as many rounds as headers, and
+    each round looks only at the files that are left.
+    """
+    scans, left = [], path
+    while left:
+        scan = read_csv(spark, left, sep, dataset_id, max_bytes)
+        scans.append(scan)
+        left = [r.path for r in scan.files.filter("status = 'other_header'").collect()]
+    errors = reduce(DataFrame.unionByName, [s.parse_errors for s in scans])
+    refused = reduce(DataFrame.unionByName, [s.files for s in scans])
+    refused = refused.filter(~F.col("status").isin("accepted", "other_header")).drop("path")
+    return audit(*[s.frame for s in scans], parse_errors=errors, rejected=refused)
+
+
+def require_data(result: Audit) -> Audit:
+    """Strict mode: raise when a named frame kept no rows."""
     named = [f.name for f in result.frames if f.name is not None]
     present = {r.dataset_id for r in row_facts(result.facts).filter(F.col("dataset_id").isin(named)).collect()}
     empty = sorted(set(named) - present)
