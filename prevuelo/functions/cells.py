@@ -1,13 +1,14 @@
-"""Column expressions that look at one cell (or one cell and its header).
+"""SQL expressions that look at one cell.
 
-Every cell is text.  NULL is a *missing* cell; a present cell without a visible
-character is an *empty* cell; everything else is *usable*.
+Every cell is text.  NULL is a *missing* cell; a present cell without a visible character
+is an *empty* cell; everything else is *usable*.  The functions take and return SQL text:
+a frame repeats them for each of its columns, and one text is parsed in one go where a
+chain of Column calls would cross into the JVM for every operator.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from collections.abc import Iterable
 
 # The characters that count as white space.
 SPACE = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
@@ -56,37 +57,31 @@ LOOSE_DATE = _loose_date()
 CALENDAR_DATE = _calendar_date()
 
 
-def is_missing(cell: Column) -> Column:
-    return cell.isNull()
+def _matches(cell: str, pattern: str) -> str:
+    return f"{cell} RLIKE r'{pattern}'"
 
 
-def is_usable(cell: Column) -> Column:
+def is_usable(cell: str) -> str:
     """Present and with at least one visible character (never NULL)."""
-    return F.coalesce(cell.rlike(f"[^{SPACE}]"), F.lit(False))
+    return f"coalesce({_matches(cell, f'[^{SPACE}]')}, false)"
 
 
-def is_empty(cell: Column) -> Column:
+def is_empty(cell: str) -> str:
     """Present, but blank after trimming."""
-    return cell.isNotNull() & ~is_usable(cell)
+    return f"({cell} IS NOT NULL AND NOT {is_usable(cell)})"
 
 
-def trimmed(cell: Column) -> Column:
-    return F.regexp_replace(cell, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
-
-
-def value_kind(cell: Column) -> Column:
+def value_kind(cell: str) -> str:
     """boolean / number / date / string of a usable cell, as written (untrimmed)."""
     return (
-        F.when(cell.rlike(BOOLEAN), "boolean")
-        .when(cell.rlike(NUMBER), "number")
-        .when(cell.rlike(LOOSE_DATE), "date")
-        .otherwise("string")
+        f"CASE WHEN {_matches(cell, BOOLEAN)} THEN 'boolean' WHEN {_matches(cell, NUMBER)} THEN 'number'"
+        f" WHEN {_matches(cell, LOOSE_DATE)} THEN 'date' ELSE 'string' END"
     )
 
 
-def valid_date(cell: Column) -> Column:
+def valid_date(cell: str) -> str:
     """The trimmed cell is a real calendar date in an accepted layout."""
-    return cell.rlike(CALENDAR_DATE)
+    return _matches(cell, CALENDAR_DATE)
 
 
 # --- cell codes: everything the audit must know about a present cell, in one character ---
@@ -98,13 +93,12 @@ KINDS = {"boolean": [BOOL], "number": [NUM], "date": [DATE_OK, DATE_BAD], "strin
 NOT_A_VALID_DATE = [BOOL, NUM, DATE_BAD, TEXT]
 
 
-def cell_code(cell: Column) -> Column:
+def cell_code(cell: str) -> str:
     return (
-        F.when(~cell.rlike(f"[^{SPACE}]"), EMPTY)
-        .when(cell.rlike(BOOLEAN), BOOL)
-        .when(cell.rlike(NUMBER), NUM)
-        .when(cell.rlike(LOOSE_DATE), F.when(valid_date(cell), DATE_OK).otherwise(DATE_BAD))
-        .otherwise(F.when(valid_date(cell), TEXT_DATE_OK).otherwise(TEXT))
+        f"CASE WHEN NOT {_matches(cell, f'[^{SPACE}]')} THEN '{EMPTY}' WHEN {_matches(cell, BOOLEAN)} THEN '{BOOL}'"
+        f" WHEN {_matches(cell, NUMBER)} THEN '{NUM}'"
+        f" WHEN {_matches(cell, LOOSE_DATE)} THEN IF({valid_date(cell)}, '{DATE_OK}', '{DATE_BAD}')"
+        f" WHEN {valid_date(cell)} THEN '{TEXT_DATE_OK}' ELSE '{TEXT}' END"
     )
 
 
@@ -115,22 +109,25 @@ _DIGEST_BYTES = SHORT_BYTES + 1
 _ROW = "r"
 
 
-def cell_key(cell: Column) -> Column:
+def cell_key(cell: str) -> str:
     """Identity of a cell value in at most 65 bytes, with its code when it is long."""
     # a long text whose first character is no digit, sign or space needs no further look
-    plain = F.substring(cell, 1, 1).rlike(rf"[^{SPACE}0-9\-]")
-    code = F.when(plain, TEXT).otherwise(cell_code(cell))
-    return F.when(F.octet_length(cell) <= SHORT_BYTES, cell).when(
-        cell.isNotNull(), F.concat(code, F.sha2(cell.cast("binary"), 256))
+    plain = _matches(f"substring({cell}, 1, 1)", rf"[^{SPACE}0-9\-]")
+    return (
+        f"CASE WHEN octet_length({cell}) <= {SHORT_BYTES} THEN {cell} WHEN {cell} IS NOT NULL THEN"
+        f" concat(CASE WHEN {plain} THEN '{TEXT}' ELSE {cell_code(cell)} END, sha2({cell}, 256)) END"
     )
 
 
-def row_key(cells: list[Column]) -> Column:
+def row_key(cells: Iterable[str]) -> str:
     """Identity of a whole row; missing and empty cells differ, and no two cells can run together."""
-    parts = [F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in cells]
-    return F.concat(F.lit(_ROW), F.sha2(F.concat(*parts).cast("binary"), 256))
+    parts = ", ".join(f"coalesce(concat(octet_length({c}), ':', {c}), '-')" for c in cells)
+    return f"concat('{_ROW}', sha2(concat({parts}), 256))"
 
 
-def key_code(key: Column) -> Column:
+def key_code(key: str) -> str:
     """The code of the value behind a key; NULL for a missing cell, ``r`` for a row."""
-    return F.when(F.octet_length(key) == _DIGEST_BYTES, F.substring(key, 1, 1)).when(key.isNotNull(), cell_code(key))
+    return (
+        f"CASE WHEN octet_length({key}) = {_DIGEST_BYTES} THEN substring({key}, 1, 1)"
+        f" WHEN {key} IS NOT NULL THEN {cell_code(key)} END"
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from prevuelo.functions.cells import SPACE, trimmed
+from prevuelo.functions.cells import SPACE
 
 MAX_NAME_CHARS = 128
 REPORT_SUFFIX = "pipeline-risk-report.md"
@@ -13,8 +13,8 @@ REPORT_SUFFIX = "pipeline-risk-report.md"
 
 def table_cell(text: Column) -> Column:
     """Safe inside a Markdown table cell."""
-    one_line = F.replace(F.replace(text, F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(""))
-    return F.when(text == "", "—").otherwise(F.replace(one_line, F.lit("|"), F.lit(r"\|")))
+    one_line = F.translate(text, "\n\r", " ")
+    return F.when(text == "", "—").otherwise(F.regexp_replace(one_line, r"\|", r"\\|"))
 
 
 def markdown_text(text: Column) -> Column:
@@ -24,6 +24,10 @@ def markdown_text(text: Column) -> Column:
     return F.when(text == "", "—").otherwise(F.regexp_replace(marked, r"(?m)^(#+)", r"\\$1"))
 
 
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+
+
 def safe_name(name: Column) -> Column:
     """Column name as it may leave the company: first 128 characters, then letters, digits and hyphens only."""
     return F.regexp_replace(F.substring(name, 1, MAX_NAME_CHARS), r"[^a-zA-Z0-9-]", "")

@@ -82,13 +82,15 @@ SIZE_ERROR = "El archivo excede el tamaño máximo permitido ({limit} MB)."
 ENCODING_ERROR = (
     "El archivo no tiene codificación UTF-8 válida. Solo se soportan archivos en formato UTF-8."
 )
+NO_HEADERS_ERROR = "El archivo CSV no contiene encabezados válidos."
 NO_DATA_ERROR = "El archivo CSV no contiene datos (solo encabezados o filas vacías)."
 
 
 def fill(template: str, **values: Column) -> Column:
-    """The template with each ``{name}`` replaced by a column."""
+    """The template with each ``{name}`` replaced by a column (which must not be NULL)."""
     pieces = re.split(r"\{(\w+)\}", template)
-    return F.concat(*[values[p].cast("string") if i % 2 else F.lit(p) for i, p in enumerate(pieces) if p])
+    layout = "".join("%s" if i % 2 else p.replace("%", "%%") for i, p in enumerate(pieces))
+    return F.format_string(layout, *[values[p] for p in pieces[1::2]])
 
 
 def fill_by(code: Column, templates: dict[str, str], **values: Column) -> Column:

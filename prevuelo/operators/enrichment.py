@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prevuelo.functions import figures, text, wording
-from prevuelo.functions.cells import trimmed
+from prevuelo.functions.text import trimmed
 
 MAX_PAYLOAD_BYTES = 64 * 1024
 

@@ -9,6 +9,7 @@ whole rows travel as SHA-256 keys, so the width of a text does not reach the shu
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -27,21 +28,18 @@ ROW_POS = -1  # ``column_pos`` of the line that measures whole rows
 def _pairs(frame: Frame, base: int) -> DataFrame:
     """(file, pos, slot, key): one pair per cell, and slot ``base`` for the row."""
     slots = [str(base + 1 + i) for i in range(len(frame.columns))]
-    file = F.lit(None).cast("string") if frame.name is not None else F.col("dataset")
-    cells = [F.col(c) for c in frame.columns]
-    spread = frame.rows.select(
-        file.alias("file"), "pos", C.row_key(cells).alias(str(base)), *[c.alias(s) for c, s in zip(cells, slots)]
+    file = "CAST(NULL AS STRING)" if frame.name is not None else "dataset"
+    row = f"{C.row_key(frame.columns)} AS `{base}`"
+    spread = frame.rows.selectExpr(
+        f"{file} AS file", "pos", row, *[f"{c} AS `{s}`" for c, s in zip(frame.columns, slots)]
     ).unpivot(["file", "pos"], [str(base), *slots], "slot", "value")
     # the key is worked out behind the spread, so its code is compiled once and not per column
-    value = F.col("value")
-    return spread.select(
-        "file", "pos", "slot", F.when(F.col("slot") == str(base), value).otherwise(C.cell_key(value)).alias("key")
-    )
+    return spread.selectExpr("file", "pos", "slot", f"IF(slot = '{base}', value, {C.cell_key('value')}) AS key")
 
 
-def _literal_at(slot: Column, values: list, sql_type: str) -> Column:
+def _literal_at(values: list, sql_type: str) -> Column:
     """A per-column constant by slot number, folded into the plan (no join)."""
-    return F.get(F.array(*[F.lit(v).cast(sql_type) for v in values]), slot.cast("int"))
+    return F.get(F.from_json(F.lit(json.dumps(values)), f"array<{sql_type}>"), F.col("slot").cast("int"))
 
 
 def _inferred_type(kinds: Column) -> Column:
@@ -59,6 +57,9 @@ def measure(*frames: Frame) -> DataFrame:
     smallest of the first positions of the hash buckets of values (NULL: too few values to
     tell, look everywhere).
     """
+    named = [frame.name for frame in frames if frame.name is not None]
+    if len(set(named)) < len(named):
+        raise ValueError(f"datasets need names of their own: {sorted(named)}")
     pairs, names, datasets, positions = [], [], [], []
     for frame in frames:
         pairs.append(_pairs(frame, len(names)))
@@ -75,7 +76,7 @@ def measure(*frames: Frame) -> DataFrame:
         .select(
             "file",
             "slot",
-            C.key_code(F.col("key")).alias("code"),
+            F.expr(C.key_code("key")).alias("code"),
             F.pmod(F.xxhash64("key"), F.lit(_BUCKETS)).cast("int").alias("bucket"),
             "n",
             "first_pos",
@@ -105,11 +106,10 @@ def measure(*frames: Frame) -> DataFrame:
         # one position per bucket and code
         F.array_sort(F.collect_list(F.when(F.col("usable"), F.col("first_pos")))).alias("seen"),
     )
-    slot = F.col("slot")
     return per_column.select(
-        F.coalesce(F.col("file"), _literal_at(slot, datasets, "string")).alias("dataset_id"),
-        _literal_at(slot, positions, "int").alias("column_pos"),
-        _literal_at(slot, names, "string").alias("column_name"),
+        F.coalesce(F.col("file"), _literal_at(datasets, "string")).alias("dataset_id"),
+        _literal_at(positions, "int").alias("column_pos"),
+        _literal_at(names, "string").alias("column_name"),
         "row_count",
         "null_count",
         "empty_count",

@@ -25,8 +25,8 @@ def preview(frame: Frame) -> DataFrame:
             .drop("nth")
         )
         first = frame.rows.join(wanted, ["dataset", "pos"], "left_semi")
-    shown = [F.coalesce(F.col(c), F.lit("")).alias(h) for c, h in zip(frame.columns, frame.headers)]
-    return first.select(F.col("dataset").alias("dataset_id"), F.col("pos").alias("row_pos"), *shown)
+    shown = first.selectExpr("dataset", "pos", *[f"coalesce({c}, '') AS {c}" for c in frame.columns])
+    return shown.toDF("dataset_id", "row_pos", *frame.headers)
 
 
 def extra_copies(frame: Frame) -> DataFrame:
@@ -37,18 +37,16 @@ def extra_copies(frame: Frame) -> DataFrame:
     does not pile up in one task.  The rows themselves are joined back by key only where a
     key occurs more than once.
     """
-    keyed = frame.rows.withColumn("key", row_key([F.col(c) for c in frame.columns]))
+    keyed = frame.rows.withColumn("key", F.expr(row_key(frame.columns)))
     repeated = (
         keyed.groupBy("dataset", "key")
         .agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("copies"))
         .filter(F.col("copies") > 1)
         .select("dataset", "key", "first_pos")
     )
-    named = [F.col(c).alias(h) for c, h in zip(frame.columns, frame.headers)]
     return (
         keyed.join(repeated, ["dataset", "key"])
-        .filter(F.col("pos") > F.col("first_pos"))
-        .select(
-            F.col("dataset").alias("dataset_id"), F.col("pos").alias("row_pos"), F.col("first_pos"), *named
-        )
+        .filter("pos > first_pos")
+        .select("dataset", "pos", "first_pos", *frame.columns)
+        .toDF("dataset_id", "row_pos", "first_pos", *frame.headers)
     )

@@ -14,14 +14,14 @@ from prevuelo.sources.frames import Frame
 
 def _early_cells(frame: Frame, facts: DataFrame) -> DataFrame:
     """(dataset, pos, column_pos, value) of the usable cells up to the bound of their column."""
-    rows, bounds = frame.rows, column_facts(facts)
+    rows, bounds, slots = frame.rows, column_facts(facts), range(len(frame.columns))
     if frame.name is not None:
         # at most one line per header
         known = {
             r.column_pos: r.sample_bound
             for r in bounds.filter(F.col("dataset_id") == frame.name).select("column_pos", "sample_bound").collect()
         }
-        limits = [F.lit(known.get(i)).cast("long") for i in range(len(frame.columns))]
+        limits = [f"CAST({known.get(i) if known.get(i) is not None else 'NULL'} AS BIGINT)" for i in slots]
         if known and all(b is not None for b in known.values()):
             rows = rows.filter(F.col("pos") <= max(known.values()))
     else:
@@ -29,17 +29,16 @@ def _early_cells(frame: Frame, facts: DataFrame) -> DataFrame:
             F.map_from_entries(F.collect_list(F.struct("column_pos", "sample_bound"))).alias("bounds")
         )
         rows = rows.join(by_dataset, "dataset")
-        limits = [F.col("bounds")[F.lit(i)] for i in range(len(frame.columns))]
+        limits = [f"bounds[{i}]" for i in slots]
     early = [
-        F.when(is_usable(F.col(c)) & (limit.isNull() | (F.col("pos") <= limit)), F.col(c)).alias(str(i))
-        for i, (c, limit) in enumerate(zip(frame.columns, limits))
+        f"CASE WHEN {is_usable(c)} AND coalesce(pos <= {limit}, true) THEN {c} END AS `{i}`"
+        for i, c, limit in zip(slots, frame.columns, limits)
     ]
-    slots = [str(i) for i in range(len(early))]
     return (
-        rows.select("dataset", "pos", *early)
-        .unpivot(["dataset", "pos"], slots, "slot", "value")
-        .filter(F.col("value").isNotNull())
-        .select("dataset", "pos", F.col("slot").cast("int").alias("column_pos"), "value")
+        rows.selectExpr("dataset", "pos", *early)
+        .unpivot(["dataset", "pos"], [str(i) for i in slots], "slot", "value")
+        .filter("value IS NOT NULL")
+        .selectExpr("dataset", "pos", "CAST(slot AS INT) AS column_pos", "value")
     )
 
 

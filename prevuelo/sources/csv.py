@@ -61,7 +61,7 @@ def read_headers(spark: SparkSession, path: str, sep: str) -> list[str]:
     """Column names of a file, in order; names that repeat or are blank get Spark's replacement."""
     headers = spark.read.options(**_options(sep)).csv(path).columns
     if not headers:
-        raise ValueError("El archivo CSV no contiene encabezados válidos.")
+        raise ValueError(wording.NO_HEADERS_ERROR)
     return headers
 
 
@@ -83,10 +83,9 @@ def _records(spark: SparkSession, paths: list[str], width: int, sep: str, whole_
     return records.withColumn("tokens", F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1)
 
 
-def _cell(i: int) -> Column:
+def _cell(i: int) -> str:
     """Text of column ``i``: the reader's NULL is an empty cell where the line reaches that far."""
-    reached = F.col("bad").isNull() | (F.col("tokens") > i)
-    return F.coalesce(F.col(f"c{i}"), F.when(reached, F.lit("")))
+    return f"coalesce(c{i}, CASE WHEN bad IS NULL OR tokens > {i} THEN '' END)"
 
 
 def _parse_errors(records: DataFrame, width: int, dataset: Column) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prevuelo.functions.cells import is_usable
+from prevuelo.functions.wording import NO_HEADERS_ERROR
 
 
 @dataclass(frozen=True)
@@ -27,25 +28,21 @@ class Frame:
 
     def with_headers(self) -> DataFrame:
         """The rows under their own names, behind ``dataset_id`` and ``row_pos``."""
-        named = [F.col(c).alias(h) for c, h in zip(self.columns, self.headers)]
-        return self.rows.select(F.col("dataset").alias("dataset_id"), F.col("pos").alias("row_pos"), *named)
+        return self.rows.select("dataset", "pos", *self.columns).toDF("dataset_id", "row_pos", *self.headers)
 
 
-def make_frame(
-    rows: DataFrame, dataset: str | Column, pos: Column, cells: Sequence[Column], headers: Sequence[str]
-) -> Frame:
-    """Project ``rows`` to the frame layout and drop blank rows."""
+def make_frame(rows: DataFrame, dataset: str | Column, pos: Column, cells: Sequence[str], headers: Sequence[str]) -> Frame:
+    """Project ``rows`` to the frame layout and drop blank rows; ``cells`` are SQL expressions."""
     if not headers:
-        raise ValueError("El archivo CSV no contiene encabezados válidos.")
+        raise ValueError(NO_HEADERS_ERROR)
     one = isinstance(dataset, str)
     laid_out = rows.select(
         (F.lit(dataset) if one else dataset).alias("dataset"),
         pos.cast("long").alias("pos"),
-        *[cell.cast("string").alias(f"c{i}") for i, cell in enumerate(cells)],
+        *[F.expr(f"CAST({cell} AS STRING) AS c{i}") for i, cell in enumerate(cells)],
     )
-    cells = F.array(*[f"c{i}" for i in range(len(headers))])
-    kept = laid_out.filter(F.exists(cells, is_usable))
-    return Frame(kept, tuple(headers), dataset if one else None)
+    present = ", ".join(f"c{i}" for i in range(len(headers)))
+    return Frame(laid_out.filter(f"exists(array({present}), v -> {is_usable('v')})"), tuple(headers), dataset if one else None)
 
 
 def from_table(
@@ -62,4 +59,5 @@ def from_table(
     """
     names = list(columns or df.columns)
     where = F.monotonically_increasing_id() if pos is None else pos
-    return make_frame(df, dataset, where, [F.col(f"`{n}`") for n in names], names)
+    quoted = ["`" + n.replace("`", "``") + "`" for n in names]
+    return make_frame(df, dataset, where, quoted, names)
