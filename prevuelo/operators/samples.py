@@ -12,15 +12,22 @@ from prevuelo.operators.measure import SAMPLES, column_facts
 from prevuelo.sources.frames import Frame
 
 
-def _early_cells(frame: Frame, facts: DataFrame) -> DataFrame:
+def _known_bounds(frames: list[Frame], bounds: DataFrame) -> dict[str, dict[int, int | None]]:
+    """Bounds of the datasets known by name: one number per header of the job, fetched at once."""
+    names = [f.name for f in frames if f.name is not None]
+    known: dict[str, dict[int, int | None]] = {name: {} for name in names}
+    if names:
+        named = bounds.filter(F.col("dataset_id").isin(names)).select("dataset_id", "column_pos", "sample_bound")
+        for line in named.collect():
+            known[line.dataset_id][line.column_pos] = line.sample_bound
+    return known
+
+
+def _early_cells(frame: Frame, bounds: DataFrame, known_by_name: dict[str, dict[int, int | None]]) -> DataFrame:
     """(dataset, pos, column_pos, value) of the usable cells up to the bound of their column."""
-    rows, bounds, slots = frame.rows, column_facts(facts), range(len(frame.columns))
+    rows, slots = frame.rows, range(len(frame.columns))
     if frame.name is not None:
-        # at most one line per header
-        known = {
-            r.column_pos: r.sample_bound
-            for r in bounds.filter(F.col("dataset_id") == frame.name).select("column_pos", "sample_bound").collect()
-        }
+        known = known_by_name[frame.name]
         limits = [f"CAST({known.get(i) if known.get(i) is not None else 'NULL'} AS BIGINT)" for i in slots]
         if known and all(b is not None for b in known.values()):
             rows = rows.filter(F.col("pos") <= max(known.values()))
@@ -48,7 +55,9 @@ def first_values(frames: list[Frame], facts: DataFrame) -> DataFrame:
     ``facts`` must be stored: this is a second, pruned scan of the rows that lets through
     the few cells the bounds allow, instead of carrying whole texts through the big shuffle.
     """
-    early = reduce(DataFrame.unionByName, [_early_cells(f, facts) for f in frames])
+    bounds = column_facts(facts)
+    known = _known_bounds(frames, bounds)
+    early = reduce(DataFrame.unionByName, [_early_cells(f, bounds, known) for f in frames])
     firsts = early.groupBy("dataset", "column_pos", "value").agg(F.min("pos").alias("first_pos"))
     in_order = Window.partitionBy("dataset", "column_pos").orderBy("first_pos", "value")
     return (
