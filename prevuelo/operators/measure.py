@@ -54,8 +54,8 @@ def measure(*frames: Frame) -> DataFrame:
 
     ``unique_count`` of the -1 line is the number of distinct rows.  ``sample_bound`` is a
     position up to which a column surely shows its first ten distinct values: the tenth
-    smallest of the first positions of the hash buckets of values (NULL: too few values to
-    tell, look everywhere).
+    smallest of the first positions of its hash buckets of values or, when its values fill
+    fewer buckets, the first position of the value that shows up last.
     """
     named = [frame.name for frame in frames if frame.name is not None]
     if len(set(named)) < len(named):
@@ -86,6 +86,7 @@ def measure(*frames: Frame) -> DataFrame:
             F.sum("n").alias("cells"),
             F.count(F.lit(1)).alias("distinct"),
             F.min("first_pos").alias("first_pos"),
+            F.max("first_pos").alias("last_first_pos"),
         )
         .withColumn("usable", F.coalesce(code != C.EMPTY, F.lit(False)))
     )
@@ -105,6 +106,7 @@ def measure(*frames: Frame) -> DataFrame:
         cells_where(code.isin(C.NOT_A_VALID_DATE)).alias("invalid_date_count"),
         # one position per bucket and code
         F.array_sort(F.collect_list(F.when(F.col("usable"), F.col("first_pos")))).alias("seen"),
+        F.max(F.when(F.col("usable"), F.col("last_first_pos"))).alias("last_first_pos"),
     )
     return per_column.select(
         F.coalesce(F.col("file"), _literal_at(datasets, "string")).alias("dataset_id"),
@@ -116,7 +118,7 @@ def measure(*frames: Frame) -> DataFrame:
         "unique_count",
         _inferred_type(F.col("kinds")).alias("inferred_type"),
         "invalid_date_count",
-        F.get(F.col("seen"), F.lit(SAMPLES - 1)).alias("sample_bound"),
+        F.coalesce(F.get("seen", F.lit(SAMPLES - 1)), F.col("last_first_pos")).alias("sample_bound"),
     )
 
 

@@ -28,17 +28,21 @@ def _early_cells(frame: Frame, bounds: DataFrame, known_by_name: dict[str, dict[
     rows, slots = frame.rows, range(len(frame.columns))
     if frame.name is not None:
         known = known_by_name[frame.name]
-        limits = [f"CAST({known.get(i) if known.get(i) is not None else 'NULL'} AS BIGINT)" for i in slots]
-        if known and all(b is not None for b in known.values()):
-            rows = rows.filter(F.col("pos") <= max(known.values()))
+        # a column without a bound has no usable cell
+        limits = [str(known[i]) if known.get(i) is not None else "NULL" for i in slots]
+        last = max((b for b in known.values() if b is not None), default=-1)
     else:
         by_dataset = bounds.groupBy(F.col("dataset_id").alias("dataset")).agg(
             F.map_from_entries(F.collect_list(F.struct("column_pos", "sample_bound"))).alias("bounds")
         )
-        rows = rows.join(by_dataset, "dataset")
+        last = bounds.agg(F.max("sample_bound")).first()[0]
         limits = [f"bounds[{i}]" for i in slots]
+    # drops nearly all rows at the scan, before any join
+    rows = rows.filter(F.col("pos") <= (-1 if last is None else last))
+    if frame.name is None:
+        rows = rows.join(by_dataset, "dataset")
     early = [
-        f"CASE WHEN {is_usable(c)} AND coalesce(pos <= {limit}, true) THEN {c} END AS `{i}`"
+        f"CASE WHEN pos <= {limit} AND {is_usable(c)} THEN {c} END AS `{i}`"
         for i, c, limit in zip(slots, frame.columns, limits)
     ]
     return (

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +20,9 @@ from prevuelo.sources.csv import read_csv
 from prevuelo.sources.frames import Frame
 from prevuelo.sources.shared import written
 
+# Parse errors of a dataset that are gathered into one document at most.
+MAX_GATHERED_ERRORS = 10_000
+
 
 @dataclass(frozen=True)
 class Audit:
@@ -127,7 +130,21 @@ class Audit:
         )
 
     def reports(self, decisions: DataFrame | None = None, title: str = report.TITLE) -> DataFrame:
-        return report.report_documents(self.report_lines(decisions, title))
+        """(dataset_id, file_name, document): one whole text per dataset.
+
+        Everything in a report is bounded by the header except its parse errors.  Where there
+        are more than ``MAX_GATHERED_ERRORS`` of them the document is NULL and nothing is
+        gathered: ``write_reports(audit.report_lines(), path)`` writes such reports in full.
+        """
+        if self.parse_errors is None:
+            return report.report_documents(self.report_lines(decisions, title))
+        fits = F.col("parse_error_count") <= MAX_GATHERED_ERRORS
+        few = self.summary.filter(fits).select("dataset_id")
+        listed = replace(self, parse_errors=self.parse_errors.join(few, "dataset_id", "left_semi"))
+        documents = report.report_documents(listed.report_lines(decisions, title))
+        return documents.join(self.summary.select("dataset_id", fits.alias("fits")), "dataset_id").select(
+            "dataset_id", "file_name", F.when(F.col("fits"), F.col("document")).alias("document")
+        )
 
 
 def audit(*frames: Frame, parse_errors: DataFrame | None = None, rejected: DataFrame | None = None) -> Audit:

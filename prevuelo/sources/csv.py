@@ -17,7 +17,7 @@ from prevuelo.sources.frames import Frame, make_frame
 # Separators that are tried, in order of preference.
 SEPARATORS = [",", "\t", "|", ";", "\x1e", "\x1f"]
 _SAMPLE_LINES = 10
-_QUOTED = r'"(?:[^"]|"")*"'
+_QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'  # possessive: no backtracking, whatever the length of a cell
 
 # Messages about lines that do not fit the header, and about the separator.
 TOO_FEW = "Too few fields: expected {width} fields but parsed {tokens}"
@@ -53,6 +53,13 @@ def detect_separator(lines: list[str]) -> str | None:
     return min(scored)[3] if scored else None
 
 
+def _complete_line(sep: str) -> str:
+    """Pattern of a line that, begun outside quotes, also ends outside quotes."""
+    s = f"\\x{ord(sep):02x}"
+    field = rf'(?:{_QUOTED}|[^"{s}][^{s}]*+|)'
+    return rf"^(?:{field}{s})*+{field}\z"
+
+
 def _options(sep: str) -> dict[str, str]:
     return {"sep": sep, "quote": '"', "escape": '"', "header": "true", "encoding": "UTF-8", "maxCharsPerColumn": "-1"}
 
@@ -144,7 +151,7 @@ def read_csv(
     headers = read_headers(spark, admitted[0], used)
 
     whole, split = [], []
-    for r in inspect_text(spark, admitted, head[0]).collect():
+    for r in inspect_text(spark, admitted, head[0], _complete_line(used)).collect():
         if not r.valid_utf8:
             refused.append((r.path, "encoding", wording.ENCODING_ERROR))
         elif not r.same_header:

@@ -51,6 +51,22 @@ def test_quoted_line_end_and_blank_lines(spark, write):
     ]
 
 
+def test_stray_and_long_quotes(spark, write):
+    cell = 'dice ""hola"" ' * 3000
+    path = write("q.csv", 'id,medida\n1,5" tubo\n2,"' + cell + '"\n3,x"y"z\n')
+    scan = read_csv(spark, path)
+    assert cells(scan) == [("1", '5" tubo'), ("2", 'dice "hola" ' * 3000), ("3", 'x"y"z')]
+    assert errors(scan) == []
+    from prevuelo.sources.csv import _complete_line
+    from prevuelo.sources.files import inspect_text
+
+    assert not inspect_text(spark, [path], "id,medida", _complete_line(",")).first().whole_file
+    torn = write("torn.csv", 'id,medida\n1,"a\nb"\n' + '2,"' + cell + '\n')
+    assert inspect_text(spark, [torn], "id,medida", _complete_line(",")).first().whole_file
+    long = read_csv(spark, write("short.csv", 'id,a,b\n1,"' + cell + '"\n2,x,y\n'))
+    assert errors(long) == [(0, "Too few fields: expected 3 fields but parsed 2")]
+
+
 def test_trailing_newline_is_no_row(spark, write):
     scan = read_csv(spark, write("t.csv", "id,nombre\n1,Alice\n2,Bob\n3,Carol\n"))
     assert len(cells(scan)) == 3 and errors(scan) == []

@@ -84,6 +84,16 @@ def test_clean_dataset(spark, text_frame):
     assert "- **Puntaje bruto (sin límite):** 0\n\n\n## Hallazgos detectados" in document
 
 
+def test_very_many_errors_are_not_gathered(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text("id,x\n1,2\n3,4\n" + "7\n" * 3)
+    (tmp_path / "b.csv").write_text("id,x\n1,2\n3\n")
+    a = audit_csv(spark, str(tmp_path), sep=",", dataset_id=file_name)
+    monkeypatch.setattr("prevuelo.plans.audit.MAX_GATHERED_ERRORS", 2)
+    documents = {r.dataset_id: r.document for r in a.reports().collect()}
+    assert documents["a.csv"] is None and "  - Fila 1: Too few" in documents["b.csv"]
+    assert a.report_lines().filter("line LIKE '  - Fila%'").count() == 4
+
+
 def test_written_reports_hold_parse_errors(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
