@@ -16,7 +16,7 @@ from prevuelo.sources.frames import from_table
 from prevuelo.sources.shared import written
 
 POOL = [None, "", "  ", " ", "a", "A", "a ", "42", "-1.5", "true", "2024-01-15", "15/01/2024", "2024-02-30",
-        "largo " * 100, "largo " * 100 + "!", "7" * 90, " " * 90, "x" * 64, "x" * 65]
+        "largo " * 100, "largo " * 100 + "!", "7" * 90, " " * 90, "x" * 44, "x" * 45]
 VALID = re.compile(r"\s*(2024-01-15|15/01/2024)\s*")
 
 
