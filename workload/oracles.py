@@ -321,8 +321,8 @@ def file_name(x: str) -> str:
     return f"CASE WHEN {stem} = '' THEN 'pipeline-risk-report.md' ELSE {stem} || '-pipeline-risk-report.md' END"
 
 
-def documents(view: View) -> str:
-    """Whole Markdown reports, every candidate confirmed."""
+def documents(view: View, confirmed: bool = True) -> str:
+    """Whole Markdown reports, every candidate confirmed or none."""
     nl = "chr(10)"
     label = lambda code, labels: f"CASE {code} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.items()) + " END"
     severity = label("severity", wording.SEVERITY_LABEL)
@@ -374,7 +374,7 @@ problems AS (SELECT dataset_id, count(*) AS hits, string_agg({finding}, {nl} ORD
   string_agg('| ' || {cell('finding_id')} || ' | ' || {severity} || ' | +' || {_WEIGHT} || ' puntos |', {nl}
     ORDER BY {_RANKED}) AS breakdown_lines FROM findings GROUP BY dataset_id),
 keys AS (SELECT dataset_id, string_agg({candidate}, {nl} ORDER BY {_LISTING}) AS candidate_blocks
-  FROM candidates GROUP BY dataset_id)
+  FROM candidates WHERE {str(confirmed).lower()} GROUP BY dataset_id)
 SELECT dataset_id, {file_name('dataset_id')} AS file_name, {document} AS document
 FROM totals JOIN scores USING (dataset_id) JOIN profiles USING (dataset_id) LEFT JOIN problems USING (dataset_id)
 LEFT JOIN keys USING (dataset_id)"""
@@ -428,13 +428,16 @@ def _contract() -> str:
     return f"SELECT o_orderkey, CASE o_orderkey % {len(Q.CONTRACT_CASES)} {cases} END AS error FROM orders"
 
 
-def _csv_view() -> View:
+def _csv_view(by_batch: bool = False) -> View:
     kept = []
     for j in range(3):
         branches = " ".join(f"WHEN {i} THEN {cells[j]}" for i, (_, cells) in enumerate(Q.CSV_LINES))
         kept.append(f"CASE o_orderkey % {len(Q.CSV_LINES)} {branches} END")
     headers = Q.CSV_HEADER.split(",")
-    return View("orders", "orders", dict(zip(headers, ["CAST(o_orderkey AS STRING)", *kept])))
+    cells = dict(zip(headers, ["CAST(o_orderkey AS STRING)", *kept]))
+    if by_batch:
+        return View("orders", f"'lote-' || {Q.CSV_BATCH}", cells, many=True)
+    return View("orders", "orders", cells)
 
 
 _CSV_ERRORS = """SELECT 'orders' AS dataset_id, message, count(*) AS errors FROM (
@@ -471,6 +474,9 @@ ORACLES: dict[str, str] = {
     "duplicate_rows_events": _DUPLICATE_ROWS,
     "rule_status": _rule_status(V.DIRTY_ORDERS, V.DIRTY_PART, V.plain("lineitem"), V.plain("events")),
     "key_candidates": candidates(*V.ALL_TABLES, V.DIRTY_ORDERS, V.SUPPLIERS) + " SELECT * FROM candidates",
+    "candidate_listing": f"""{candidates(*V.ALL_TABLES, V.DIRTY_ORDERS, V.SUPPLIERS)}
+SELECT dataset_id, row_number() OVER (PARTITION BY dataset_id ORDER BY {_LISTING}) AS nth, column_name, confidence
+FROM candidates""",
     "candidate_evidence": f"""{candidates(*V.ALL_TABLES)}
 SELECT dataset_id, count(column_name) AS candidate_count, count(column_name) = 0 AS insufficient_evidence,
   CASE WHEN count(column_name) = 0 THEN '{wording.NO_CANDIDATES}' END AS message
@@ -492,6 +498,9 @@ SELECT dataset_id, rule_pos, column_pos, finding_id, severity, ({_WEIGHT})::BIGI
     "offline_explanations": offline(V.SUPPLIERS),
     "merged_explanations": merged(V.SUPPLIERS),
     "executive_summaries": summaries(V.SUPPLIERS),
+    "ignored_answers": f"""{findings(V.SUPPLIERS)}
+SELECT 'supplier-' || (substr(dataset_id, 10)::BIGINT + 1) AS dataset_id, finding_id AS answer_key FROM findings
+EXCEPT SELECT dataset_id, finding_id FROM findings""",
     "markdown_escapes": f"SELECT doc_id, {markdown('text')} AS paragraph, {cell('text')} AS cell FROM documents",
     "html_escapes": f"SELECT page_id, {markdown('html')} AS paragraph FROM pages",
     "report_names": f"""SELECT page_id, {file_name('(' + _PAGE_NAME + ')')} AS file_name,
@@ -502,7 +511,10 @@ SELECT dataset_id, rule_pos, column_pos, finding_id, severity, ({_WEIGHT})::BIGI
     WHEN strlen(html) > 2048 THEN '{wording.SIZE_ERROR.format(limit='0.00195312')}' END AS error FROM pages""",
     "csv_profile": _profile(_csv_view()),
     "csv_parse_errors": _CSV_ERRORS,
+    "csv_batch_scores": scores(_csv_view(by_batch=True)) + " SELECT * FROM scores",
     "encoding_verdicts": """SELECT source, regexp_extract(source, '([0-9]+)', 1)::INT % 3 <> 0 AS valid_utf8
   FROM documents GROUP BY source""",
     "report_documents": documents(V.SUPPLIERS),
+    "report_lines": f"""SELECT dataset_id, generate_subscripts(string_split(document, chr(10)), 1) AS line_no,
+  unnest(string_split(document, chr(10))) AS line FROM ({documents(V.SUPPLIERS, confirmed=False)})""",
 }

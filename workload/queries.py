@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prevuelo.functions import cells, text
 from prevuelo.operators import candidates as keys
 from prevuelo.operators import enrichment, rows, score
-from prevuelo.operators.dossier import dossiers
 from prevuelo.operators.findings import findings, rule_status
-from prevuelo.operators.measure import column_facts, measure, row_facts
+from prevuelo.operators.measure import column_facts, measure
 from prevuelo.operators.samples import first_values
-from prevuelo.plans.audit import audit
+from prevuelo.plans.audit import audit, audit_csv
 from prevuelo.sources.csv import read_csv
 from prevuelo.sources.files import admit, inspect_text, list_files
 from prevuelo.sources.shared import shared_path, written
@@ -299,16 +298,19 @@ CSV_LINES = [
 ]
 
 
+CSV_BATCH = "substr(o_orderpriority, 1, 1)"
+
+
 def _write_csv(spark: SparkSession, sf: str) -> str:
-    """All orders as raw CSV lines, each file under the same header."""
+    """All orders as raw CSV lines under one header, in a folder per priority."""
     branches = " ".join(f"WHEN {i} THEN {line}" for i, (line, _) in enumerate(CSV_LINES))
     V.load(spark, sf, "orders").createOrReplaceTempView("orders")
-    lines = spark.sql(f"SELECT CASE o_orderkey % {len(CSV_LINES)} {branches} END AS `{CSV_HEADER}` FROM orders")
+    lines = spark.sql(f"SELECT CASE o_orderkey % {len(CSV_LINES)} {branches} END AS `{CSV_HEADER}`, {CSV_BATCH} AS batch FROM orders")
     path = shared_path(spark, "orders-csv")
     # one column and no quoting: the writer puts down header and lines as they are
     raw = {"header": "true", "sep": "\x01", "quote": "", "emptyValue": "", "escapeQuotes": "false",
            "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
-    lines.write.options(**raw).csv(path)
+    lines.write.options(**raw).partitionBy("batch").csv(path)
     return path
 
 
@@ -322,6 +324,12 @@ def csv_parse_errors(spark, sf):
     return scan.parse_errors.groupBy("dataset_id", "message").agg(F.count(F.lit(1)).alias("errors"))
 
 
+def csv_batch_scores(spark, sf):
+    """Risk of each folder of CSV files, audited in one job."""
+    batch = lambda p: F.concat(F.lit("lote-"), F.regexp_extract(p, "batch=([^/]+)/", 1))
+    return audit_csv(spark, _write_csv(spark, sf), dataset_id=batch).scores
+
+
 def encoding_verdicts(spark, sf):
     """Documents written out by source, the text of every third source with a bad byte at its end."""
     docs = V.load(spark, sf, "documents")
@@ -343,9 +351,29 @@ def report_documents(spark, sf):
 
 
 def report_lines(spark, sf):
-    """Report lines of every table, without gathering them."""
-    result = audit(*[V.frame(spark, sf, v) for v in V.ALL_TABLES])
-    return result.report_lines().select("dataset_id", F.to_json("place").alias("place"), "line")
+    """Numbered report lines of every supplier, nothing confirmed."""
+    lines = audit(V.frame(spark, sf, V.SUPPLIERS)).report_lines()
+    in_order = Window.partitionBy("dataset_id").orderBy("place")
+    return lines.select("dataset_id", F.row_number().over(in_order).alias("line_no"), "line")
+
+
+def candidate_listing(spark, sf):
+    """Candidates of every table and supplier in their listing order."""
+    suggested = _candidates(*V.ALL_TABLES, V.DIRTY_ORDERS, V.SUPPLIERS)(spark, sf)
+    in_order = Window.partitionBy("dataset_id").orderBy(*keys.listing_order())
+    return suggested.select("dataset_id", F.row_number().over(in_order).alias("nth"), "column_name", "confidence")
+
+
+def ignored_answers(spark, sf):
+    """Every supplier is sent the answer about the one before it: what names no finding of its own."""
+    result = audit(V.frame(spark, sf, V.SUPPLIERS))
+    following = F.substring_index("dataset_id", "-", -1).cast("bigint") + 1
+    entries = F.transform("findings", lambda f: F.struct(F.concat(F.lit(" "), f["finding_id"]).alias("findingId")))
+    answers = result.dossiers.select(
+        F.concat(F.lit("supplier-"), following).alias("dataset_id"),
+        F.to_json(F.struct(entries.alias("explanations"))).alias("answer"),
+    )
+    return enrichment.ignored_answers(result.findings, answers).select("dataset_id", "answer_key")
 
 
 def audit_summary(spark, sf):
@@ -374,6 +402,7 @@ QUERIES: dict[str, Query] = {
     "duplicate_rows_events": duplicate_rows,
     "rule_status": _rule_status(V.DIRTY_ORDERS, V.DIRTY_PART, V.plain("lineitem"), V.plain("events")),
     "key_candidates": _candidates(*V.ALL_TABLES, V.DIRTY_ORDERS, V.SUPPLIERS),
+    "candidate_listing": candidate_listing,
     "candidate_evidence": candidate_evidence,
     "candidate_decisions": candidate_decisions,
     "risk_scores": _scores(*V.ALL_TABLES),
@@ -388,12 +417,14 @@ QUERIES: dict[str, Query] = {
     "offline_explanations": offline_explanations,
     "merged_explanations": merged_explanations,
     "executive_summaries": executive_summaries,
+    "ignored_answers": ignored_answers,
     "markdown_escapes": markdown_escapes,
     "html_escapes": html_escapes,
     "report_names": report_names,
     "file_admission": admissions,
     "csv_profile": csv_profile,
     "csv_parse_errors": csv_parse_errors,
+    "csv_batch_scores": csv_batch_scores,
     "encoding_verdicts": encoding_verdicts,
     "report_documents": report_documents,
     "report_lines": report_lines,
