@@ -41,8 +41,10 @@ def make_frame(rows: DataFrame, dataset: str | Column, pos: Column, cells: Seque
         pos.cast("long").alias("pos"),
         *[F.expr(f"CAST({cell} AS STRING) AS c{i}") for i, cell in enumerate(cells)],
     )
-    present = ", ".join(f"c{i}" for i in range(len(headers)))
-    return Frame(laid_out.filter(f"exists(array({present}), v -> {is_usable('v')})"), tuple(headers), dataset if one else None)
+    # the first cell mostly settles it; the others are worked out only for rows where it is blank
+    others = ", ".join(f"c{i}" for i in range(1, len(headers)))
+    kept = is_usable("c0") + (f" OR exists(array({others}), v -> {is_usable('v')})" if others else "")
+    return Frame(laid_out.filter(kept), tuple(headers), dataset if one else None)
 
 
 def from_table(
