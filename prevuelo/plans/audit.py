@@ -16,7 +16,7 @@ from prevuelo.operators.dossier import dossiers
 from prevuelo.operators.findings import findings, rule_status
 from prevuelo.operators.measure import column_facts, measure, row_facts
 from prevuelo.operators.samples import sample_values
-from prevuelo.sources.csv import read_csv
+from prevuelo.sources.csv import first_refusal, read_group
 from prevuelo.sources.frames import Frame
 from prevuelo.sources.shared import written
 
@@ -166,13 +166,16 @@ def audit_csv(
     """
     scans, left = [], path
     while left:
-        scan = read_csv(spark, left, sep, dataset_id, max_bytes)
+        scan = read_group(spark, left, sep, dataset_id, max_bytes)
         scans.append(scan)
         left = [r.path for r in scan.files.filter("status = 'other_header'").collect()]
+    frames = [s.frame for s in scans if s.frame is not None]
+    if not frames:
+        raise ValueError(first_refusal(scans[0]))
     errors = reduce(DataFrame.unionByName, [s.parse_errors for s in scans])
     refused = reduce(DataFrame.unionByName, [s.files for s in scans])
     refused = refused.filter(~F.col("status").isin("accepted", "other_header")).drop("path")
-    return audit(*[s.frame for s in scans], parse_errors=errors, rejected=refused)
+    return audit(*frames, parse_errors=errors, rejected=refused)
 
 
 def require_data(result: Audit) -> Audit:

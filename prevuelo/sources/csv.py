@@ -31,7 +31,7 @@ class CsvScan:
     """``frame`` over the accepted files, their ``parse_errors`` (dataset_id, row, message) and
     ``files`` (path, dataset_id, status, error): accepted, or why not."""
 
-    frame: Frame
+    frame: Frame | None
     parse_errors: DataFrame
     files: DataFrame
 
@@ -121,49 +121,48 @@ def _parse_errors(records: DataFrame, width: int, dataset: Column) -> DataFrame:
     )
 
 
-def read_csv(
+def read_group(
     spark: SparkSession,
     path: str | list[str],
     sep: str | None = None,
     dataset_id: Callable[[Column], Column] | None = None,
     max_bytes: int | None = None,
 ) -> CsvScan:
-    """All CSV files below ``path`` that share the header of the first admissible one.
+    """The CSV files below ``path`` that share the header of the first admissible one.
 
     Every file is a dataset of its own, named by ``dataset_id`` from its path (the path itself
     by default).  Files are split over tasks; only those in which a quoted cell may run over a
     line end are read in one piece.  Files with bad bytes or another header are not read; they
-    are listed in ``files``.
+    are listed in ``files``.  ``frame`` is None when no file can be read.
     """
-    name = dataset_id or (lambda p: p)
-    listed = admit(list_files(spark, path), max_bytes)
+    dataset = (dataset_id or (lambda p: p))(F.col("path"))
     # paths only: the file index keeps them on the driver anyway
-    refused = [(r.path, r.status, r.error) for r in listed.filter("status != 'admitted'").collect()]
-    admitted = sorted(r.path for r in listed.filter("status = 'admitted'").collect())
-    if not admitted:
-        raise ValueError(refused[0][2] if refused else wording.EMPTY_FILE_ERROR)
-
-    head = first_lines(spark, admitted[0])
-    if not head:
-        raise ValueError(wording.NO_DATA_ERROR)
-    found = sep or detect_separator(head)
-    used = found or ","
-    headers = read_headers(spark, admitted[0], used)
-
-    whole, split = [], []
-    for r in inspect_text(spark, admitted, head[0], _complete_line(used)).collect():
-        if not r.valid_utf8:
-            refused.append((r.path, "encoding", wording.ENCODING_ERROR))
-        elif not r.same_header:
-            refused.append((r.path, "other_header", None))
-        else:
-            (whole if r.whole_file else split).append(r.path)
-    if not whole and not split:
-        raise ValueError(refused[0][2] or wording.NO_DATA_ERROR)
+    listed = admit(list_files(spark, path), max_bytes).collect()
+    verdicts = [(r.path, r.status, r.error) for r in listed if r.status != "admitted"]
+    admitted = sorted(r.path for r in listed if r.status == "admitted")
+    whole, split, found, headers = [], [], sep, []
+    head = first_lines(spark, admitted[0]) if admitted else []
+    if head:
+        found = sep or detect_separator(head)
+        headers = read_headers(spark, admitted[0], found or ",")
+        for r in inspect_text(spark, admitted, head[0], _complete_line(found or ",")).collect():
+            if not r.valid_utf8:
+                verdicts.append((r.path, "encoding", wording.ENCODING_ERROR))
+            elif not r.same_header:
+                verdicts.append((r.path, "other_header", None))
+            else:
+                (whole if r.whole_file else split).append(r.path)
+    elif admitted:
+        verdicts.append((admitted[0], "no_data", wording.NO_DATA_ERROR))
+        verdicts += [(p, "other_header", None) for p in admitted[1:]]
+    accepted = [(p, "accepted", None) for p in sorted(whole + split)]
+    files = spark.createDataFrame(verdicts + accepted, "path string, status string, error string")
+    files = files.select("path", dataset.alias("dataset_id"), "status", "error")
+    if not accepted:
+        return CsvScan(None, spark.createDataFrame([], "dataset_id string, row bigint, message string"), files)
 
     width = len(headers)
-    parts = [_records(spark, sorted(p), width, used, one) for p, one in [(split, False), (whole, True)] if p]
-    dataset = name(F.col("path"))
+    parts = [_records(spark, sorted(p), width, found or ",", one) for p, one in [(split, False), (whole, True)] if p]
     frames = [
         make_frame(
             records,
@@ -175,18 +174,33 @@ def read_csv(
         for records in parts
     ]
     errors = reduce(DataFrame.unionByName, [_parse_errors(r, width, dataset) for r in parts])
-    accepted = [(p, "accepted", None) for p in sorted(whole + split)]
-    files = spark.createDataFrame(refused + accepted, "path string, status string, error string")
     if found is None:
         # a lone column leaves nothing to detect in any file; else only the sampled file is known
         lone = F.col("path") == admitted[0] if width > 1 else F.lit(True)
-        undetected = files.filter((F.col("status") == "accepted") & lone).select(
-            dataset.alias("dataset_id"), F.lit(None).cast("bigint").alias("row"), F.lit(NO_SEPARATOR).alias("message")
+        undetected = files.filter((F.col("status") == "accepted") & lone)
+        errors = errors.unionByName(
+            undetected.select(
+                "dataset_id", F.lit(None).cast("bigint").alias("row"), F.lit(NO_SEPARATOR).alias("message")
+            )
         )
-        errors = errors.unionByName(undetected)
     rows = reduce(DataFrame.unionByName, [f.rows for f in frames])
-    return CsvScan(
-        Frame(rows, tuple(headers), None),
-        errors,
-        files.select("path", dataset.alias("dataset_id"), "status", "error"),
-    )
+    return CsvScan(Frame(rows, tuple(headers), None), errors, files)
+
+
+def read_csv(
+    spark: SparkSession,
+    path: str | list[str],
+    sep: str | None = None,
+    dataset_id: Callable[[Column], Column] | None = None,
+    max_bytes: int | None = None,
+) -> CsvScan:
+    """``read_group``, but an error when there is nothing to read."""
+    scan = read_group(spark, path, sep, dataset_id, max_bytes)
+    if scan.frame is None:
+        raise ValueError(first_refusal(scan))
+    return scan
+
+
+def first_refusal(scan: CsvScan) -> str:
+    refused = scan.files.filter("error IS NOT NULL").orderBy("path").first()
+    return refused.error if refused else wording.NO_DATA_ERROR

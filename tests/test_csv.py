@@ -123,6 +123,17 @@ def test_folder_of_all_sorts(spark, write, tmp_path):
     assert [(r.row, r.message) for r in lone] == [(None, "Unable to auto-detect delimiting character; defaulted to ','")]
 
 
+def test_bad_files_do_not_end_the_job(spark, write, tmp_path):
+    write("a.csv", b"caf\xe9,x\n1,2\n")
+    write("b.csv", "\n\n")
+    write("c.csv", "id,status\n1,x\n")
+    a = audit_csv(spark, str(tmp_path), dataset_id=file_name)
+    assert {r.dataset_id: r.status for r in a.rejected.collect()} == {"a.csv": "encoding", "b.csv": "no_data"}
+    assert [(r.dataset_id, r.row_count) for r in a.summary.collect()] == [("c.csv", 1)]
+    with pytest.raises(ValueError, match="UTF-8"):
+        audit_csv(spark, str(tmp_path / "a.csv"))
+
+
 def test_refusals(spark, write):
     with pytest.raises(ValueError, match="vacío"):
         read_csv(spark, write("e.csv", ""))
