@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from prevuelo.functions.cells import row_key
 from prevuelo.sources.frames import Frame
+from prevuelo.sources.shared import written
 
 PREVIEW_ROWS = 10
 
@@ -16,15 +17,13 @@ def preview(frame: Frame) -> DataFrame:
     if frame.name is not None:
         first = frame.rows.orderBy("pos").limit(PREVIEW_ROWS)
     else:
-        # find the ten positions on two narrow columns, then fetch only those rows
+        # find the ten positions on two narrow columns and store them; then fetch only those rows
         in_order = Window.partitionBy("dataset").orderBy("pos")
-        wanted = (
-            frame.rows.select("dataset", "pos")
-            .withColumn("nth", F.row_number().over(in_order))
-            .filter(F.col("nth") <= PREVIEW_ROWS)
-            .drop("nth")
-        )
-        first = frame.rows.join(wanted, ["dataset", "pos"], "left_semi")
+        nth = frame.rows.select("dataset", "pos", F.row_number().over(in_order).alias("nth"))
+        wanted = written(nth.filter(F.col("nth") <= PREVIEW_ROWS).drop("nth"), "preview")
+        last = wanted.agg(F.max("pos")).first()[0]
+        early = frame.rows.filter(F.col("pos") <= (-1 if last is None else last))
+        first = early.join(wanted, ["dataset", "pos"], "left_semi")
     shown = first.selectExpr("dataset", "pos", *[f"coalesce({c}, '') AS {c}" for c in frame.columns])
     return shown.toDF("dataset_id", "row_pos", *frame.headers)
 
@@ -32,10 +31,9 @@ def preview(frame: Frame) -> DataFrame:
 def extra_copies(frame: Frame) -> DataFrame:
     """Every row that repeats an earlier row of its dataset, with the position it repeats.
 
-    Only (row key, position) pairs are grouped; equal rows are counted and their first
-    position found with partial aggregation, so a row that fills a third of the table
-    does not pile up in one task.  The rows themselves are joined back by key only where a
-    key occurs more than once.
+    Equal rows are counted, and their first position found, on (row key, position) pairs
+    with partial aggregation.  The rows are joined back to the repeated keys, one line per
+    key; the adaptive skew join splits a key that fills a third of the table.
     """
     keyed = frame.rows.withColumn("key", F.expr(row_key(frame.columns)))
     repeated = (

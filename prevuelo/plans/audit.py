@@ -162,7 +162,8 @@ def audit_csv(
     """Audit every CSV file below ``path`` in one job, whatever their headers.
 
     Files are read in groups of one header each; there are as many rounds as headers, and
-    each round looks only at the files that are left.
+    each round looks only at the files that are left.  ``dataset_id`` may put several files
+    into one dataset as long as they share a header.
     """
     scans, left = [], path
     while left:
