@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,7 +15,7 @@ def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path below ``spark.checkpoint.dir``; local sessions without one get a temporary folder."""
     root = spark.conf.get(_DIR, None)
     if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
             raise ValueError(f"set {_DIR} to a folder that all executors can reach")
         root = tempfile.mkdtemp(prefix="prevuelo-")
         spark.conf.set(_DIR, root)
