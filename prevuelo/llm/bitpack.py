@@ -185,7 +185,8 @@ def read_ids(manifest: DataFrame, out: str) -> DataFrame:
                     first = last
                 file.close()
 
-    files = manifest.select("name", "start").repartition(F.col("name"))
+    # a file a task: so few bytes of names would else all be read by one
+    files = manifest.select("name", "start").repartition(max(1, manifest.count()), "name")
     return files.mapInArrow(load, "doc_id long, start long, ids binary")
 
 

@@ -28,6 +28,9 @@ from prevuelo.llm.tokens import Encoder, encoder, ids_of
 #: Characters of a leaf.
 LEAF = 16_384
 
+#: Pieces that an encoding worker remembers; a decoding one stands beside it, so fewer than elsewhere.
+PIECES = 120_000
+
 #: Kinds of leaves: ordinary text, a special token, the first and the further pieces of unsplit text.
 TEXT, SPECIAL, FIRST, NEXT = range(4)
 
@@ -142,26 +145,26 @@ def encode(df: DataFrame, tokenizer: str, keep: list[str], text: str = "text", i
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = encoder(tokenizer).encode(b.column(n).to_pylist())
+            found = encoder(tokenizer, PIECES).encode(b.column(n).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(found, pa.binary())], [*keep, ids])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                found = list(leaves(encoder(tokenizer), b.column(n)[i].as_py(), leaf))
+                found = list(leaves(encoder(tokenizer, PIECES), b.column(n)[i].as_py(), leaf))
                 same = b.slice(i, 1).take(pa.array([0] * len(found)))
                 cells = [pa.array(range(len(found)), pa.int32()), pa.array([k for k, _ in found], pa.int32()), pa.array([t for _, t in found], pa.string())]
                 yield pa.RecordBatch.from_arrays([*same.columns[:n], same.column(n + 1), *cells], [*keep, "_row", "_leaf", "_kind", "_text"])
 
     def leafwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            enc = encoder(tokenizer)
+            enc = encoder(tokenizer, PIECES)
             found = [encode_leaf(enc, k, t) for k, t in zip(b.column(n + 2).to_pylist(), b.column(n + 3).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns[: n + 3], pa.array(found, pa.binary())], [*keep, "_row", "_leaf", "_kind", ids])
 
     def whole(table: pa.Table) -> pa.Table:
         table = table.sort_by("_leaf")
-        raw = assemble(encoder(tokenizer), table["_kind"].to_pylist(), table[ids].to_pylist())
+        raw = assemble(encoder(tokenizer, PIECES), table["_kind"].to_pylist(), table[ids].to_pylist())
         return table.slice(0, 1).select(keep).append_column(ids, pa.array([raw], pa.binary()))
 
     is_long = F.length("_text") > leaf
@@ -179,7 +182,7 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            enc = encoder(tokenizer)
+            enc = encoder(tokenizer, PIECES)
             found = [None if r is None else enc.decode(ids_of(r)) for r in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], out.fieldNames())
 

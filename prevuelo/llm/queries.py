@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prevuelo.llm import bitpack, bpe
-from prevuelo.llm.store import documents
+from prevuelo.llm import bitpack, bpe, neighbours, packing, pii, quality, simhash, toxicity
+from prevuelo.llm.store import documents, small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,12 +27,47 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op1(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op3(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op4(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op5(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op6(documents(spark, sf_dir))
+
+
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return neighbours.op7(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.op9(documents(spark, sf_dir))
+
+
 def op10_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.op10(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
+    "op3_toxicity": op3_toxicity,
+    "op4_packing": op4_packing,
+    "op5_quality": op5_quality,
+    "op6_pii": op6_pii,
+    "op7_neighbours": op7_neighbours,
+    "op9_simhash": op9_simhash,
     "op10_bitpack": op10_bitpack,
 }
 ORACLES: dict[str, str] = {}

@@ -6,8 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 from prevuelo.sources.shared import shared_path, written
 
-__all__ = ["documents", "shared_path", "written"]
+__all__ = ["documents", "free", "shared_path", "small_batches", "written"]
+
+
+#: Rows of an Arrow batch. Spark's own 10 000 suit narrow rows; so many whole texts are tens of megabytes per worker.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "0")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def free(df: DataFrame, name: str) -> str:
+    """``name``, or the first longer one that no column of ``df`` has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

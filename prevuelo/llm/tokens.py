@@ -38,9 +38,9 @@ _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 class _Pieces(dict):
     """Ids by piece; an unknown piece is split and looked up word by word, and remembered while there is room."""
 
-    def __init__(self, find, lead: str, model):
+    def __init__(self, find, lead: str, model, most: int):
         super().__init__()
-        self.find, self.lead, self.tokenize = find, lead, model.tokenize
+        self.find, self.lead, self.tokenize, self.most = find, lead, model.tokenize, most
         self.words: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
@@ -49,17 +49,17 @@ class _Pieces(dict):
             ids = words.get(w)
             if ids is None:
                 ids = array("I", [t.id for t in self.tokenize(w.encode().decode("latin-1").translate(_STAND_INS))]).tobytes()
-                if len(words) < MAX_PIECES:
+                if len(words) < self.most:
                     words[w] = ids
             parts.append(ids)
         ids = b"".join(parts)
-        if len(self) < MAX_PIECES:
+        if len(self) < self.most:
             self[piece] = ids
         return ids
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MAX_PIECES):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -73,7 +73,7 @@ class Encoder:
         self.special = [t["content"] for t in spec["added_tokens"]]
         if self.leads or self.drops:
             pattern = _WORDS if self.leads else steps[0]["pattern"]["Regex"]
-            self.pieces = _Pieces(regex.compile(pattern).findall, " " if self.leads else "", self.tokenizer.model)
+            self.pieces = _Pieces(regex.compile(pattern).findall, " " if self.leads else "", self.tokenizer.model, most)
 
     def _cut(self, text: str) -> list[str] | None:
         """The text's pieces, or None where only the whole text will do."""
@@ -125,9 +125,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int = MAX_PIECES) -> Encoder:
     """The worker's encoder for a file; the file must lie at the same path on every machine."""
-    return Encoder(path)
+    return Encoder(path, most)
 
 
 def ids_of(raw: bytes) -> np.ndarray:
