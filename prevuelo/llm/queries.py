@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prevuelo.llm import bitpack, bpe, neighbours, packing, pii, quality, simhash, toxicity
+from prevuelo.llm import bitpack, bpe, imatch, neighbours, packing, pii, quality, repeats, simhash, toxicity
+from prevuelo.llm.oracles import ORACLES
 from prevuelo.llm.store import documents, small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +28,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op1(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.op2(documents(spark, sf_dir))
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -52,6 +57,10 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.op7(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.op8(documents(spark, sf_dir))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op9(documents(spark, sf_dir))
 
@@ -62,12 +71,14 @@ def op10_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
+    "op2_repeats": op2_repeats,
     "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
     "op5_quality": op5_quality,
     "op6_pii": op6_pii,
     "op7_neighbours": op7_neighbours,
+    "op8_imatch": op8_imatch,
     "op9_simhash": op9_simhash,
     "op10_bitpack": op10_bitpack,
 }
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
