@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from prevuelo.llm import packing, pii, repeats, simhash, toxicity
 from prevuelo.llm.queries import tokenizer
-from prevuelo.llm.store import documents, free, small_batches, written
+from prevuelo.llm.store import documents, free, written
 
 #: No stage but the last can be said in SQL: labels are learned from and hashes are not DuckDB's.
 ORACLE_SQL = None
@@ -23,19 +23,16 @@ def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the pattern grammar scores below 0.3."""
-    small_batches(spark)
     return toxicity.reject(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of fingerprints that link at 4 or fewer bits."""
-    small_batches(spark)
     return simhash.keep_one(docs)
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of 200-byte strings that start anywhere else too; emptied documents stay."""
-    small_batches(spark)
     kept = free(docs, "kept")
     found = repeats.dedup(docs, characters=True)
     return _counted(found.withColumn("text", F.col(kept).cast("string")), docs.columns)
@@ -48,7 +45,6 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their sequences."""
-    small_batches(spark)
     return packing.op4(docs, tokenizer("word_bpe_49k.json"))
 
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prevuelo.llm.store import shared_path
+from prevuelo.llm.store import prepare, shared_path
 from prevuelo.llm.tokens import encoder, ids_of
 
 MAGIC = b"IDPACK01"
@@ -150,6 +150,7 @@ def write_ids(df: DataFrame, tokenizer: str, out: str, end_id: int, doc_id: str
             yield close()
 
     spark = df.sparkSession
+    prepare(spark)
     jvm = spark._jvm
     jvm.org.apache.hadoop.fs.Path(out).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(jvm.org.apache.hadoop.fs.Path(out))
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
+from prevuelo.llm.store import prepare
 from prevuelo.llm.tokens import Encoder, encoder, ids_of
 
 #: Characters of a leaf.
@@ -138,6 +139,7 @@ def _raw(ids: list[int]) -> bytes:
 
 def encode(df: DataFrame, tokenizer: str, keep: list[str], text: str = "text", ids: str = "ids", leaf: int = LEAF) -> DataFrame:
     """``keep`` columns and ``ids``: a binary of little-endian unsigned 32-bit ids."""
+    prepare(df.sparkSession)
     kept = [df.schema[k] for k in keep]
     done = StructType([*kept, StructField(ids, BinaryType())])
     rows = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
@@ -177,6 +179,7 @@ def encode(df: DataFrame, tokenizer: str, keep: list[str], text: str = "text", i
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """All columns and ``text``: the text of ``ids``, special tokens kept; a null stays null."""
+    prepare(df.sparkSession)
     out = StructType([*df.schema.fields, StructField(text, StringType())])
     at = df.columns.index(ids)
 

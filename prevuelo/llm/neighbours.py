@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from prevuelo.llm.graph import components
 from prevuelo.llm.simhash import forest
-from prevuelo.llm.store import written
+from prevuelo.llm.store import prepare, written
 
 COSINE, PROJECTIONS, RECALL, BLOCK, SEED = 0.93, 48, 0.9995, 1024, 11
 #: Half of a window, in deviations of a pair at the wanted cosine.
@@ -168,6 +168,7 @@ def linked(nodes: DataFrame, cosine: float) -> DataFrame:
 
 def near(df: DataFrame, cosine: float = COSINE) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
+    prepare(df.sparkSession)
     rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     nodes = written(points(rows).withColumn("point", F.monotonically_increasing_id()), "points")
     found = written(linked(nodes, cosine), "links")

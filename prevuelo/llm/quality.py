@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from prevuelo.llm.samples import crc, labelled, texts_of
-from prevuelo.llm.store import free
+from prevuelo.llm.store import free, prepare
 
 #: Positives and unlabelled rows that fitting may use.
 PER_CLASS, UNLABELLED = 8_000, 12_000
@@ -151,6 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, unlabell
 
 def score(df: DataFrame, model: Model, keep: list[str], text: str = "text", name: str = "_score") -> DataFrame:
     """``keep`` columns and their score in 0 to 1."""
+    prepare(df.sparkSession)
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from prevuelo.llm.gsaca import suffix_array
-from prevuelo.llm.store import free, written
+from prevuelo.llm.store import free, prepare, written
 
 LENGTH, GRAM, BLOCK = 200, 50, 25
 WINDOW = LENGTH - GRAM + 1
@@ -394,6 +394,7 @@ def dedup(df: DataFrame, text: str = "text", digest: bool = False, characters: b
     """
     from hashlib import sha256
 
+    prepare(df.sparkSession)
     keep = [c for c in df.columns if c != text]
     body, own_id, own_k, facts = (free(df, c) for c in ("kept", "_id", "_k", "_facts"))
     counts = [free(df, c) for c in ("n_bytes", "n_removed", "n_spans")]

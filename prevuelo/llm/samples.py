@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prevuelo.llm.store import prepare
+
 
 def crc(column: str = "doc_id") -> F.Column:
     """crc32 of an id as text."""
@@ -28,5 +30,6 @@ def labelled(labels: DataFrame, label: str, folds: int, held_out: int, per_class
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The ids' rows with their texts; ``ids`` is bounded by the sample, so it goes to every task."""
+    prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return docs.join(F.broadcast(ids), "doc_id")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prevuelo.llm.graph import components
-from prevuelo.llm.store import written
+from prevuelo.llm.store import prepare, written
 
 WORDS, SEED, DISTANCE = 4, 42, 4
 
@@ -62,6 +62,7 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
             found = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
 
+    prepare(df.sparkSession)
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, fp long")
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from prevuelo.llm.samples import crc, labelled, texts_of
-from prevuelo.llm.store import free
+from prevuelo.llm.store import free, prepare
 
 #: Labelled rows of each class that may be used for fitting.
 PER_CLASS = 10_000
@@ -227,6 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
 
 def score(df: DataFrame, model: Model, keep: list[str], text: str = "text", name: str = "_score") -> DataFrame:
     """``keep`` columns and their score in 0 to 1."""
+    prepare(df.sparkSession)
     n = len(keep)
     curve = np.array(model.curve)
 
