@@ -102,36 +102,36 @@ def cell_code(cell: str) -> str:
     )
 
 
-# Values up to this many bytes travel as they are; longer ones as code + SHA-256 in
-# base 64, which is one byte longer than any short value, so the two cannot be confused.
-SHORT_BYTES = 44
+# Values up to this many bytes travel as they are; longer ones as code + SHA-256, which is
+# one byte longer than any short value, so the two cannot be confused.  Keys are binary.
+SHORT_BYTES = 32
 _DIGEST_BYTES = SHORT_BYTES + 1
 _ROW = "r"
 
 
 def _digest(text: str) -> str:
-    return f"base64(unhex(sha2({text}, 256)))"
+    return f"unhex(sha2({text}, 256))"
 
 
 def cell_key(cell: str) -> str:
-    """Identity of a cell value in at most 45 bytes, with its code when it is long."""
+    """Identity of a cell value in at most 33 bytes, with its code when it is long."""
     # a long text whose first character is no digit, sign or space needs no further look
     plain = _matches(f"substring({cell}, 1, 1)", rf"[^{SPACE}0-9\-]")
     return (
-        f"CASE WHEN octet_length({cell}) <= {SHORT_BYTES} THEN {cell} WHEN {cell} IS NOT NULL THEN"
-        f" concat(CASE WHEN {plain} THEN '{TEXT}' ELSE {cell_code(cell)} END, {_digest(cell)}) END"
+        f"CASE WHEN octet_length({cell}) <= {SHORT_BYTES} THEN CAST({cell} AS BINARY) WHEN {cell} IS NOT NULL THEN"
+        f" concat(CAST(CASE WHEN {plain} THEN '{TEXT}' ELSE {cell_code(cell)} END AS BINARY), {_digest(cell)}) END"
     )
 
 
 def row_key(cells: Iterable[str]) -> str:
     """Identity of a whole row; missing and empty cells differ, and no two cells can run together."""
     parts = ", ".join(f"coalesce(concat(octet_length({c}), ':', {c}), '-')" for c in cells)
-    return f"concat('{_ROW}', {_digest(f'concat({parts})')})"
+    return f"concat(CAST('{_ROW}' AS BINARY), {_digest(f'concat({parts})')})"
 
 
 def key_code(key: str) -> str:
     """The code of the value behind a key; NULL for a missing cell, ``r`` for a row."""
     return (
-        f"CASE WHEN octet_length({key}) = {_DIGEST_BYTES} THEN substring({key}, 1, 1)"
-        f" WHEN {key} IS NOT NULL THEN {cell_code(key)} END"
+        f"CASE WHEN octet_length({key}) = {_DIGEST_BYTES} THEN CAST(substring({key}, 1, 1) AS STRING)"
+        f" WHEN {key} IS NOT NULL THEN {cell_code(f'CAST({key} AS STRING)')} END"
     )

@@ -156,32 +156,6 @@ FALLBACK_ACTION = "Revisar la fuente de datos y considerar validaciones adiciona
 FALLBACK_SUMMARY = "Análisis completado. Se detectaron {count} hallazgos."
 FALLBACK_ASSESSMENT = "Se recomienda revisar los hallazgos antes de la ingesta."
 
-# Texts of the explainer that works without a model.
-RULES_IMPACT = (
-    'Se detectaron {count} ocurrencias ({percent}%) en la categoría "{category}". Esto puede afectar la integridad de '
-    "los datos en pipelines downstream y generar resultados incorrectos en consumidores."
-)
-RULES_CONTEXT = (
-    'En el contexto de ingeniería de datos, el hallazgo "{description}" indica un posible problema de calidad que '
-    "debería investigarse antes de la ingesta en producción."
-)
-RULES_ACTION = (
-    'Revisar la fuente de datos para la categoría "{category}". Considerar implementar validaciones de calidad en el '
-    "punto de extracción y agregar un paso de limpieza previo a la carga."
-)
-RULES_SUMMARY = (
-    "El archivo analizado presenta un puntaje de riesgo de {score}/100 (nivel {risk_level}). Se identificaron {count} "
-    "hallazgos que requieren atención antes de la ingesta en producción."
-)
-RULES_ASSESSMENT = {
-    "alto": "Se recomienda NO ingestar los datos sin resolver los hallazgos críticos. El nivel de riesgo es alto y "
-    "podría causar problemas significativos en los consumidores downstream.",
-    "medio": "Se recomienda revisar los hallazgos identificados antes de proceder con la ingesta. Algunos problemas "
-    "podrían impactar la calidad de los datos en destino.",
-    "bajo": "El nivel de riesgo es bajo. Los datos pueden ingresarse con precauciones menores. Se sugiere monitorear "
-    "los hallazgos identificados.",
-}
-
 # Messages of the payload contract; ``{i}`` is the index of the offending element.
 PAYLOAD_SIZE_ERROR = "El payload excede el tamaño máximo de 64 KB."
 PAYLOAD_JSON_ERROR = "El cuerpo de la solicitud no es JSON válido."

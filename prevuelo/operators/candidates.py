@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prevuelo.functions import figures, headers, wording
@@ -70,6 +72,15 @@ def candidates(facts: DataFrame) -> DataFrame:
     )
 
 
+def possible_keys(spark: SparkSession, names: Iterable[str]) -> set[str]:
+    """The column names that can be suggested at all; no other column needs its distinct values counted."""
+    name = F.col("name")
+    fits = headers.names_strong_marker(name) | headers.names_secondary_marker(name)
+    fits = fits | headers.names_primary_key(name) | headers.names_business_key(name)
+    listed = spark.createDataFrame([(n,) for n in sorted(set(names))], "name string")
+    return {r.name for r in listed.filter(fits).collect()}
+
+
 def listing_order() -> list[Column]:
     """Sort keys of the candidates of a dataset: confidence, then name as a reader would sort it."""
     rank = figures.lookup(F.col("confidence"), CONFIDENCE_ORDER)

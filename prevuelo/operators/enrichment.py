@@ -189,6 +189,7 @@ def payload_errors(payloads: DataFrame, column: str = "payload") -> DataFrame:
     Size comes before syntax, syntax before content; fields are checked in order.
     """
     f = F.col
+    _last_key_counts(payloads)
     # each step is a projection of its own, so that a text is parsed once
     opened = payloads.withColumn("_body", F.try_parse_json(column)).withColumn(
         "_summary", _field(f("_body"), "structureSummary")
@@ -288,36 +289,27 @@ def answer_entries(answers: DataFrame) -> DataFrame:
     )
 
 
-def _rules_texts() -> dict[str, Column]:
-    f = F.col
-    return {
-        "technical_impact": wording.fill(
-            wording.RULES_IMPACT,
-            count=f("count"),
-            percent=figures.one_decimal(f("percentage")),
-            category=f("category"),
-        ),
-        "contextual_explanation": wording.fill(wording.RULES_CONTEXT, description=f("description")),
-        "corrective_action": wording.fill(wording.RULES_ACTION, category=f("category")),
-        "priority": figures.priority_of(f("severity")),
-    }
+def one_answer(answers: DataFrame) -> DataFrame:
+    """One answer per dataset: of several the first readable one, in the order of their texts."""
+    _last_key_counts(answers)
+    ranked = F.struct(answer_body(F.col("answer")).isNull().alias("unreadable"), F.col("answer"))
+    return answers.groupBy("dataset_id").agg(F.min(ranked).alias("best")).select("dataset_id", "best.answer")
 
 
-def offline_explanations(found: DataFrame) -> DataFrame:
-    """Explanations from the rules alone, one per finding."""
-    texts = [c.alias(n) for n, c in _rules_texts().items()]
-    return found.select("dataset_id", "rule_pos", "column_pos", "finding_id", *texts)
+def _last_key_counts(df: DataFrame) -> None:
+    """JSON readers take the last of repeated keys; Spark's refuses the text unless its session is told."""
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
-def offline_summaries(scored: DataFrame) -> DataFrame:
-    """Summary and assessment from score and level alone, one per dataset."""
-    f = F.col
-    return scored.select(
+def offline_explanations(found: DataFrame) -> DataFrame:
+    """What explains a finding without a model: its own rule texts."""
+    return found.select(
         "dataset_id",
-        wording.fill(
-            wording.RULES_SUMMARY, score=f("total"), risk_level=f("risk_level"), count=f("finding_count")
-        ).alias("executive_summary"),
-        figures.lookup(f("risk_level"), wording.RULES_ASSESSMENT).alias("overall_risk_assessment"),
+        "rule_pos",
+        "column_pos",
+        "finding_id",
+        F.col("rule_based_explanation").alias("contextual_explanation"),
+        F.col("recommended_action").alias("corrective_action"),
     )
 
 
@@ -325,9 +317,10 @@ def merge_explanations(found: DataFrame, answers: DataFrame) -> DataFrame:
     """One explanation per finding, in listing order columns.
 
     A dataset with a readable answer takes the model's texts, with a fallback per missing
-    field; a dataset without one keeps its findings and takes the rule texts.
+    field; a dataset without one keeps its findings with their own rule texts.
     """
     f = F.col
+    answers = one_answer(answers)
     readable = answers.select(
         "dataset_id", answer_body(f("answer")).isNotNull().alias("answered")
     ).filter("answered")
@@ -335,11 +328,12 @@ def merge_explanations(found: DataFrame, answers: DataFrame) -> DataFrame:
     joined = by_key.join(readable, "dataset_id", "left").join(
         answer_entries(answers), ["dataset_id", "answer_key"], "left"
     )
-    answered, rules = f("answered").isNotNull(), _rules_texts()
+    answered = f("answered").isNotNull()
 
-    def pick(field: str, fallback: Column, rules_text: Column) -> Column:
+    def pick(field: str, fallback: Column, own: Column | None = None) -> Column:
         given = F.when(f(field) != "", f(field))
-        return F.when(answered, F.coalesce(given, fallback)).otherwise(rules_text)
+        said = F.when(answered, F.coalesce(given, fallback))
+        return said if own is None else said.otherwise(own)
 
     priority = F.coalesce(F.when(f("priority").isin(PRIORITIES), f("priority")), F.lit("medium"))
     return joined.select(
@@ -350,49 +344,44 @@ def merge_explanations(found: DataFrame, answers: DataFrame) -> DataFrame:
         pick(
             "technicalImpact",
             wording.fill(wording.FALLBACK_IMPACT, finding_id=f("finding_id")),
-            rules["technical_impact"],
         ).alias("technical_impact"),
         pick(
             "contextualExplanation",
             wording.fill(wording.FALLBACK_CONTEXT, category=f("category"), count=f("count")),
-            rules["contextual_explanation"],
+            f("rule_based_explanation"),
         ).alias("contextual_explanation"),
-        pick("correctiveAction", F.lit(wording.FALLBACK_ACTION), rules["corrective_action"]).alias(
+        pick("correctiveAction", F.lit(wording.FALLBACK_ACTION), f("recommended_action")).alias(
             "corrective_action"
         ),
-        F.when(answered, priority).otherwise(rules["priority"]).alias("priority"),
+        F.when(answered, priority).alias("priority"),
         F.when(answered, "ai").otherwise("rules").alias("source"),
     )
 
 
 def merge_summaries(scored: DataFrame, answers: DataFrame) -> DataFrame:
-    """Executive summary and assessment per dataset, from the answer, its fallbacks or the rules.
+    """Executive summary and assessment per dataset, from the answer or its fallbacks; none without an answer.
 
     An empty summary is kept; only one that is no text is replaced.
     """
     f = F.col
-    bodies = answers.select("dataset_id", answer_body(f("answer")).alias("body")).filter("body is not null")
+    bodies = one_answer(answers).select("dataset_id", answer_body(f("answer")).alias("body")).filter("body is not null")
     said = bodies.select(
         "dataset_id",
         F.lit(True).alias("answered"),
         _text_of(f("body"), "executiveSummary").alias("summary"),
         _text_of(f("body"), "overallRiskAssessment").alias("assessment"),
     )
-    own = offline_summaries(scored)
     answered = f("answered").isNotNull()
     return (
-        scored.join(own, "dataset_id")
-        .join(said, "dataset_id", "left")
+        scored.join(said, "dataset_id", "left")
         .select(
             "dataset_id",
             F.when(
                 answered, F.coalesce(f("summary"), wording.fill(wording.FALLBACK_SUMMARY, count=f("finding_count")))
-            )
-            .otherwise(f("executive_summary"))
-            .alias("executive_summary"),
-            F.when(answered, F.coalesce(f("assessment"), F.lit(wording.FALLBACK_ASSESSMENT)))
-            .otherwise(f("overall_risk_assessment"))
-            .alias("overall_risk_assessment"),
+            ).alias("executive_summary"),
+            F.when(answered, F.coalesce(f("assessment"), F.lit(wording.FALLBACK_ASSESSMENT))).alias(
+                "overall_risk_assessment"
+            ),
             F.when(answered, "ai").otherwise("rules").alias("source"),
         )
     )
@@ -401,7 +390,7 @@ def merge_summaries(scored: DataFrame, answers: DataFrame) -> DataFrame:
 def ignored_answers(found: DataFrame, answers: DataFrame) -> DataFrame:
     """Explanations that name no finding of their dataset."""
     expected = found.select("dataset_id", trimmed(F.col("finding_id")).alias("answer_key"))
-    return answer_entries(answers).join(expected, ["dataset_id", "answer_key"], "left_anti")
+    return answer_entries(one_answer(answers)).join(expected, ["dataset_id", "answer_key"], "left_anti")
 
 
 def response_is_usable(response: Column) -> Column:

@@ -10,6 +10,7 @@ whole rows travel as SHA-256 keys, so the width of a text does not reach the shu
 from __future__ import annotations
 
 import json
+from collections.abc import Collection
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,21 +26,26 @@ SAMPLES = 10
 ROW_POS = -1  # ``column_pos`` of the line that measures whole rows
 
 
-def _pairs(frame: Frame, base: int) -> DataFrame:
-    """(file, pos, slot, key): one pair per cell, and slot ``base`` for the row."""
-    slots = [str(base + 1 + i) for i in range(len(frame.columns))]
-    file = "CAST(NULL AS STRING)" if frame.name is not None else "dataset"
-    row = f"{C.row_key(frame.columns)} AS `{base}`"
+def _file(frame: Frame) -> str:
+    return "CAST(NULL AS STRING)" if frame.name is not None else "dataset"
+
+
+def _pairs(frame: Frame, base: int, wanted: list[int], whole_rows: bool) -> DataFrame:
+    """(file, pos, slot, key): one pair per cell of the wanted columns, and slot ``base`` for the row."""
+    slots = {str(base + 1 + i): f"c{i}" for i in wanted}
+    if whole_rows:
+        slots = {str(base): f"hex({C.row_key(frame.columns)})", **slots}
     spread = frame.rows.selectExpr(
-        f"{file} AS file", "pos", row, *[f"{c} AS `{s}`" for c, s in zip(frame.columns, slots)]
-    ).unpivot(["file", "pos"], [str(base), *slots], "slot", "value")
+        f"{_file(frame)} AS file", "pos", *[f"{value} AS `{slot}`" for slot, value in slots.items()]
+    ).unpivot(["file", "pos"], list(slots), "slot", "value")
     # the key is worked out behind the spread, so its code is compiled once and not per column
-    return spread.selectExpr("file", "pos", "slot", f"IF(slot = '{base}', value, {C.cell_key('value')}) AS key")
+    key = f"IF(slot = '{base}', unhex(value), {C.cell_key('value')}) AS key"
+    return spread.selectExpr("file", "pos", "CAST(slot AS INT) AS slot", key)
 
 
 def _literal_at(values: list, sql_type: str) -> Column:
     """A per-column constant by slot number, folded into the plan (no join)."""
-    return F.get(F.from_json(F.lit(json.dumps(values)), f"array<{sql_type}>"), F.col("slot").cast("int"))
+    return F.get(F.from_json(F.lit(json.dumps(values)), f"array<{sql_type}>"), F.col("slot"))
 
 
 def _inferred_type(kinds: Column) -> Column:
@@ -49,24 +55,80 @@ def _inferred_type(kinds: Column) -> Column:
     return one_kind.otherwise("mixed")
 
 
-def measure(*frames: Frame) -> DataFrame:
+def _slots(frames: tuple[Frame, ...]) -> tuple[list[int], list, list, list]:
+    """First slot of each frame; column name, dataset and column position by slot."""
+    named = [frame.name for frame in frames if frame.name is not None]
+    if len(set(named)) < len(named):
+        raise ValueError(f"datasets need names of their own: {sorted(named)}")
+    bases, names, datasets, positions = [], [], [], []
+    for frame in frames:
+        bases.append(len(names))
+        names += [None, *frame.headers]
+        datasets += [frame.name] * (len(frame.headers) + 1)
+        positions += range(ROW_POS, len(frame.headers))
+    return bases, names, datasets, positions
+
+
+def measure_counts(*frames: Frame) -> DataFrame:
+    """The lines of ``measure`` without what needs distinct values: those are NULL.
+
+    Missing and empty cells, types and invalid dates are sums over each row's cells, so every task sends one line per
+    dataset, and no value and no row digest travels.
+    """
+    bases, names, datasets, positions = _slots(frames)
+    parts = []
+    for frame, base in zip(frames, bases):
+        codes = [f"CASE WHEN {c} IS NOT NULL THEN {C.cell_code(c)} END AS k{i}" for i, c in enumerate(frame.columns)]
+        sums, lines = [], [f"struct({base} AS slot, 0L AS nulls, 0L AS empties, 0 AS kinds, 0L AS undated)"]
+        for i in range(len(frame.columns)):
+            bits = " ".join(
+                f"WHEN k{i} IN ({', '.join(map(repr, own))}) THEN {1 << bit}" for bit, own in enumerate(C.KINDS.values())
+            )
+            sums += [
+                F.expr(f"count_if(k{i} IS NULL) AS n{i}"),
+                F.expr(f"count_if(k{i} = '{C.EMPTY}') AS e{i}"),
+                F.expr(f"bit_or(CASE {bits} ELSE 0 END) AS b{i}"),
+                F.expr(f"count_if(k{i} IN ({', '.join(map(repr, C.NOT_A_VALID_DATE))})) AS d{i}"),
+            ]
+            own = f"n{i} AS nulls, e{i} AS empties, b{i} AS kinds, d{i} AS undated"
+            lines.append(f"struct({base + 1 + i} AS slot, {own})")
+        counted = frame.rows.selectExpr(f"{_file(frame)} AS file", *codes).groupBy("file")
+        counted = counted.agg(F.count(F.lit(1)).alias("row_count"), *sums)
+        parts.append(counted.selectExpr("file", "row_count", f"inline(array({', '.join(lines)}))"))
+    rows = F.col("slot").isin(bases)
+    return reduce(DataFrame.unionByName, parts).select(
+        F.coalesce(F.col("file"), _literal_at(datasets, "string")).alias("dataset_id"),
+        _literal_at(positions, "int").alias("column_pos"),
+        _literal_at(names, "string").alias("column_name"),
+        "row_count",
+        F.col("nulls").alias("null_count"),
+        F.col("empties").alias("empty_count"),
+        F.lit(None).cast("bigint").alias("unique_count"),
+        F.when(rows, "mixed").otherwise(_inferred_type(F.col("kinds"))).alias("inferred_type"),
+        F.col("undated").alias("invalid_date_count"),
+        F.lit(None).cast("bigint").alias("sample_bound"),
+    )
+
+
+def measure(*frames: Frame, columns: Collection[str] | None = None, whole_rows: bool = True) -> DataFrame:
     """One line per dataset and column, and one per dataset with ``column_pos`` -1 for its rows.
 
+    ``columns`` restricts the measured columns to those names; without ``whole_rows`` the rows
+    themselves are not measured.
+
     ``unique_count`` of the -1 line is the number of distinct rows.  ``sample_bound`` is a
     position up to which a column surely shows its first ten distinct values: the tenth
     smallest of the first positions of its hash buckets of values or, when its values fill
     fewer buckets, the first position of the value that shows up last.
     """
-    named = [frame.name for frame in frames if frame.name is not None]
-    if len(set(named)) < len(named):
-        raise ValueError(f"datasets need names of their own: {sorted(named)}")
-    pairs, names, datasets, positions = [], [], [], []
-    for frame in frames:
-        pairs.append(_pairs(frame, len(names)))
-        width = len(frame.headers)
-        names += [None, *frame.headers]
-        datasets += [frame.name] * (width + 1)
-        positions += range(ROW_POS, width)
+    bases, names, datasets, positions = _slots(frames)
+    pairs = []
+    for frame, base in zip(frames, bases):
+        wanted = [i for i, name in enumerate(frame.headers) if columns is None or name in columns]
+        if wanted or whole_rows:
+            pairs.append(_pairs(frame, base, wanted, whole_rows))
+    if not pairs:  # nothing is asked for: no lines
+        pairs = [_pairs(frames[0], 0, [0], False).limit(0)]
 
     code = F.col("code")
     tallies = (

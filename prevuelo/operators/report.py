@@ -149,8 +149,8 @@ def _numbered(suggested: DataFrame) -> DataFrame:
 def report_documents(lines: DataFrame) -> DataFrame:
     """(dataset_id, file_name, document): the whole report as one text.
 
-    Meant for reports whose length is set by the header.  With very many parse errors use
-    ``write_reports``, which streams the lines instead of gathering them.
+    A document is one value, so it is gathered whole, parse errors included; ``write_reports``
+    streams the lines of reports of any length instead.
     """
     ordered = F.array_sort(F.collect_list(F.struct("place", "line")))
     return (
@@ -161,17 +161,20 @@ def report_documents(lines: DataFrame) -> DataFrame:
 
 
 def write_reports(lines: DataFrame, path: str) -> None:
-    """One folder per report below ``path``; its part files, in name order, are the report.
+    """One folder per report below ``path``, ``report=<file name>/dataset=<key>``; its part files, in name order, are it.
+
+    The key keeps datasets apart whose names give the same file name.
 
     Lines are range-partitioned by dataset and place, so a report of any length is spread
     over as many tasks as it needs.
     """
     named = lines.withColumn("report", text.report_file_name(F.col("dataset_id")))
-    order = ["report", "dataset_id", "place"]
+    named = named.withColumn("dataset", F.lower(F.hex(F.xxhash64("dataset_id"))))
+    order = ["report", "dataset", "place"]
     (
         named.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .select("report", "line")
-        .write.partitionBy("report")
+        .select("report", "dataset", "line")
+        .write.partitionBy("report", "dataset")
         .text(path)
     )

@@ -11,19 +11,29 @@ from prevuelo.sources.shared import written
 
 PREVIEW_ROWS = 10
 
+# A key that repeats is given to this many parts of the rows, so that no key meets all its rows in one task.
+_SALTS = 16
+
 
 def preview(frame: Frame) -> DataFrame:
-    """The first ten rows of each dataset, missing cells shown as empty text."""
+    """The first ten rows of each dataset, missing cells shown as empty text.
+
+    Rows that share a position are taken in the order of their row keys; equal ones are the same to a reader.
+    """
     if frame.name is not None:
         first = frame.rows.orderBy("pos").limit(PREVIEW_ROWS)
     else:
-        # find the ten positions on two narrow columns and store them; then fetch only those rows
-        in_order = Window.partitionBy("dataset").orderBy("pos")
-        nth = frame.rows.select("dataset", "pos", F.row_number().over(in_order).alias("nth"))
-        wanted = written(nth.filter(F.col("nth") <= PREVIEW_ROWS).drop("nth"), "preview")
+        # find the ten on narrow columns and store them; then fetch only those rows
+        keyed = frame.rows.withColumn("key", F.expr(row_key(frame.columns)))
+        counted = keyed.groupBy("dataset", "pos", "key").agg(F.count(F.lit(1)).alias("n"))
+        before = Window.partitionBy("dataset").orderBy("pos", "key").rowsBetween(Window.unboundedPreceding, -1)
+        room = F.lit(PREVIEW_ROWS) - F.coalesce(F.sum("n").over(before), F.lit(0))
+        wanted = counted.withColumn("n", F.least("n", room)).filter("n > 0")
+        wanted = written(wanted, "preview")
         last = wanted.agg(F.max("pos")).first()[0]
-        early = frame.rows.filter(F.col("pos") <= (-1 if last is None else last))
-        first = early.join(wanted, ["dataset", "pos"], "left_semi")
+        early = keyed.filter(F.col("pos") <= (-1 if last is None else last))
+        first = early.join(wanted, ["dataset", "pos", "key"]).dropDuplicates(["dataset", "pos", "key"])
+        first = first.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")))
     shown = first.selectExpr("dataset", "pos", *[f"coalesce({c}, '') AS {c}" for c in frame.columns])
     return shown.toDF("dataset_id", "row_pos", *frame.headers)
 
@@ -31,20 +41,23 @@ def preview(frame: Frame) -> DataFrame:
 def extra_copies(frame: Frame) -> DataFrame:
     """Every row that repeats an earlier row of its dataset, with the position it repeats.
 
-    Equal rows are counted, and their first position found, on (row key, position) pairs
-    with partial aggregation.  The rows are joined back to the repeated keys, one line per
-    key; the adaptive skew join splits a key that fills a third of the table.
+    Of equal rows one at the first position is the original; rows that share that position with it are copies too.
+    Equal rows are counted, and their first position found, on (row key, position) pairs with partial aggregation. The
+    few repeated keys are then given to ``_SALTS`` parts of the rows, which are dealt by key and position: a key that
+    fills a third of the table is worked on by as many tasks.
     """
+    salt = F.pmod(F.xxhash64("pos"), F.lit(_SALTS)).alias("salt")
     keyed = frame.rows.withColumn("key", F.expr(row_key(frame.columns)))
     repeated = (
         keyed.groupBy("dataset", "key")
         .agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("copies"))
         .filter(F.col("copies") > 1)
-        .select("dataset", "key", "first_pos")
-    )
-    return (
-        keyed.join(repeated, ["dataset", "key"])
-        .filter("pos > first_pos")
-        .select("dataset", "pos", "first_pos", *frame.columns)
-        .toDF("dataset_id", "row_pos", "first_pos", *frame.headers)
+        .select("dataset", "key", "first_pos", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
     )
+    met = keyed.select("*", salt).join(repeated, ["dataset", "key", "salt"])
+    out = ["dataset", "pos", "first_pos", *frame.columns]
+    # equal rows at the first position: all but one, from their number
+    tied = met.filter("pos = first_pos").groupBy(*out).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    tied = tied.withColumn("nth", F.explode(F.sequence(F.lit(2).cast("bigint"), "n")))
+    copies = met.filter("pos > first_pos").select(*out).unionByName(tied.select(*out))
+    return copies.toDF("dataset_id", "row_pos", "first_pos", *frame.headers)

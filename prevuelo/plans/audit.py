@@ -20,10 +20,6 @@ from prevuelo.sources.csv import first_refusal, read_group
 from prevuelo.sources.frames import Frame
 from prevuelo.sources.shared import written
 
-# Parse errors of a dataset that are gathered into one document at most.
-MAX_GATHERED_ERRORS = 10_000
-
-
 @dataclass(frozen=True)
 class Audit:
     """Results of one audit job over any number of datasets, all of them DataFrames.
@@ -103,6 +99,10 @@ class Audit:
     def preview(self, dataset: str | None = None) -> DataFrame:
         """The first rows of the frame that is called ``dataset`` (or of the only frame)."""
         chosen = [f for f in self.frames if dataset is None or f.name == dataset]
+        if dataset is not None and not chosen:
+            # a frame of many datasets, one per header of the job: the one that has rows of this dataset
+            parts = [replace(f, rows=f.rows.filter(F.col("dataset") == dataset)) for f in self.frames if f.name is None]
+            chosen = [f for f in parts if not f.rows.isEmpty()]
         if len(chosen) != 1:
             raise ValueError(f"{len(chosen)} frames match {dataset!r}")
         return rows.preview(chosen[0])
@@ -130,21 +130,11 @@ class Audit:
         )
 
     def reports(self, decisions: DataFrame | None = None, title: str = report.TITLE) -> DataFrame:
-        """(dataset_id, file_name, document): one whole text per dataset.
+        """(dataset_id, file_name, document): one whole text per dataset, as any single value in memory.
 
-        Everything in a report is bounded by the header except its parse errors.  Where there
-        are more than ``MAX_GATHERED_ERRORS`` of them the document is NULL and nothing is
-        gathered: ``write_reports(audit.report_lines(), path)`` writes such reports in full.
+        ``write_reports(audit.report_lines(), path)`` streams reports of any length.
         """
-        if self.parse_errors is None:
-            return report.report_documents(self.report_lines(decisions, title))
-        fits = F.col("parse_error_count") <= MAX_GATHERED_ERRORS
-        few = self.summary.filter(fits).select("dataset_id")
-        listed = replace(self, parse_errors=self.parse_errors.join(few, "dataset_id", "left_semi"))
-        documents = report.report_documents(listed.report_lines(decisions, title))
-        return documents.join(self.summary.select("dataset_id", fits.alias("fits")), "dataset_id").select(
-            "dataset_id", "file_name", F.when(F.col("fits"), F.col("document")).alias("document")
-        )
+        return report.report_documents(self.report_lines(decisions, title))
 
 
 def audit(*frames: Frame, parse_errors: DataFrame | None = None, rejected: DataFrame | None = None) -> Audit:

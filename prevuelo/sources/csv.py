@@ -17,6 +17,8 @@ from prevuelo.sources.frames import Frame, make_frame
 # Separators that are tried, in order of preference.
 SEPARATORS = [",", "\t", "|", ";", "\x1e", "\x1f"]
 _SAMPLE_LINES = 10
+# Fields that the reader makes room for; a line of more of them is beyond any table.
+MAX_FIELDS = 2_000_000
 _QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'  # possessive: no backtracking, whatever the length of a cell
 
 # Messages about lines that do not fit the header, and about the separator.
@@ -38,7 +40,7 @@ class CsvScan:
 
 def first_lines(spark: SparkSession, path: str) -> list[str]:
     """The first non-empty lines of one file."""
-    return [r.value for r in spark.read.text(path).filter(F.col("value") != "").limit(_SAMPLE_LINES).collect()]
+    return [r.value for r in spark.read.text(_literal([path])).filter(F.col("value") != "").limit(_SAMPLE_LINES).collect()]
 
 
 def detect_separator(lines: list[str]) -> str | None:
@@ -53,6 +55,11 @@ def detect_separator(lines: list[str]) -> str | None:
     return min(scored)[3] if scored else None
 
 
+def _literal(paths: list[str]) -> list[str]:
+    """Paths as the readers must get them: characters of file patterns stand for themselves."""
+    return [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths]
+
+
 def _complete_line(sep: str) -> str:
     """Pattern of a line that, begun outside quotes, also ends outside quotes."""
     s = f"\\x{ord(sep):02x}"
@@ -61,15 +68,18 @@ def _complete_line(sep: str) -> str:
 
 
 def _options(sep: str) -> dict[str, str]:
-    return {"sep": sep, "quote": '"', "escape": '"', "header": "true", "encoding": "UTF-8", "maxCharsPerColumn": "-1"}
+    return {"sep": sep, "quote": '"', "escape": '"', "header": "true", "encoding": "UTF-8", "maxCharsPerColumn": "-1",
+            "maxColumns": str(MAX_FIELDS)}
 
 
 def read_headers(spark: SparkSession, path: str, sep: str) -> list[str]:
-    """Column names of a file, in order; names that repeat or are blank get Spark's replacement."""
-    headers = spark.read.options(**_options(sep)).csv(path).columns
-    if not headers:
+    """Column names of a file, in order and as written; a name in quotes may hold line ends."""
+    # the first record as a record: its cells are the names
+    options = _options(sep) | {"header": "false", "multiLine": "true"}
+    first = spark.read.options(**options).csv(_literal([path])).first()
+    if first is None:
         raise ValueError(wording.NO_HEADERS_ERROR)
-    return headers
+    return [name or "" for name in first]
 
 
 def _records(spark: SparkSession, paths: list[str], width: int, sep: str, whole_file: bool) -> DataFrame:
@@ -78,13 +88,15 @@ def _records(spark: SparkSession, paths: list[str], width: int, sep: str, whole_
     # the parser marks malformed records only when it parses every column
     options = _options(sep) | {"columnNameOfCorruptRecord": "bad", "columnPruning": "false"}
     read = spark.read.schema(schema).options(**options, mode="PERMISSIVE", multiLine=str(whole_file).lower())
-    records = read.csv(paths).select(
+    records = read.csv(_literal(paths)).select(
         "*",
         scanned_path().alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("task_row"),
     )
-    bare = F.regexp_replace(F.regexp_replace("bad", _QUOTED, "q"), r"[\r\n]+\z", "")
+    # a quote opens a cell only at its start
+    opened = rf"(^|\x{ord(sep):02x}){_QUOTED}"
+    bare = F.regexp_replace(F.regexp_replace("bad", opened, "$1q"), r"[\r\n]+\z", "")
     # always ``bad``; naming a second column keeps queries on malformed records alone allowed
     records = records.withColumn("bad", F.coalesce(F.nullif("bad", "c0"), "bad"))
     return records.withColumn("tokens", F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1)
@@ -145,7 +157,7 @@ def read_group(
     if head:
         found = sep or detect_separator(head)
         headers = read_headers(spark, admitted[0], found or ",")
-        for r in inspect_text(spark, admitted, head[0], _complete_line(found or ",")).collect():
+        for r in inspect_text(spark, _literal(admitted), head[0], _complete_line(found or ",")).collect():
             if not r.valid_utf8:
                 verdicts.append((r.path, "encoding", wording.ENCODING_ERROR))
             elif not r.same_header:

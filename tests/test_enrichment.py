@@ -134,13 +134,13 @@ def test_reply_texts(spark):
 @pytest.fixture
 def found(spark):
     rows = [
-        ("a", 0, 0, " nulls-x ", "nulls", "alto", "desc", 5, 25.0),
-        ("a", 1, 0, "empties-x", "empties", "bajo", "desc", 1, 0.5),
-        ("b", 0, 0, "nulls-y", "nulls", "medio", "otra", 7, 6.25),
+        ("a", 0, 0, " nulls-x ", "nulls", "alto", "desc", 5, 25.0, "regla", "hacer"),
+        ("a", 1, 0, "empties-x", "empties", "bajo", "desc", 1, 0.5, "regla", "hacer"),
+        ("b", 0, 0, "nulls-y", "nulls", "medio", "otra", 7, 6.25, "propia", "revisar"),
     ]
     schema = (
         "dataset_id string, rule_pos int, column_pos int, finding_id string, category string, severity string,"
-        " description string, count long, percentage double"
+        " description string, count long, percentage double, rule_based_explanation string, recommended_action string"
     )
     return spark.createDataFrame(rows, schema)
 
@@ -166,8 +166,7 @@ def test_merge_by_trimmed_id_first_wins(spark, found):
     assert got[("a", " nulls-x ")] == ("I", "C", "A", "critical", "ai")
     assert got[("a", "empties-x")][:2] == ("Hallazgo empties-x requiere revisión.", "Categoría empties con 1 ocurrencias.")
     assert got[("a", "empties-x")][2:] == FALL_X[2:]
-    assert got[("b", "nulls-y")][3:] == ("medium", "rules")
-    assert "7 ocurrencias (6.3%)" in got[("b", "nulls-y")][0]
+    assert got[("b", "nulls-y")] == (None, "propia", "revisar", None, "rules")
 
 
 def test_merge_field_fallbacks(spark, found):
@@ -183,7 +182,22 @@ def test_merge_field_fallbacks(spark, found):
 def test_unreadable_answers_fall_back_to_the_rules(spark, found, answer):
     got = merge(spark, found, answer)
     assert {v[-1] for v in got.values()} == {"rules"}
-    assert got[("a", "empties-x")][3] == "low" and got[("a", " nulls-x ")][3] == "high"
+    assert got[("a", "empties-x")] == (None, "regla", "hacer", None, "rules")
+
+
+def test_one_answer_counts(spark, found):
+    good = json.dumps({"explanations": [entry("nulls-x")]})
+    answers = spark.createDataFrame([("a", "nada"), ("a", good), ("a", "x" + good)], "dataset_id string, answer string")
+    got = E.merge_explanations(found, answers).collect()
+    assert len(got) == 3 and {r.finding_id: r.technical_impact for r in got}[" nulls-x "] == "I"
+    assert E.ignored_answers(found, answers).count() == 0
+
+
+def test_last_of_repeated_keys_counts(spark, found):
+    got = merge(spark, found, '{"explanations":1,"explanations":[{"findingId":"nulls-x","technicalImpact":"a","technicalImpact":"b"}]}')
+    assert got[("a", " nulls-x ")][0] == "b"
+    df = spark.createDataFrame([(payload()[:-1] + ', "riskScore": 30}',), (payload()[:-1] + ', "riskScore": 300}',)], "payload string")
+    assert [r.error for r in E.payload_errors(df).collect()] == [None, "El campo riskScore debe ser un número finito entre 0 y 100."]
 
 
 def test_answers_without_explanations_still_count(spark, found):
@@ -212,7 +226,7 @@ def test_executive_summaries(spark):
         "Se recomienda revisar los hallazgos antes de la ingesta.",
         "ai",
     )
-    assert got["c"] == got["d"] and got["c"][2] == "rules" and "70/100 (nivel alto)" in got["c"][0]
+    assert got["c"] == got["d"] == (None, None, "rules")
 
 
 def test_usable_responses(spark):

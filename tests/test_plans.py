@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from prevuelo.operators.candidates import candidates
 from prevuelo.operators.findings import findings
-from prevuelo.operators.measure import measure
+from prevuelo.operators.measure import measure, measure_counts
 from prevuelo.operators.rows import extra_copies, preview
 from prevuelo.operators.samples import first_values
 from prevuelo.sources.frames import from_table
@@ -45,6 +45,22 @@ def test_measure_scans_once_and_shuffles_values_once(table):
     assert "SortAggregate" not in text
 
 
+def test_counts_send_no_values(table):
+    text = plan(findings(measure_counts(from_table(table, "t"), from_table(table, "u"))))
+    check_common(text)
+    assert "sha2" not in text and "key#" not in text
+    assert len(exchanges(text)) == 2 and text.count("FileScan parquet") == 2
+
+
+def test_counts_equal_measures(table):
+    one, two = (
+        f(from_table(table, "t")).select("column_pos", "row_count", "null_count", "empty_count", "invalid_date_count", "inferred_type")
+        for f in (measure, measure_counts)
+    )
+    one, two = (sorted(map(tuple, d.filter("column_pos >= 0").collect())) for d in (one, two))
+    assert one == two
+
+
 def test_many_tables_share_one_shuffle(table):
     text = plan(measure(*[from_table(table, f"t{i}") for i in range(5)]))
     assert text.count("FileScan parquet") == 5

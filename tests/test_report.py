@@ -84,14 +84,19 @@ def test_clean_dataset(spark, text_frame):
     assert "- **Puntaje bruto (sin límite):** 0\n\n\n## Hallazgos detectados" in document
 
 
-def test_very_many_errors_are_not_gathered(spark, tmp_path, monkeypatch):
-    (tmp_path / "a.csv").write_text("id,x\n1,2\n3,4\n" + "7\n" * 3)
-    (tmp_path / "b.csv").write_text("id,x\n1,2\n3\n")
+def test_reports_of_many_errors_are_whole(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,x\n1,2\n" + "7\n" * 20_000)
     a = audit_csv(spark, str(tmp_path), sep=",", dataset_id=file_name)
-    monkeypatch.setattr("prevuelo.plans.audit.MAX_GATHERED_ERRORS", 2)
-    documents = {r.dataset_id: r.document for r in a.reports().collect()}
-    assert documents["a.csv"] is None and "  - Fila 1: Too few" in documents["b.csv"]
-    assert a.report_lines().filter("line LIKE '  - Fila%'").count() == 4
+    assert a.reports().first().document.count("  - Fila ") == 20_000
+
+
+def test_reports_of_one_file_name_stay_apart(spark, text_frame, tmp_path):
+    a = audit(text_frame(["x"], [("1",)], "a/b.csv"), text_frame(["y"], [("1",), ("2",)], "a-b.csv"))
+    write_reports(a.report_lines(), str(tmp_path / "out"))
+    found = sorted((tmp_path / "out").glob("report=*/dataset=*"))
+    assert len(found) == 2 and len({p.parent for p in found}) == 1
+    texts = ["".join(p.read_text(encoding="utf-8") for p in sorted(d.glob("part-*"))) for d in found]
+    assert sorted(t.count("- **Filas:** 1") for t in texts) == [0, 1]
 
 
 def test_written_reports_hold_parse_errors(spark, tmp_path):
@@ -102,7 +107,7 @@ def test_written_reports_hold_parse_errors(spark, tmp_path):
     a = audit_csv(spark, str(folder), dataset_id=file_name)
     write_reports(a.report_lines(), str(tmp_path / "out"))
     for name in ["a", "b"]:
-        parts = sorted((tmp_path / "out" / f"report={name}-pipeline-risk-report.md").glob("part-*"))
+        parts = sorted((tmp_path / "out" / f"report={name}-pipeline-risk-report.md").glob("dataset=*/part-*"))
         written = "".join(p.read_text(encoding="utf-8") for p in parts)
         whole = a.reports().filter(f"dataset_id = '{name}.csv'").first().document
         assert written == whole + "\n"

@@ -240,20 +240,10 @@ def prompts(*views: View) -> str:
     return f"{dossiers(*views)} SELECT dataset_id, {prompt} AS prompt FROM dossiers"
 
 
-_PRIORITY = "CASE severity WHEN 'alto' THEN 'high' WHEN 'medio' THEN 'medium' ELSE 'low' END"
-_OFFLINE = {
-    "technical_impact": fill(
-        wording.RULES_IMPACT, count="count", percent=one_decimal("percentage"), category="category"
-    ),
-    "contextual_explanation": fill(wording.RULES_CONTEXT, description="description"),
-    "corrective_action": fill(wording.RULES_ACTION, category="category"),
-}
-
-
 def offline(*views: View) -> str:
-    texts = ", ".join(f"{sql} AS {name}" for name, sql in _OFFLINE.items())
     return f"""{findings(*views)}
-SELECT dataset_id, rule_pos, column_pos, finding_id, {texts}, {_PRIORITY} AS priority FROM findings"""
+SELECT dataset_id, rule_pos, column_pos, finding_id, rule_based_explanation AS contextual_explanation,
+  recommended_action AS corrective_action FROM findings"""
 
 
 def merged(view: View) -> str:
@@ -262,23 +252,22 @@ def merged(view: View) -> str:
     return f"""{findings(view)},
 numbered AS (SELECT *, substr(dataset_id, 10)::INT % 4 IN (2, 3) AS answered FROM findings)
 SELECT dataset_id, rule_pos, column_pos, finding_id,
-  CASE WHEN NOT answered THEN {_OFFLINE['technical_impact']}
+  CASE WHEN NOT answered THEN NULL
     WHEN category = 'nulls' THEN {impact} ELSE 'impacto ' || finding_id END AS technical_impact,
-  CASE WHEN NOT answered THEN {_OFFLINE['contextual_explanation']}
+  CASE WHEN NOT answered THEN rule_based_explanation
     WHEN category = 'nulls' THEN {context} ELSE 'contexto ' || severity END AS contextual_explanation,
-  CASE WHEN answered THEN 'acción' ELSE {_OFFLINE['corrective_action']} END AS corrective_action,
-  CASE WHEN NOT answered THEN {_PRIORITY} WHEN severity = 'alto' THEN 'critical' WHEN severity = 'medio' THEN 'medium'
+  CASE WHEN answered THEN 'acción' ELSE recommended_action END AS corrective_action,
+  CASE WHEN NOT answered THEN NULL WHEN severity = 'alto' THEN 'critical' WHEN severity = 'medio' THEN 'medium'
     ELSE 'low' END AS priority,
   CASE WHEN answered THEN 'ai' ELSE 'rules' END AS source
 FROM numbered"""
 
 
 def summaries(view: View) -> str:
-    own = fill(wording.RULES_SUMMARY, score="total", risk_level="risk_level", count="finding_count")
     return f"""{scores(view)},
 numbered AS (SELECT *, substr(dataset_id, 10)::INT % 4 IN (2, 3) AS answered FROM scores)
-SELECT dataset_id, CASE WHEN answered THEN 'resumen' ELSE {own} END AS executive_summary,
-  CASE WHEN answered THEN '{wording.FALLBACK_ASSESSMENT}' ELSE {choose('risk_level', wording.RULES_ASSESSMENT)} END
+SELECT dataset_id, CASE WHEN answered THEN 'resumen' END AS executive_summary,
+  CASE WHEN answered THEN 'Se recomienda revisar los hallazgos antes de la ingesta.' END
     AS overall_risk_assessment,
   CASE WHEN answered THEN 'ai' ELSE 'rules' END AS source
 FROM numbered"""
@@ -428,12 +417,12 @@ def _contract() -> str:
     return f"SELECT o_orderkey, CASE o_orderkey % {len(Q.CONTRACT_CASES)} {cases} END AS error FROM orders"
 
 
-def _csv_view(by_batch: bool = False) -> View:
+def _csv_view(by_batch: bool = False, lines: list = Q.CSV_LINES, header: str = Q.CSV_HEADER, sep: str = ",") -> View:
     kept = []
     for j in range(3):
-        branches = " ".join(f"WHEN {i} THEN {cells[j]}" for i, (_, cells) in enumerate(Q.CSV_LINES))
-        kept.append(f"CASE o_orderkey % {len(Q.CSV_LINES)} {branches} END")
-    headers = Q.CSV_HEADER.split(",")
+        branches = " ".join(f"WHEN {i} THEN {cells[j]}" for i, (_, cells) in enumerate(lines))
+        kept.append(f"CASE o_orderkey % {len(lines)} {branches} END")
+    headers = header.split(sep)
     cells = dict(zip(headers, ["CAST(o_orderkey AS STRING)", *kept]))
     if by_batch:
         return View("orders", f"'lote-' || {Q.CSV_BATCH}", cells, many=True)
@@ -471,6 +460,15 @@ ORACLES: dict[str, str] = {
     "findings_invalid_dates": _findings("invalid_dates", V.DIRTY_ORDERS),
     "findings_events_temporal": _findings(None, V.plain("events")),
     "findings_suppliers": _findings(None, V.SUPPLIERS),
+    "duplicate_rows_ties": """SELECT 'events' AS dataset_id, event_id % 3 AS row_pos,
+  min(event_id % 3) OVER (PARTITION BY user_id, event_type) AS first_pos, CAST(user_id AS VARCHAR) AS user_id, event_type
+FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id % 3) > 1""",
+    "preview_ties": preview(
+        View("lineitem", V.SUPPLIERS.dataset, {"line": V.text("l_linenumber")}, many=True, pos="l_linenumber")
+    ),
+    "dataset_statuses": """SELECT 'supplier-' || k AS dataset_id, CASE WHEN k IN (SELECT l_suppkey FROM lineitem)
+  THEN 'audited' ELSE 'no_data' END AS status
+FROM (SELECT unnest([s_suppkey, s_suppkey + 1000000]) AS k FROM supplier)""",
     "duplicate_rows_events": _DUPLICATE_ROWS,
     "rule_status": _rule_status(V.DIRTY_ORDERS, V.DIRTY_PART, V.plain("lineitem"), V.plain("events")),
     "key_candidates": candidates(*V.ALL_TABLES, V.DIRTY_ORDERS, V.SUPPLIERS) + " SELECT * FROM candidates",
@@ -508,8 +506,12 @@ EXCEPT SELECT dataset_id, finding_id FROM findings""",
     "file_admission": f"""SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'extension' WHEN page_id % 7 = 0 THEN 'empty'
     WHEN strlen(html) > 2048 THEN 'too_big' ELSE 'admitted' END AS status,
   CASE WHEN page_id % 4 = 0 THEN '{wording.EXTENSION_ERROR}' WHEN page_id % 7 = 0 THEN '{wording.EMPTY_FILE_ERROR}'
-    WHEN strlen(html) > 2048 THEN '{wording.SIZE_ERROR.format(limit='0.00195312')}' END AS error FROM pages""",
+    WHEN strlen(html) > 2048 THEN '{wording.SIZE_ERROR.format(limit='0.001953125')}' END AS error FROM pages""",
     "csv_profile": _profile(_csv_view()),
+    "csv_separators": _profile(_csv_view(lines=Q.WIDE_LINES, header=Q.WIDE_HEADER, sep=";")),
+    "csv_long_lines": """SELECT 'orders' AS dataset_id, CASE WHEN o_orderkey % 500 = 2
+  THEN 'Too many fields: expected 4 fields but parsed 30001' ELSE 'Too few fields: expected 4 fields but parsed 3' END
+  AS message, count(*) AS errors FROM orders WHERE o_orderkey % 3 = 2 GROUP BY ALL""",
     "csv_parse_errors": _CSV_ERRORS,
     "csv_batch_scores": scores(_csv_view(by_batch=True)) + " SELECT * FROM scores",
     "encoding_verdicts": """SELECT source, regexp_extract(source, '([0-9]+)', 1)::INT % 3 <> 0 AS valid_utf8

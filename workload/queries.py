@@ -11,7 +11,7 @@ from prevuelo.functions import cells, text
 from prevuelo.operators import candidates as keys
 from prevuelo.operators import enrichment, rows, score
 from prevuelo.operators.findings import findings, rule_status
-from prevuelo.operators.measure import column_facts, measure
+from prevuelo.operators.measure import column_facts, measure, measure_counts
 from prevuelo.operators.samples import first_values
 from prevuelo.plans.audit import audit, audit_csv
 from prevuelo.sources.csv import read_csv
@@ -30,6 +30,9 @@ FINDING_COLUMNS = [
     "percentage", "rule_based_explanation", "recommended_action",
 ]
 
+# Rules that need no distinct values.
+COUNTED = ["nulls", "empties", "invalid_dates"]
+
 
 def _facts(*views: V.View) -> Query:
     return lambda spark, sf: measure(*[V.frame(spark, sf, v) for v in views])
@@ -41,7 +44,8 @@ def _profile(*views: V.View) -> Query:
 
 def _findings(category: str | None, *views: V.View) -> Query:
     def query(spark, sf):
-        found = findings(_facts(*views)(spark, sf))
+        frames = [V.frame(spark, sf, v) for v in views]
+        found = findings((measure_counts if category in COUNTED else measure)(*frames))
         found = found if category is None else found.filter(F.col("category") == category)
         affected = F.array_join("affected_columns", ",").alias("affected_columns")
         return found.select(*FINDING_COLUMNS, affected)
@@ -81,6 +85,18 @@ def duplicate_rows(spark, sf):
     return rows.extra_copies(V.frame(spark, sf, view))
 
 
+def duplicate_rows_ties(spark, sf):
+    """As before, but three positions are all there are."""
+    view = V.plain("events", ["user_id", "event_type"], pos="event_id % 3")
+    return rows.extra_copies(V.frame(spark, sf, view))
+
+
+def preview_ties(spark, sf):
+    """First rows of every supplier where many rows share a position, equal ones among them."""
+    view = V.View("lineitem", V.SUPPLIERS.dataset, {"line": V.text("l_linenumber")}, many=True, pos="l_linenumber")
+    return rows.preview(V.frame(spark, sf, view))
+
+
 def preview_orders(spark, sf):
     return rows.preview(V.frame(spark, sf, V.DIRTY_ORDERS))
 
@@ -97,7 +113,12 @@ def _rule_status(*views: V.View) -> Query:
 
 
 def _candidates(*views: V.View) -> Query:
-    return lambda spark, sf: keys.candidates(_facts(*views)(spark, sf))
+    def query(spark, sf):
+        frames = [V.frame(spark, sf, v) for v in views]
+        wanted = keys.possible_keys(spark, [name for f in frames for name in f.headers])
+        return keys.candidates(measure(*frames, columns=wanted, whole_rows=False))
+
+    return query
 
 
 def candidate_evidence(spark, sf):
@@ -140,7 +161,7 @@ def offline_explanations(spark, sf):
 
 def _answers(result) -> DataFrame:
     """Model answers made from the findings of every supplier: padded, repeated, unknown and
-    unusable ids, missing texts; some suppliers get no readable answer."""
+    unusable ids, missing texts, a repeated key; some suppliers get no readable answer, some two."""
     number = F.substring_index("dataset_id", "-", -1).cast("bigint")
     entry = lambda f: F.struct(
         F.concat(F.lit("  "), f["finding_id"], F.lit(" ")).alias("findingId"),
@@ -160,10 +181,11 @@ def _answers(result) -> DataFrame:
     body = F.to_json(F.struct(F.concat(first, again).alias("explanations"), F.lit("resumen").alias("executiveSummary")))
     answer = (
         F.when(number % 4 == 1, "no hay JSON")
-        .when(number % 4 == 2, F.concat(F.lit("Respuesta: "), body, F.lit(" fin")))
+        .when(number % 4 == 2, F.concat(F.lit('Respuesta: {"executiveSummary":"primero",'), F.substr(body, F.lit(2)), F.lit(" fin")))
         .otherwise(body)
     )
-    return result.dossiers.filter(number % 4 != 0).select("dataset_id", answer.alias("answer"))
+    answers = result.dossiers.filter(number % 4 != 0).select("dataset_id", answer.alias("answer"))
+    return answers.unionByName(result.dossiers.filter(number % 4 == 3).select("dataset_id", F.lit("a").alias("answer")))
 
 
 def merged_explanations(spark, sf):
@@ -211,6 +233,7 @@ CONTRACT_CASES = [
     (_request(score="150"), "El campo riskScore debe ser un número finito entre 0 y 100."),
     (_request(score="-5"), "El campo riskScore debe ser un número finito entre 0 y 100."),
     (_request(rows="10.0"), None),
+    ("""'{"riskScore":150,' || substr(""" + _request() + ", 2)", None),
     ("repeat('x', 65537)", "El payload excede el tamaño máximo de 64 KB."),
 ]
 
@@ -301,11 +324,21 @@ CSV_LINES = [
 CSV_BATCH = "substr(o_orderpriority, 1, 1)"
 
 
-def _write_csv(spark: SparkSession, sf: str) -> str:
+# Lines under names that differ in case only, with another separator; some have far more fields than the header.
+WIDE_HEADER = "Id;id;status;note"
+WIDE_LINES = [
+    (f"{_KEY} || ';' || o_orderstatus || ';s;' || o_orderpriority", ["o_orderstatus", "'s'", "o_orderpriority"]),
+    (f"{_KEY} || ';;\"a;b\";x,y'", ["''", "'a;b'", "'x,y'"]),
+    (f"{_KEY} || CASE WHEN o_orderkey % 500 = 2 THEN repeat(';x', 30000) ELSE ';1,5;x' END",
+     ["CASE WHEN o_orderkey % 500 = 2 THEN 'x' ELSE '1,5' END", "'x'", "CASE WHEN o_orderkey % 500 = 2 THEN 'x' END"]),
+]
+
+
+def _write_csv(spark: SparkSession, sf: str, header: str = CSV_HEADER, cases: list = CSV_LINES) -> str:
     """All orders as raw CSV lines under one header, in a folder per priority."""
-    branches = " ".join(f"WHEN {i} THEN {line}" for i, (line, _) in enumerate(CSV_LINES))
+    branches = " ".join(f"WHEN {i} THEN {line}" for i, (line, _) in enumerate(cases))
     V.load(spark, sf, "orders").createOrReplaceTempView("orders")
-    lines = spark.sql(f"SELECT CASE o_orderkey % {len(CSV_LINES)} {branches} END AS `{CSV_HEADER}`, {CSV_BATCH} AS batch FROM orders")
+    lines = spark.sql(f"SELECT CASE o_orderkey % {len(cases)} {branches} END AS `{header}`, {CSV_BATCH} AS batch FROM orders")
     path = shared_path(spark, "orders-csv")
     # one column and no quoting: the writer puts down header and lines as they are
     raw = {"header": "true", "sep": "\x01", "quote": "", "emptyValue": "", "escapeQuotes": "false",
@@ -324,6 +357,27 @@ def csv_parse_errors(spark, sf):
     return scan.parse_errors.groupBy("dataset_id", "message").agg(F.count(F.lit(1)).alias("errors"))
 
 
+def csv_separators(spark, sf):
+    """Profile of lines with another separator, names that differ in case and lines of 30 000 fields."""
+    scan = read_csv(spark, _write_csv(spark, sf, WIDE_HEADER, WIDE_LINES), dataset_id=lambda p: F.lit("orders"))
+    return column_facts(measure(scan.frame)).select(*FACT_COLUMNS)
+
+
+def csv_long_lines(spark, sf):
+    scan = read_csv(spark, _write_csv(spark, sf, WIDE_HEADER, WIDE_LINES), dataset_id=lambda p: F.lit("orders"))
+    return scan.parse_errors.groupBy("dataset_id", "message").agg(F.count(F.lit(1)).alias("errors"))
+
+
+def dataset_statuses(spark, sf):
+    """What became of every supplier and of the next free number."""
+    result = audit(V.frame(spark, sf, V.SUPPLIERS))
+    V.load(spark, sf, "supplier").createOrReplaceTempView("supplier")
+    expected = spark.sql(
+        "SELECT concat('supplier-', k) AS dataset_id FROM supplier LATERAL VIEW explode(array(s_suppkey, s_suppkey + 1000000)) AS k"
+    )
+    return result.statuses(expected)
+
+
 def csv_batch_scores(spark, sf):
     """Risk of each folder of CSV files, audited in one job."""
     batch = lambda p: F.concat(F.lit("lote-"), F.regexp_extract(p, "batch=([^/]+)/", 1))
@@ -400,6 +454,9 @@ QUERIES: dict[str, Query] = {
     "findings_events_temporal": _findings(None, V.plain("events")),
     "findings_suppliers": _findings(None, V.SUPPLIERS),
     "duplicate_rows_events": duplicate_rows,
+    "duplicate_rows_ties": duplicate_rows_ties,
+    "preview_ties": preview_ties,
+    "dataset_statuses": dataset_statuses,
     "rule_status": _rule_status(V.DIRTY_ORDERS, V.DIRTY_PART, V.plain("lineitem"), V.plain("events")),
     "key_candidates": _candidates(*V.ALL_TABLES, V.DIRTY_ORDERS, V.SUPPLIERS),
     "candidate_listing": candidate_listing,
@@ -424,6 +481,8 @@ QUERIES: dict[str, Query] = {
     "file_admission": admissions,
     "csv_profile": csv_profile,
     "csv_parse_errors": csv_parse_errors,
+    "csv_separators": csv_separators,
+    "csv_long_lines": csv_long_lines,
     "csv_batch_scores": csv_batch_scores,
     "encoding_verdicts": encoding_verdicts,
     "report_documents": report_documents,

@@ -132,15 +132,7 @@ ALL_TABLES = [plain(t) for t in TABLES]
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A given table; one that comes in fewer pieces than there are cores is spread first.
-
-    Only a table of a few file splits is ever moved: larger ones already fill the cluster.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores, df.columns[0])
-    return df
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def frame(spark: SparkSession, sf_dir: str, view: View) -> Frame:
