@@ -9,8 +9,10 @@
 3. Suffix arrays. Candidates are cut into blocks of 25 bytes, counted from the anchor, and the suffix array of all blocks of
    a chunk is built by linear grouping (``gsaca``). Suffixes that share seven blocks (175 bytes) stand together; the
    remaining 25 bytes, left and right of them, decide which strings of LENGTH bytes are equal.
-4. An anchor with more than ``MOST`` different stretches (a common line between other texts) goes another exact way: each of
-   its strings is counted by two 64-bit hashes.
+4. An anchor with more than ``MOST`` different stretches (a common line between other texts) goes another exact way: its
+   stretches are cut into runs of ``WIDE`` strings, at places counted from the anchor. A run that is found again is
+   repeated as a whole; one whose common bytes are not found again holds no repeat; any other is halved and counted
+   again, down to single strings. So a stretch keeps about one run per edge of what it shares, and pairs never become rows.
 
 Skew. Stretches that a small sample shows to be frequent are marked where they are found and never sent; anchors that it
 shows to be frequent are dealt by content as well. The sample steers the dealing only, never a result.
@@ -37,6 +39,8 @@ LENGTH, GRAM, BLOCK = 200, 50, 25
 WINDOW = LENGTH - GRAM + 1
 #: Different stretches of an anchor that are compared in one task.
 MOST = 2_000
+#: Strings of a run at first, a power of two below LENGTH.
+WIDE = 64
 #: Bytes that numpy works on at once; blocks in one suffix array.
 PART, CHUNK = 1 << 20, 60_000
 #: Share of documents that is looked at for skew, how often a sampled stretch or anchor must be seen, how many are noted.
@@ -224,7 +228,7 @@ def _batch(schema: str, *columns) -> pa.RecordBatch:
 _OCCURRENCE = "anchor long, content long, id long, k long, pos long"
 _JUDGED = "id long, k long, anchor long, pos long, repeated boolean, candidate boolean"
 _STRING = "anchor long, id long, k long, start long, more long, place long, bytes binary"
-_SPAN = "id long, k long, first long, last long, one long, two long"
+_SPAN = "id long, k long, first long, last long, rel long, bytes binary"
 
 
 def occurrences(texts: DataFrame, known: np.ndarray, hot: np.ndarray) -> DataFrame:
@@ -308,33 +312,63 @@ def judged(found: DataFrame) -> DataFrame:
     return found.repartition("anchor", spread).sortWithinPartitions("anchor", "content").mapInArrow(run, _JUDGED)
 
 
-def _singly(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-    """Every string of the stretches by two hashes."""
-    for at in range(0, len(rows), 500):
-        part = rows[at : at + 500]
-        data = np.frombuffer(b"".join([r["bytes"] for r in part]), np.uint8)
-        count = np.array([r["more"] + 1 for r in part])
-        base = np.cumsum(count + LENGTH - 1) - count - LENGTH + 1
-        owner = np.repeat(np.arange(len(part)), count)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-        where = base[owner] + nth
-        one, two = (Hashes(data, k).of(where, where + LENGTH).view(np.int64) for k in (0, 1))
-        ids, ks, starts = (np.array([r[c] for r in part], np.int64)[owner] for c in ("id", "k", "start"))
-        yield _batch(_SPAN, ids, ks, starts + nth, starts + nth, one, two)
+def _in_runs(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    """The stretches' strings in runs of ``WIDE`` by their place from the anchor."""
+    out = []
+    for r in rows:
+        at = 0
+        while at <= r["more"]:
+            rel = at - r["place"]
+            last = min(r["more"], at + WIDE - 1 - rel % WIDE)
+            out.append((r["id"], r["k"], r["start"] + at, r["start"] + last, rel, r["bytes"][at : last + LENGTH]))
+            at = last + 1
+    kinds = [pa.int64()] * 5 + [pa.binary()]
+    cells = list(zip(*out)) or [[]] * 6
+    yield _batch(_SPAN, *(pa.array(list(c), k) for c, k in zip(cells, kinds)))
+
+
+def halved(runs: DataFrame) -> list[DataFrame]:
+    """(id, k, first, last) of the repeated strings among runs of up to ``WIDE`` of them; each round is stored."""
+    whole, size = [], WIDE
+    while True:
+        # what all strings have that begin in the run's part of the grid, whether the run fills the part or not
+        core = f"substring(bytes, CAST({size} - pmod(rel, {size}) AS INT), {LENGTH + 1 - size})"
+        hashes = [f"xxhash64({seed}, {text}) AS {name}{seed}" for name, text in (("h", "bytes"), ("c", core)) for seed in (1, 2)]
+        runs = written(runs.selectExpr("*", *hashes), "runs")
+        if runs.isEmpty():
+            return whole
+        cores = written(runs.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "cores")
+        again = written(runs.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1"), "again")
+        alive = written(runs.join(cores, ["c1", "c2"]).join(again, ["h1", "h2"], "left"), "alive")
+        whole.append(alive.where("n IS NOT NULL").select("id", "k", "first", "last"))
+        if size == 1:
+            return whole
+        size //= 2
+        # where the next half begins, if it is in the run
+        cut = f"first + {size} - pmod(rel, {size})"
+        one = "named_struct('a', first, 'b', least(last, cut - 1))"
+        parts = f"IF(cut <= last, array({one}, named_struct('a', cut, 'b', last)), array({one}))"
+        # one of equal runs goes on, for what other runs share with a part of it
+        rest = alive.where("n IS NULL").unionByName(alive.where("n IS NOT NULL").dropDuplicates(["h1", "h2"])).selectExpr("id", "k", "first", "rel", "bytes", "last", f"{cut} AS cut")
+        rest = rest.selectExpr("id", "k", "first AS old", "rel AS old_rel", "bytes AS old_bytes", f"inline({parts})")
+        runs = rest.selectExpr(
+            "id", "k", "a AS first", "b AS last", "old_rel + a - old AS rel",
+            f"substring(old_bytes, CAST(a - old + 1 AS INT), CAST(b - a + {LENGTH} AS INT)) AS bytes",
+        )
 
 
 def compared(strings: DataFrame, wide: np.ndarray) -> DataFrame:
-    """(id, k, first, last): runs of starts of repeated strings; with (one, two): single strings still to be counted."""
+    """(id, k, first, last): runs of starts of repeated strings; with ``bytes``: runs still to be counted."""
 
     def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield from _singly(b.to_pylist())
+            yield from _in_runs(b.to_pylist())
 
     def solve(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         if rows:
             runs = equal_strings([(r["anchor"] & (2**64 - 1), r["bytes"], r["more"], r["place"]) for r in rows])
             cells = list(zip(*[(rows[i]["id"], rows[i]["k"], rows[i]["start"] + a, rows[i]["start"] + z) for i, a, z in runs])) or [[]] * 4
-            yield _batch(_SPAN, *(pa.array(list(c), pa.int64()) for c in cells), *(pa.nulls(len(runs), pa.int64()) for _ in "ab"))
+            yield _batch(_SPAN, *(pa.array(list(c), pa.int64()) for c in cells), pa.nulls(len(runs), pa.int64()), pa.nulls(len(runs), pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole: list[dict] = []  # rows of complete anchors
@@ -344,7 +378,7 @@ def compared(strings: DataFrame, wide: np.ndarray) -> DataFrame:
             for r in b.to_pylist():
                 if r["anchor"] != anchor:
                     if over:
-                        yield from _singly(own)
+                        yield from _in_runs(own)
                     elif len(own) > 1:
                         whole += own
                         blocks += sum([len(x["bytes"]) // BLOCK + 1 for x in own])
@@ -355,10 +389,10 @@ def compared(strings: DataFrame, wide: np.ndarray) -> DataFrame:
                 own.append(r)
                 over = over or len(own) > MOST
                 if over and len(own) >= 500:
-                    yield from _singly(own)
+                    yield from _in_runs(own)
                     own = []
         if over:
-            yield from _singly(own)
+            yield from _in_runs(own)
         elif len(own) > 1:
             whole += own
         yield from solve(whole)
@@ -476,10 +510,9 @@ def dedup(df: DataFrame, text: str = "text", digest: bool = False, characters: b
     pending = table.where("_cands_ IS NOT NULL")
     strings = pending.select(own_id, own_k, body, "_cands_").mapInArrow(cut, _STRING)
     found = written(compared(strings, wide), "compared")
-    single = found.where("one IS NOT NULL")
-    twice = written(single.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1"), "twice")
-    spans = found.where("one IS NULL").select("id", "k", "first", "last")
-    spans = spans.unionByName(single.join(twice, ["one", "two"]).select("id", "k", "first", "last"))
+    spans = found.where("bytes IS NULL").select("id", "k", "first", "last")
+    for more in halved(found.where("bytes IS NOT NULL")):
+        spans = spans.unionByName(more)
     spans = spans.groupBy("id", "k").agg(F.collect_list(F.struct("first", "last")).alias("_more_"))
     joined = pending.join(spans, (F.col(own_id) == F.col("id")) & (F.col(own_k) == F.col("k")), "left").drop("id", "k")
     finished = table.where("_cands_ IS NULL").select(*done.fieldNames())
