@@ -32,8 +32,9 @@ def _loose_date() -> str:
     strict = rf"[Tt](?:(?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d+)?)?|{midnight})(?:[Zz]|[+-]\d\d:?\d\d)?"
     minutes = r":[0-5]?\d(?::[0-5]?\d(?:\.\d+)?)?"
     clock = rf"(?:(?:[01]?\d|2[0-3]){minutes}|{midnight}|(?:0?\d|1[0-2]){minutes}{gap}+(?i:[ap]m))"
+    offset, comment = r"(?:[+-]\d{1,2}(?::?\d\d)?)", rf"(?:{gap}*\([^()]*\))*"
     zone_name = r"(?i:z|utc?|gmt|[ecmp][sd]t)"
-    loose = rf"(?:,?{gap}+{clock}(?:{gap}*(?:{zone_name}|[+-]\d{{1,2}}(?::?\d\d)?))?|{gap}*{zone_name})?{gap}*"
+    loose = rf"(?:,?{gap}+{clock}(?:{gap}*(?:{zone_name}{offset}?|{offset}))?|{gap}*{zone_name})?{comment}{gap}*"
     return rf"^(?:{iso}(?:{strict}|{loose})|{month_first}{loose})\z"
 
 

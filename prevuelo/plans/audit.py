@@ -163,7 +163,8 @@ def audit_csv(
     frames = [s.frame for s in scans if s.frame is not None]
     if not frames:
         raise ValueError(first_refusal(scans[0]))
-    errors = reduce(DataFrame.unionByName, [s.parse_errors for s in scans])
+    # stored beside the facts: the files are parsed for them once, whatever is derived later
+    errors = written(reduce(DataFrame.unionByName, [s.parse_errors for s in scans]), "parse-errors")
     refused = reduce(DataFrame.unionByName, [s.files for s in scans])
     refused = refused.filter(~F.col("status").isin("accepted", "other_header")).drop("path")
     return audit(*frames, parse_errors=errors, rejected=refused)

@@ -47,6 +47,13 @@ def make_frame(rows: DataFrame, dataset: str | Column, pos: Column, cells: Seque
     return Frame(laid_out.filter(kept), tuple(headers), dataset if one else None)
 
 
+def _scanned_in_order(df: DataFrame) -> bool:
+    """Nothing but projections and filters stands over the source."""
+    plan = df._jdf.queryExecution().analyzed().toString()
+    nodes = {line.lstrip(" :+-").split(" ", 1)[0].split("[", 1)[0].split("(", 1)[0] for line in plan.splitlines() if line.strip()}
+    return nodes <= {"Project", "Filter", "SubqueryAlias", "View", "Relation", "LocalRelation", "LogicalRDD", "Range"}
+
+
 def from_table(
     df: DataFrame,
     dataset: str | Column,
@@ -57,9 +64,11 @@ def from_table(
 
     ``dataset`` names the table, or is a column expression that tells many datasets of one
     layout apart.  ``pos`` orders the rows; without it the scan order counts, which is
-    repeatable for file sources.
+    repeatable for a plain scan of files or of local rows only, so other plans must give it.
     """
     names = list(columns or df.columns)
+    if pos is None and not _scanned_in_order(df):
+        raise ValueError("rows that come out of a join, an aggregation or a shuffle need ``pos``")
     where = F.monotonically_increasing_id() if pos is None else pos
     quoted = ["`" + n.replace("`", "``") + "`" for n in names]
     return make_frame(df, dataset, where, quoted, names)

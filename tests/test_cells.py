@@ -107,3 +107,11 @@ def test_header_predicates(spark):
     assert flags(headers.is_temporal(name, F.lit("string"))) == ["event_type", "runtime"]
     assert flags(headers.names_primary_key(name)) == ["ID", "user_id", "id_user"]
     assert flags(headers.names_business_key(name)) == ["CÓDIGO", "preferred", "nro"]
+
+
+def test_dates_with_offsets_and_comments(spark):
+    values = [
+        "2024-01-15 10:00:00 GMT+0200", "2024-01-15 10:00:00 (x)", "2024-01-15 10:00 UTC-3", "2024-01-15 (a) (b)", "01/15/2024 9:05 pm EST",
+        "2024-01-15 10:00:00 (x", "2024-01-15 GMT+02 x", "2024-01-15 (a(b))",
+    ]
+    assert evaluate(spark, C.value_kind("v"), values) == ["date"] * 5 + ["string"] * 3

@@ -170,3 +170,16 @@ def test_wide_table(spark):
 def test_names_must_differ(text_frame):
     with pytest.raises(ValueError):
         measure(text_frame(["a"], [("1",)]), text_frame(["a"], [("1",)]))
+
+
+def test_positions_are_asked_for_behind_a_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    from prevuelo.sources.frames import from_table
+
+    df = spark.range(10).withColumn("g", F.col("id") % 3)
+    from_table(df.filter("id > 2").select("g"), "t")
+    for other in (df.groupBy("g").count(), df.repartition(3), df.join(df.select("id"), "id"), df.orderBy("g")):
+        with pytest.raises(ValueError, match="pos"):
+            from_table(other, "t")
+        from_table(other, "t", F.col("g"))
