@@ -16,7 +16,7 @@ from prevuelo.operators.dossier import dossiers
 from prevuelo.operators.findings import findings, rule_status
 from prevuelo.operators.measure import column_facts, measure, row_facts
 from prevuelo.operators.samples import sample_values
-from prevuelo.sources.csv import first_refusal, read_group
+from prevuelo.sources.csv import read_all, refusal
 from prevuelo.sources.frames import Frame
 from prevuelo.sources.shared import written
 
@@ -151,23 +151,16 @@ def audit_csv(
 ) -> Audit:
     """Audit every CSV file below ``path`` in one job, whatever their headers.
 
-    Files are read in groups of one header each; there are as many rounds as headers, and
-    each round looks only at the files that are left.  ``dataset_id`` may put several files
-    into one dataset as long as they share a header.
+    One listing and one pass over the raw lines tell which files can be read and which share a header, however many
+    headers there are; each header is then a frame of the job.  ``dataset_id`` may put several files into one dataset as
+    long as they share a header.
     """
-    scans, left = [], path
-    while left:
-        scan = read_group(spark, left, sep, dataset_id, max_bytes)
-        scans.append(scan)
-        left = [r.path for r in scan.files.filter("status = 'other_header'").collect()]
-    frames = [s.frame for s in scans if s.frame is not None]
-    if not frames:
-        raise ValueError(first_refusal(scans[0]))
+    scans, refused = read_all(spark, path, sep, dataset_id, max_bytes)
+    if not scans:
+        raise ValueError(refusal(refused))
     # stored beside the facts: the files are parsed for them once, whatever is derived later
     errors = written(reduce(DataFrame.unionByName, [s.parse_errors for s in scans]), "parse-errors")
-    refused = reduce(DataFrame.unionByName, [s.files for s in scans])
-    refused = refused.filter(~F.col("status").isin("accepted", "other_header")).drop("path")
-    return audit(*frames, parse_errors=errors, rejected=refused)
+    return audit(*[s.frame for s in scans], parse_errors=errors, rejected=refused.drop("path"))
 
 
 def require_data(result: Audit) -> Audit:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prevuelo.functions import wording
@@ -133,48 +133,52 @@ def _parse_errors(records: DataFrame, width: int, dataset: Column) -> DataFrame:
     )
 
 
-def read_group(
-    spark: SparkSession,
-    path: str | list[str],
-    sep: str | None = None,
-    dataset_id: Callable[[Column], Column] | None = None,
-    max_bytes: int | None = None,
-) -> CsvScan:
-    """The CSV files below ``path`` that share the header of the first admissible one.
+@dataclass(frozen=True)
+class Survey:
+    """``refused``: (path, status, error); ``groups``: the inspected files that share a header, in order of their paths."""
+
+    refused: list[tuple]
+    groups: list[list[Row]]
+
 
-    Every file is a dataset of its own, named by ``dataset_id`` from its path (the path itself
-    by default).  Files are split over tasks; only those in which a quoted cell may run over a
-    line end are read in one piece.  Files with bad bytes or another header are not read; they
-    are listed in ``files``.  ``frame`` is None when no file can be read.
+def survey(spark: SparkSession, path: str | list[str], sep: str | None = None, max_bytes: int | None = None) -> Survey:
+    """Which files can be read and which belong together, from a listing and one pass over all raw lines.
+
+    Paths and verdicts come to the driver, where the file index of any scan keeps the paths anyway.
     """
-    dataset = (dataset_id or (lambda p: p))(F.col("path"))
-    # paths only: the file index keeps them on the driver anyway
     listed = admit(list_files(spark, path), max_bytes).collect()
-    verdicts = [(r.path, r.status, r.error) for r in listed if r.status != "admitted"]
+    refused = [(r.path, r.status, r.error) for r in listed if r.status != "admitted"]
     admitted = sorted(r.path for r in listed if r.status == "admitted")
-    whole, split, found, headers = [], [], sep, []
-    head = first_lines(spark, admitted[0]) if admitted else []
-    if head:
-        found = sep or detect_separator(head)
-        headers = read_headers(spark, admitted[0], found or ",")
-        for r in inspect_text(spark, _literal(admitted), head[0], _complete_line(found or ",")).collect():
-            if not r.valid_utf8:
-                verdicts.append((r.path, "encoding", wording.ENCODING_ERROR))
-            elif not r.same_header:
-                verdicts.append((r.path, "other_header", None))
-            else:
-                (whole if r.whole_file else split).append(r.path)
-    elif admitted:
-        verdicts.append((admitted[0], "no_data", wording.NO_DATA_ERROR))
-        verdicts += [(p, "other_header", None) for p in admitted[1:]]
-    accepted = [(p, "accepted", None) for p in sorted(whole + split)]
-    files = spark.createDataFrame(verdicts + accepted, "path string, status string, error string")
-    files = files.select("path", dataset.alias("dataset_id"), "status", "error")
-    if not accepted:
-        return CsvScan(None, spark.createDataFrame([], "dataset_id string, row bigint, message string"), files)
-
+    seen, groups = {}, {}
+    if admitted:
+        patterns = {s: _complete_line(s) for s in ([sep] if sep else SEPARATORS)}
+        seen = {r.path: r for r in inspect_text(spark, _literal(admitted), patterns).collect()}
+    for p in admitted:
+        r = seen.get(p)
+        if r is not None and not r.valid_utf8:
+            refused.append((p, "encoding", wording.ENCODING_ERROR))
+        elif r is None or r.header_key is None:
+            refused.append((p, "no_data", wording.NO_DATA_ERROR))
+        else:
+            groups.setdefault(r.header_key, []).append(r)
+    return Survey(refused, list(groups.values()))
+
+
+def _files(spark: SparkSession, verdicts: list[tuple], dataset: Column) -> DataFrame:
+    files = spark.createDataFrame(verdicts, "path string, status string, error string")
+    return files.select("path", dataset.alias("dataset_id"), "status", "error")
+
+
+def read_files(spark: SparkSession, group: list[Row], sep: str | None, dataset: Column) -> CsvScan:
+    """The files of one header.  Files are split over tasks; only those in which a quoted cell may run over a line end
+    are read in one piece."""
+    lead = group[0].path
+    found = sep or detect_separator(first_lines(spark, lead))
+    headers = read_headers(spark, lead, found or ",")
     width = len(headers)
-    parts = [_records(spark, sorted(p), width, found or ",", one) for p, one in [(split, False), (whole, True)] if p]
+    whole = [r.path for r in group if r.whole_file[found or ","]]
+    split = [r.path for r in group if not r.whole_file[found or ","]]
+    parts = [_records(spark, p, width, found or ",", one) for p, one in [(split, False), (whole, True)] if p]
     frames = [
         make_frame(
             records,
@@ -185,11 +189,11 @@ def read_group(
         )
         for records in parts
     ]
+    files = _files(spark, [(r.path, "accepted", None) for r in group], dataset)
     errors = reduce(DataFrame.unionByName, [_parse_errors(r, width, dataset) for r in parts])
     if found is None:
         # a lone column leaves nothing to detect in any file; else only the sampled file is known
-        lone = F.col("path") == admitted[0] if width > 1 else F.lit(True)
-        undetected = files.filter((F.col("status") == "accepted") & lone)
+        undetected = files.filter(F.col("path") == lead) if width > 1 else files
         errors = errors.unionByName(
             undetected.select(
                 "dataset_id", F.lit(None).cast("bigint").alias("row"), F.lit(NO_SEPARATOR).alias("message")
@@ -199,6 +203,44 @@ def read_group(
     return CsvScan(Frame(rows, tuple(headers), None), errors, files)
 
 
+def read_all(
+    spark: SparkSession,
+    path: str | list[str],
+    sep: str | None = None,
+    dataset_id: Callable[[Column], Column] | None = None,
+    max_bytes: int | None = None,
+) -> tuple[list[CsvScan], DataFrame]:
+    """All CSV files below ``path``, one scan per header, and the files that cannot be read.
+
+    Every file is a dataset of its own, named by ``dataset_id`` from its path (the path itself by default).
+    """
+    dataset = (dataset_id or (lambda p: p))(F.col("path"))
+    seen = survey(spark, path, sep, max_bytes)
+    return [read_files(spark, group, sep, dataset) for group in seen.groups], _files(spark, seen.refused, dataset)
+
+
+def read_group(
+    spark: SparkSession,
+    path: str | list[str],
+    sep: str | None = None,
+    dataset_id: Callable[[Column], Column] | None = None,
+    max_bytes: int | None = None,
+) -> CsvScan:
+    """The CSV files below ``path`` that share the header of the first readable one.
+
+    Files with bad bytes or another header are not read; they are listed in ``files``.  ``frame`` is None when no file
+    can be read.
+    """
+    dataset = (dataset_id or (lambda p: p))(F.col("path"))
+    seen = survey(spark, path, sep, max_bytes)
+    others = [(r.path, "other_header", None) for group in seen.groups[1:] for r in group]
+    files = _files(spark, seen.refused + others, dataset)
+    if not seen.groups:
+        return CsvScan(None, spark.createDataFrame([], "dataset_id string, row bigint, message string"), files)
+    scan = read_files(spark, seen.groups[0], sep, dataset)
+    return replace(scan, files=files.unionByName(scan.files))
+
+
 def read_csv(
     spark: SparkSession,
     path: str | list[str],
@@ -214,5 +256,10 @@ def read_csv(
 
 
 def first_refusal(scan: CsvScan) -> str:
-    refused = scan.files.filter("error IS NOT NULL").orderBy("path").first()
+    return refusal(scan.files)
+
+
+def refusal(files: DataFrame) -> str:
+    """The error of the first refused file."""
+    refused = files.filter("error IS NOT NULL").orderBy("path").first()
     return refused.error if refused else wording.NO_DATA_ERROR

@@ -60,9 +60,9 @@ def test_stray_and_long_quotes(spark, write):
     from prevuelo.sources.csv import _complete_line
     from prevuelo.sources.files import inspect_text
 
-    assert not inspect_text(spark, [path], "id,medida", _complete_line(",")).first().whole_file
+    assert not inspect_text(spark, [path], {",": _complete_line(",")}).first().whole_file[","]
     torn = write("torn.csv", 'id,medida\n1,"a\nb"\n' + '2,"' + cell + '\n')
-    assert inspect_text(spark, [torn], "id,medida", _complete_line(",")).first().whole_file
+    assert inspect_text(spark, [torn], {",": _complete_line(",")}).first().whole_file[","]
     long = read_csv(spark, write("short.csv", 'id,a,b\n1,"' + cell + '"\n2,x,y\n'))
     assert errors(long) == [(0, "Too few fields: expected 3 fields but parsed 2")]
 
@@ -163,3 +163,41 @@ def test_separator_detection():
     assert detect_separator(["a\tb", "1\t2"]) == "\t"
     assert detect_separator(["a|b", '"x|y"|2']) == "|"
     assert detect_separator(["solo", "x"]) is None
+
+
+def test_names_as_written(spark, write):
+    scan = read_csv(spark, write("h.csv", 'Id,id,id,"long\nname",\n1,2,3,4,5\n'))
+    assert scan.frame.headers == ("Id", "id", "id", "long\nname", "")
+    assert [tuple(r)[2:] for r in scan.frame.rows.collect()] == [("1", "2", "3", "4", "5")] and errors(scan) == []
+
+
+def test_paths_with_pattern_characters(spark, write, tmp_path):
+    for name in ("ventas[1].csv", "d{1}.csv", "a*b.csv", "q?.csv"):
+        write(name, "id,x\n1,2\n")
+    assert audit_csv(spark, str(tmp_path), dataset_id=file_name).summary.count() == 4
+
+
+def test_stray_quotes_are_counted_from_a_cells_start(spark, write):
+    scan = read_csv(spark, write("s.csv", 'a,b,c,d,e\n1,x"b,c",\n'))
+    assert cells(scan) == [("1", 'x"b', 'c"', "", None)]
+    assert errors(scan) == [(0, "Too few fields: expected 5 fields but parsed 4")]
+
+
+def test_line_of_very_many_fields(spark, write):
+    scan = read_csv(spark, write("w.csv", "a,b,c\n1,2,3\n" + "x," * 30_000 + "x\n4,5,6\n"))
+    assert cells(scan) == [("1", "2", "3"), ("x", "x", "x"), ("4", "5", "6")]
+    assert errors(scan) == [(1, "Too many fields: expected 3 fields but parsed 30001")]
+
+
+def test_many_headers_are_inspected_once(spark, write, tmp_path, monkeypatch):
+    from prevuelo.sources import csv
+
+    calls = []
+    plain = csv.inspect_text
+    monkeypatch.setattr(csv, "inspect_text", lambda *a: calls.append(a) or plain(*a))
+    for i in range(6):
+        write(f"f{i}.csv", f"id,x{i % 4}\n{i},2\n")
+    a = audit_csv(spark, str(tmp_path), dataset_id=file_name)
+    assert len(calls) == 1 and len(a.frames) == 4 and a.summary.count() == 6
+    shown = a.preview("f5.csv")
+    assert shown.columns == ["dataset_id", "row_pos", "id", "x1"] and shown.first().id == "5"

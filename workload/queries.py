@@ -392,7 +392,7 @@ def encoding_verdicts(spark, sf):
     path = shared_path(spark, "documents-text")
     docs.select("source", line.alias("line")).write.partitionBy("source").text(path)
     paths = [r.path for r in list_files(spark, path).select("path").collect()]
-    verdicts = inspect_text(spark, paths, "", "")
+    verdicts = inspect_text(spark, paths, {})
     source = F.regexp_extract("path", r"source=([^/]+)/", 1)
     return verdicts.groupBy(source.alias("source")).agg(F.bool_and("valid_utf8").alias("valid_utf8"))
 
