@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from prevuelo.functions import figures, text, wording
 from prevuelo.operators.candidates import listing_order
+from prevuelo.sources.shared import written
 
 # Headings and fixed lines of the report, in order.
 TITLE = "Auditoría de riesgo de datos"
@@ -58,11 +59,14 @@ def report_lines(
     and are never gathered.
     """
     f, md = F.col, text.markdown_text
+    # few lines a dataset, read by nine of the parts below: stored, so that they are worked out once
+    found = written(found, "report-findings")
     base = summaries.join(scored.drop("finding_count"), "dataset_id")
     confirmed = suggested.filter("confirmed")
     counts = found.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("hits"))
     accepted = confirmed.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("accepted"))
     base = base.join(counts, "dataset_id", "left").join(accepted, "dataset_id", "left")
+    base = written(base, "report-base")
     with_hits = lambda line: F.when(f("hits") > 0, line)
     errors = F.when(f("parse_error_count") > 0, wording.fill("- **Errores de parseo:** {n}", n=f("parse_error_count")))
     shown = F.array_join(F.transform("sample_values", text.table_cell), ", ")
