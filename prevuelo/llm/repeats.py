@@ -42,7 +42,7 @@ MOST = 2_000
 #: Strings of a run at first, a power of two below LENGTH.
 WIDE = 64
 #: Bytes that numpy works on at once; blocks in one suffix array.
-PART, CHUNK = 1 << 20, 60_000
+PART, CHUNK = 1 << 18, 30_000
 #: Share of documents that is looked at for skew, how often a sampled stretch or anchor must be seen, how many are noted.
 SHARE, SEEN, NOTED = 0.02, 24, 10_000
 

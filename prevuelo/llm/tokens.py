@@ -17,7 +17,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Different pieces that a worker remembers; about 200 bytes each.
-MAX_PIECES = 400_000
+MAX_PIECES = 200_000
 
 _PLAIN = bytes([9, 10, *range(32, 127), *range(161, 256)])
 
@@ -58,19 +58,23 @@ class _Pieces(dict):
         return ids
 
 
+def _state(part) -> dict:
+    return json.loads(part.__getstate__()) if part is not None else {}
+
+
 class Encoder:
     def __init__(self, path: str, most: int = MAX_PIECES):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        spec = json.loads(self.tokenizer.to_str())
-        pre = spec["pre_tokenizer"] or {}
+        # the parts' own states; the whole file would be read a second time, with all its merges
+        pre, normalizer = _state(self.tokenizer.pre_tokenizer), _state(self.tokenizer.normalizer)
         steps = pre.get("pretokenizers", [])
-        normal = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        normal = [n["type"] for n in normalizer.get("normalizers", [])]
         # blanks lead the next word / blanks are dropped and letters lowered / neither: always the library
-        self.leads = pre.get("type") == "ByteLevel" and pre["use_regex"] and not spec["normalizer"] and not pre["add_prefix_space"]
+        self.leads = pre.get("type") == "ByteLevel" and pre["use_regex"] and not normalizer and not pre["add_prefix_space"]
         self.drops = bool(steps) and steps[0].get("behavior") == "Removed" and normal == ["NFC", "Replace", "Lowercase"]
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if self.leads or self.drops:
             pattern = _WORDS if self.leads else steps[0]["pattern"]["Regex"]
             self.pieces = _Pieces(regex.compile(pattern).findall, " " if self.leads else "", self.tokenizer.model, most)
