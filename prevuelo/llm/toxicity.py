@@ -38,6 +38,8 @@ from prevuelo.llm.store import free, prepare
 PER_CLASS = 10_000
 #: Learned words and beginnings kept, best first; longest beginning.
 MAX_UNITS, MAX_BEGINNING = 3_000, 7
+#: Units that a worker counts before it sends them on.
+COUNTED = 100_000
 #: A learned unit needs this log-odds ratio, so many standard errors of it, and this many toxic rows.
 MIN_WEIGHT, MIN_ERRORS, MIN_ROWS = 2.0, 3.2, 4
 
@@ -165,7 +167,7 @@ def learn_units(sample: DataFrame, counts: tuple[int, int]) -> tuple[tuple[str,
                 for k in range(3, MAX_BEGINNING + 1):
                     units.update({w[:k] for w in words if len(w) > k})
                 seen[label].update(units)
-            if len(seen[0]) > 500_000:
+            if len(seen[0]) + len(seen[1]) > COUNTED:
                 yield _counted(seen)
                 seen = (Counter(), Counter())
         yield _counted(seen)
