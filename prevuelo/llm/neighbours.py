@@ -58,6 +58,7 @@ def calibrated(cosine: float, recall: float = RECALL) -> tuple[float, int]:
 def collisions(a: np.ndarray, b: np.ndarray, half: float) -> np.ndarray:
     """Lines on which each row of ``a`` has each row of ``b`` in its window; projections in columns."""
     count = np.zeros((len(a), len(b)), np.uint8)
+    kind = np.uint16 if len(b) < 2**16 else np.uint32
     unit = half / 4096
     x, y = (np.clip(np.rint(m / unit), -(2**29), 2**29).astype(np.int32) for m in (a, b))
     for k in range(a.shape[1]):
@@ -65,10 +66,11 @@ def collisions(a: np.ndarray, b: np.ndarray, half: float) -> np.ndarray:
         column = y[order, k]
         # the sorted line: a query's window is a run
         first = np.searchsorted(column, x[:, k] - 4097, "left")
-        last = np.searchsorted(column, x[:, k] + 4097, "right")
-        place = np.empty(len(order), np.int32)
-        place[order] = np.arange(len(order), dtype=np.int32)
-        count += (place >= first[:, None]) & (place < last[:, None])
+        width = np.searchsorted(column, x[:, k] + 4097, "right") - first
+        place = np.empty(len(order), kind)
+        place[order] = np.arange(len(order), dtype=kind)
+        # unsigned: what lies before the run wraps round and is too far as well
+        count += place - first.astype(kind)[:, None] < width.astype(kind)[:, None]
     return count
 
 
