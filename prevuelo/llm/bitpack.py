@@ -40,6 +40,8 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
     """``ids`` at ``bits`` bits each, filled up to whole blocks."""
     padded = np.zeros(-(-len(ids) // BLOCK) * BLOCK, np.uint64)
     padded[: len(ids)] = ids
+    if bits in (8, 16, 32):  # the same bytes as below
+        return padded.astype(f"<u{bits // 8}").tobytes()
     rows = padded.reshape(-1, _GROUP)
     out = np.zeros((len(rows), bits), np.uint64)
     for i in range(_GROUP):
@@ -52,6 +54,8 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
 
 def unpack(raw: bytes, bits: int) -> np.ndarray:
     """All ids of whole blocks, fill included."""
+    if bits in (8, 16, 32):
+        return np.frombuffer(raw, f"<u{bits // 8}").astype(np.uint32)
     rows = np.frombuffer(raw, "<u8").reshape(-1, bits)
     out = np.empty((len(rows), _GROUP), np.uint32)
     mask = np.uint64((1 << bits) - 1)

@@ -77,7 +77,9 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if self.leads or self.drops:
             pattern = _WORDS if self.leads else steps[0]["pattern"]["Regex"]
-            self.pieces = _Pieces(regex.compile(pattern).findall, " " if self.leads else "", self.tokenizer.model, most)
+            find = regex.compile(pattern).findall
+            self.pieces = _Pieces(find, " " if self.leads else "", self.tokenizer.model, most)
+            self.heads = _Pieces(find, "", self.tokenizer.model, most // 4)  # pieces that begin a text
 
     def _cut(self, text: str) -> list[str] | None:
         """The text's pieces, or None where only the whole text will do."""
@@ -108,8 +110,8 @@ class Encoder:
         if cut is None:
             return self.whole([text])[0]
         if self.leads:
-            head = cut.pop(0)
-            return (self.whole([head])[0] if head else b"") + b"".join(map(self.pieces.__getitem__, cut))
+            head = self.heads[cut.pop(0)]
+            return head + b"".join(map(self.pieces.__getitem__, cut))
         return b"".join(map(self.pieces.__getitem__, cut))
 
     @cached_property

@@ -77,9 +77,17 @@ def test_op1_digests(spark, byte_bpe):
     assert bpe.op1(df.limit(0), byte_bpe).count() == 0
 
 
-@pytest.mark.parametrize("bits", [1, 2, 7, 15, 16, 17, 31])
+def test_whole_bytes_are_packed_alike():
+    ids = np.random.default_rng(3).integers(0, 1 << 16, 4096, dtype=np.uint32)
+    want = np.packbits(np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :16].ravel(), bitorder="little")
+    assert bitpack.pack(ids, 16) == want.tobytes()
+    want = np.packbits(np.unpackbits((ids & 8191).astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :13].ravel(), bitorder="little")
+    assert bitpack.pack(ids & 8191, 13) == want.tobytes()
+
+
+@pytest.mark.parametrize("bits", [1, 2, 7, 8, 15, 16, 17, 31, 32])
 def test_packing_round_trip(bits):
-    ids = np.random.default_rng(1).integers(0, 1 << bits, 9001, dtype=np.uint32)
+    ids = np.random.default_rng(1).integers(0, 1 << bits, 9001, dtype=np.uint64).astype(np.uint32)
     raw = bitpack.pack(ids, bits)
     assert len(raw) == 3 * bitpack.BLOCK * bits // 8
     assert (bitpack.unpack(raw, bits)[:9001] == ids).all()
