@@ -31,6 +31,9 @@ BLOCK = 4096
 #: A file is closed once it holds this many ids; a document is never split between files.
 FILE_IDS = 16_000_000
 
+#: Pieces that an encoding worker remembers; it is alone in its task, so more than elsewhere.
+PIECES = 500_000
+
 _HEAD = struct.Struct("<8sIIIIQ")
 _LINE = pa.schema([("part", pa.int32()), ("file_no", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 _GROUP = 64  # so many ids fill a whole number of 64-bit words, whatever the width
@@ -123,7 +126,7 @@ def write_ids(df: DataFrame, tokenizer: str, out: str, end_id: int, doc_id: str
     """
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, PIECES)
         bits = max(1, max(enc.tokenizer.get_vocab_size() - 1, end_id).bit_length())
         end = np.array([end_id], "<u4").tobytes()
         task = TaskContext.get()
