@@ -218,6 +218,18 @@ def test_fingerprints_without_broadcast(spark, monkeypatch):
     assert sorted(map(tuple, imatch.op8(df).collect())) == one
 
 
+def test_every_term_of_a_long_text_counts(spark):
+    """Long texts that differ in one term of the band have different fingerprints and are not wholly alike."""
+    words = [f"w{i}" for i in range(4000)]
+    texts = [" ".join(words[:k] + words[k + 1 :]) for k in range(0, 4000, 160)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    lexicon = spark.createDataFrame([(w,) for w in words], "w string").select(imatch.F.xxhash64("w").alias("h"))
+    pairs = df.select("doc_id", "text", imatch.F.lag("text").over(imatch.Window.orderBy("doc_id")).alias("before"))
+    made = imatch.fingerprints(pairs.where("doc_id > 0"), ["doc_id"], {"a": "text", "b": "before"}, lexicon)
+    got = made.select(imatch.as_text("a").alias("a"), imatch.as_text("b").alias("b"), imatch.likeness("a", "b").alias("x")).collect()
+    assert len({r.a for r in got}) == len(got) and all(r.a != r.b and 0.8 < r.x < 1 for r in got)
+
+
 def test_fingerprints_are_native(spark):
     plan = imatch.op8(spark.read.parquet(f"{SF_DIR}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
