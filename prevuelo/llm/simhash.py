@@ -22,11 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from prevuelo.llm.graph import components
-from prevuelo.llm.store import prepare, written
+from prevuelo.llm.store import free, prepare, written
 
 WORDS, SEED, DISTANCE = 4, 42, 4
 
@@ -54,17 +55,18 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     return int(np.packbits(2 * sums > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, *keep): the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64()), *b.columns[2:]], ["doc_id", "fp", *keep])
 
     prepare(df.sparkSession)
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *keep)
+    out = StructType([StructField("doc_id", LongType()), StructField("fp", LongType()), *[df.schema[k] for k in keep]])
+    return rows.mapInArrow(run, out)
 
 
 def cells(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,16 +169,16 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return entered.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "u long, v long")
 
 
-def groups(df: DataFrame, distance: int = DISTANCE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, root, component_id): root is the component's smallest fingerprint as a node."""
-    rows = written(fingerprints(df, doc_id, text), "fingerprints")
+def groups(df: DataFrame, distance: int = DISTANCE, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, root, component_id, *keep): root is the component's smallest fingerprint as a node."""
+    rows = written(fingerprints(df, doc_id, text, keep), "fingerprints")
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     found = components(links(distinct, distance))
     nodes = distinct.join(found, distinct["fp"] == found["node"], "left")
     nodes = written(nodes.select("fp", "least", F.coalesce("component", "fp").alias("root")), "nodes")
     ids = written(nodes.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     named = written(nodes.join(ids, "root").select("fp", "root", "component_id"), "named")
-    return rows.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "fp", "root", "component_id", *keep)
 
 
 def op9(df: DataFrame) -> DataFrame:
@@ -186,19 +188,22 @@ def op9(df: DataFrame) -> DataFrame:
 def keep_one(df: DataFrame) -> DataFrame:
     """All columns of one row of each group: that with the smallest doc_id; of rows sharing it, the first by text.
 
-    A group whose rows all lack an id keeps one of them.
+    A group whose rows all lack an id keeps the first by text. An id may occur with several texts, in several groups.
     """
-    found = groups(df)
-    heads = found.where("doc_id = component_id").select(F.col("doc_id").alias("_head")).distinct()
-    order = Window.partitionBy("_head").orderBy("text")
-    kept = df.join(heads, F.col("doc_id") == F.col("_head")).withColumn("_n", F.row_number().over(order))
-    nameless = df.where("doc_id IS NULL")
-    lone = found.where("component_id IS NULL").select("fp", "root").distinct()
-    lone = lone.groupBy("root").agg(F.min("fp").alias("fp"))
-    # their texts are read again; only rows without an id come here
-    texts = nameless.select("text").distinct().withColumn("doc_id", F.monotonically_increasing_id())
-    hashed = written(texts, "nameless")
-    hashed = fingerprints(hashed).join(hashed, "doc_id").join(lone, "fp").groupBy("root").agg(F.min("text").alias("text"))
-    other = nameless.join(hashed.select(F.col("text").alias("_text")), F.col("text").eqNullSafe(F.col("_text")))
-    other = other.dropDuplicates(["text"])
-    return kept.where("_n = 1").select(*df.columns).unionByName(other.select(*df.columns))
+    number, key = free(df, "_number"), free(df, "_key")
+    # a row's id and text in few bytes, never null, so that rows can be joined by them
+    flags = [F.when(F.col(c).isNull(), "00").otherwise("01") for c in ("doc_id", "text")]
+    rows = df.withColumn(number, F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
+    rows = rows.withColumn(key, F.unhex(F.concat(*flags, F.md5(F.coalesce("text", F.lit(""))))))
+    found = groups(rows.select("doc_id", "text", key), keep=(key,))
+    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    heads = written(heads.select("root", F.coalesce("doc_id", F.lit(0)).alias(number), key).distinct(), "heads")
+    first = heads.groupBy("root").agg(F.min(number).alias(number), F.min(key).alias(key), F.max(key).alias("_last"))
+    kept = first.where(F.col(key) == F.col("_last")).select(number, key)
+    # groups in which several texts share the smallest id; only their texts are compared
+    tied = written(heads.join(first.where(F.col(key) != F.col("_last")).select("root"), "root"), "tied")
+    if not tied.isEmpty():
+        texts = rows.select(number, key, "text").join(tied, [number, key])
+        least = texts.groupBy("root").agg(F.min(F.struct("text", number, key)).alias("_least"))
+        kept = kept.unionByName(least.select(f"_least.{number}", f"_least.{key}"))
+    return rows.dropDuplicates([number, key]).join(kept, [number, key]).select(*df.columns)

@@ -98,6 +98,28 @@ def test_simhash_groups(spark, monkeypatch):
     assert simhash.op9(df.limit(0)).count() == 0
 
 
+def test_one_id_with_several_texts(spark):
+    """No group may vanish because its id occurs in another group too."""
+    rng = random.Random(12)
+    a, b, c, z, y = (" ".join(f"{k}{rng.randint(0, 999)}" for _ in range(60)) for k in "abczy")
+    rows = [(5, a, 1), (5, c, 1), (5, c, 1), (6, b, 1), (6, z, 1), (2, b, 1), (7, None, 1), (7, "", 1), (None, y, 1), (None, a, 1), (8, y, 1), (8, z, 1)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, _key int").repartition(3)
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted([(5, a), (5, c), (2, b), (6, z), (7, ""), (8, y)])
+    # links join the first two here: of the rows with the smallest id, the first by text stays
+    near = a.split()
+    for i in range(60):
+        other = " ".join([*near[:i], "q", *near[i + 1 :]])
+        if 0 < (simhash.fingerprint(a) ^ simhash.fingerprint(other)).bit_count() <= 4:
+            break
+    else:
+        other = a + " "
+    two = spark.createDataFrame([(5, a, 1), (5, other, 1), (None, a, 1)], df.schema)
+    assert [(r.doc_id, r.text) for r in simhash.keep_one(two).collect()] == [(5, min(a, other))]
+    assert simhash.keep_one(df.limit(0)).count() == 0
+
+
 def test_full_cells_are_divided(monkeypatch):
     monkeypatch.setattr(simhash, "FULL", 5)
     rng = random.Random(1)
