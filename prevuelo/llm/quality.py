@@ -1,16 +1,17 @@
 """Quality by positive-unlabelled learning.
 
-A small network is trained on trusted positives and on unlabelled web text; rows labelled 0 are never shown to it. With
+A small network is trained on trusted positives and on unlabelled web text: a sample of all documents outside the held-out
+fold, whatever their labels, which are not looked at; so training does not depend on the share that is labelled. With
 the class prior p, the risk of a classifier over all text is the positives' share p of its loss on positives, plus its
 loss on unlabelled text called negative, less what the positives among that text add. The last two are an estimate of
 the negatives' risk, which cannot be below zero; where a batch makes it so, the step goes against the overfit (the
 non-negative estimator). The prior is estimated as the share of positives among the labelled rows.
 
-Fitting sees at most ``PER_CLASS`` positives and ``UNLABELLED`` other rows, in hash order; scores read whole texts of
+Fitting sees at most ``PER_CLASS`` positives and ``UNLABELLED`` documents of the sample, in hash order; scores read whole texts of
 all rows. The features are shares and rates of characters, words and lines, so no vocabulary is learned.
 
 Null texts count as empty and get the score of an empty text. Rows may repeat and stay rows. Extra columns are not read.
-Without labelled positives, or without any unlabelled row, every score is the prior (0.5 without labels).
+Without labelled positives, or without any document outside the fold, every score is the prior (0.5 without labels).
 """
 
 from __future__ import annotations
@@ -137,12 +138,11 @@ def _measured(sample: DataFrame) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, unlabelled: int = UNLABELLED) -> Model:
-    """Learn from rows whose crc32(doc_id as text) mod 3 is not 1, and from rows without a label."""
+    """Learn from documents whose crc32(doc_id as text) mod 3 is not 1: labelled positives, and all without their labels."""
     ids, counts = labelled(labels, "quality", 3, 1, per_class)
     prior = counts[1] / sum(counts.values()) if sum(counts.values()) else 0.5
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    rest = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").join(known, "doc_id", "left_anti")
-    rest = rest.orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled).distinct()
+    rest = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull() & (crc() % 3 != 1))
+    rest = rest.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled)
     positive, other = _measured(texts_of(docs, ids.where("label = 1"))), _measured(texts_of(docs, rest))
     if not len(positive) or not len(other) or prior == 1:
         return Model(prior)

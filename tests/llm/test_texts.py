@@ -112,6 +112,15 @@ def test_quality_on_given_tables(spark):
     assert np.mean([g.predicted == r.quality for r, g in mine]) > 0.95
 
 
+def test_quality_where_every_document_is_labelled(spark):
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
+    got = {r.doc_id: r for r in quality.op5(docs, labels).collect()}
+    mine = [(r.quality, got[r.doc_id]) for r in labels.collect() if r.doc_id in got and held_out(r.doc_id, 3, 1)]
+    assert len({g.score for _, g in mine}) > 1 and {g.predicted for _, g in mine} == {0, 1}
+    assert np.mean([g.predicted == q for q, g in mine]) > 0.95
+
+
 def test_quality_odd_rows(spark):
     d = spark.createDataFrame([(None, None, "a"), (1, "", "a"), (1, "", "a"), (2, "x" * 100_000, "a")], DOCS)
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
