@@ -3,13 +3,16 @@
 Numbers and dates that pass their check are moved by a keyed Feistel permutation within their own format, so the same
 value gets the same pseudonym in every document, different values stay different, and the result passes the check too:
 
-- payment cards: 13 to 19 digits, plain or in fours, with a right check digit, which is computed anew
-- telephone numbers: +country (area) number and its usual spellings; the country stays
+- payment cards: 13 to 19 digits, plain, 16 in fours, or 14 and 15 as 4-6-4 and 4-6-5, with a right check digit, which is
+  computed anew
+- telephone numbers: three, three and four digits with or without +country; +country and a number in any groups, 8 to 15
+  digits in all; the country stays
 - IPv4 addresses with octets up to 255
 - social security numbers with a possible area, group and serial
-- calendar dates from 1900 to 2099: y-m-d, d/m/y (else m/d/y), d.m.y
+- calendar dates from 1900 to 2099: y-m-d, d/m/y (else m/d/y), d.m.y, with one or two digits of day and month; a time
+  behind y-m-d stays
 
-E-mail names and secrets (cloud keys; values after token, password, secret, api key) have no number to permute: each of
+E-mail names and secrets (cloud keys; values after token, password, secret, api key, in quotes or not) have no number to permute: each of
 their letters and digits is shifted by a keyed hash of the whole value. What fails its check stays as it is.
 
 A permutation works on a pair (l, r) of numbers below (a, b): eight rounds add a keyed SHA-256 of the one to the other,
@@ -33,13 +36,16 @@ ROUNDS = 8
 _START, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "secret": _START + r"(?:AKIA[0-9A-Z]{16}|(?i:token|password|passwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[0-9A-Za-z_/+-]{8,})" + _END,
-    "phone": r"(?<![\p{L}\p{N}+(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}" + _END + r"|(?<![\p{L}\p{N}+])\+\d{10,13}" + _END,
+    "secret": _START + r"(?:AKIA[0-9A-Z]{16}|(?i:token|password|passwd|secret|api[_-]?key)(?:\\?[\"'])?\s{0,3}[=:]\s{0,3}(?:\\?[\"'])?[0-9A-Za-z_/+-]{8,})" + _END,
+    "phone": r"(?<![\p{L}\p{N}+(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}" + _END + r"|(?<![\p{L}\p{N}+])\+[1-9](?:(?:[ .-]?\(|\)[ .-]?|[ ./-])?\d){7,14}" + _END,
     "ip": r"(?<![\p{L}\p{N}.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?[\p{L}\p{N}])",
-    "date": _START + r"(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})" + _END,
+    "date": _START + r"(?:\d{4}-\d{2}-\d{2}(?:(?=[Tt]\d{2}:?\d{2})|" + _END + r")|(?:\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})" + _END
+    + r"|(?<!\d[./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![./-]?[\p{N}]|\p{L}))",
     "ssn": _START + r"\d{3}-\d{2}-\d{4}" + _END,
-    "card": _START + r"(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{13,19})" + _END,
-}
+    "card": _START + r"(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5}|\d{13,19})" + _END,
+}
+#: Country codes of one and two digits; all others have three.
+_COUNTRY = r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: 200 years from 1900 are 73 049 days, 17 x 4297.
 _DAYS = (17, 4297)
 #: Areas 001-665 and 667-899, groups 01-99, serials 0001-9999.
@@ -51,7 +57,7 @@ def _quoted(text: str) -> str:
 
 
 def _any() -> str:
-    # the card's group is the only one, whatever stands before it
+    # the card's groups are the only ones, whatever stands before it
     return "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -122,19 +128,22 @@ def _date(key: str) -> str:
         out = _with(pair, "p", f"date_format(date_add(DATE'1900-01-01', CAST(p.l * {_DAYS[1]} + p.r AS INT)), '{form}')")
         return _with(read, "d", f"IF(d BETWEEN DATE'1900-01-01' AND DATE'2099-12-31', {out}, NULL)")
 
-    y_m_d = moved("try_to_date(m, 'yyyy-MM-dd')", "yyyy-MM-dd")
-    d_m_y = moved("try_to_date(m, 'dd/MM/yyyy')", "dd/MM/yyyy")
-    m_d_y = moved("try_to_date(m, 'MM/dd/yyyy')", "MM/dd/yyyy")
-    dots = moved("try_to_date(m, 'dd.MM.yyyy')", "dd.MM.yyyy")
-    return f"CASE WHEN m LIKE '____-%' THEN {y_m_d} WHEN m LIKE '__/%' THEN coalesce({d_m_y}, {m_d_y}) ELSE {dots} END"
+    y_m_d = moved("try_to_date(w, 'yyyy-MM-dd')", "yyyy-MM-dd")
+    d_m_y = moved("try_to_date(w, 'dd/MM/yyyy')", "dd/MM/yyyy")
+    m_d_y = moved("try_to_date(w, 'MM/dd/yyyy')", "MM/dd/yyyy")
+    dots = moved("try_to_date(w, 'dd.MM.yyyy')", "dd.MM.yyyy")
+    # w: two digits of day and month; where m has fewer, the result has no leading zeros
+    wide = f"IF(length(m) = 10, m, regexp_replace(m, {_quoted(r'\b(\d)\b')}, '0$1'))"
+    out = _with(wide, "w", f"CASE WHEN w LIKE '____-%' THEN {y_m_d} WHEN w LIKE '__/%' THEN coalesce({d_m_y}, {m_d_y}) ELSE {dots} END")
+    return _with(out, "o", f"IF(length(m) = 10, o, regexp_replace(o, {_quoted(r'\b0')}, ''))")
 
 
 def pseudonym(key: str) -> str:
     """SQL of the replacement of match ``m``; null where it fails its check."""
     email = f"concat({_shifted(_part(1, '^(.*)@'), key, 'email')}, {_part(1, '(@.*)$')})"
-    head = _part(1, "^(AKIA|[^=:]*[=:]\\s*[\"\\']?)")
+    head = _part(1, r"^(AKIA|[^=:]*[=:]\s*(?:\\?[\"'])?)")
     secret = _with(head, "h", f"concat(h, {_with('substr(m, length(h) + 1)', 'v', _shifted('v', key, 'secret'))})")
-    country = _part(1, r"^(\+\d{1,3}(?=[ .(-])|\+\d{1,3}(?=\d{10}$))")
+    country = _part(1, rf"^({_COUNTRY}|\+\d{{1,3}}(?=[ .(-]))")
     phone = _with(country, "h", f"concat(h, {_with('substr(m, length(h) + 1)', 'v', _refill('v', _digits(_only_digits('v'), key, 'phone')))})")
     octet = lambda i: f"CAST(element_at(split(m, '[.]'), {i}) AS INT)"
     pair = feistel(f"{octet(1)} * 256 + {octet(2)}", f"{octet(3)} * 256 + {octet(4)}", "65536", "65536", key, "ip")

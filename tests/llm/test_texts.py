@@ -161,6 +161,33 @@ def test_pseudonyms_keep_their_format(spark):
     assert all(int(x) < 256 for x in got[2][0][3:-1].split("."))
 
 
+def test_pseudonyms_of_other_usual_spellings(spark):
+    values = [
+        "+44 20 7946 0958", "+442079460958", "+33 1 23 45 67 89", "+33123456789", "+49 (30) 1234-567", "+49.30.1234567", "+6512345678", "+4712345678",
+        "3782 822463 10005", "3782-822463-10005", "378282246310005", "3056 930902 5904", "3/7/2021", "03/07/2021", "1/31/2000", "3.7.2021", "2024-5-1",
+    ]
+    texts = [f"see {v}, then" for v in values]
+    texts += ["at 2024-05-01T10:00:00Z.", '{"password": "b7db7aa4a5fcc783"}', "{'api_key':'b7db7aa4a5fcc783'}", '"{\\"secret\\": \\"b7db7aa4a5fcc783\\"}"']
+    got = pseudonyms(spark, texts)
+    for i, v in enumerate(values):
+        new, n = got[i]
+        assert n == 1 and new[:4] == "see " and new[-6:] == ", then" and v not in new, v
+        if i < 12:
+            assert re.sub(r"\d", "9", new) == re.sub(r"\d", "9", texts[i])
+    bare = lambda i: re.sub(r"\D", "", got[i][0])
+    assert bare(0) == bare(1) and bare(2) == bare(3) and bare(4) == bare(5) and bare(8) == bare(9) == bare(10)
+    assert [bare(i)[:2] for i in (0, 2, 4, 6, 7)] == ["44", "33", "49", "65", "47"] and luhn(bare(8)) and luhn(bare(11))
+    day = lambda i, sep: [int(x) for x in got[i][0][4:-6].split(sep)]
+    assert day(12, "/") == day(13, "/") == day(15, ".") and len(got[13][0]) == len(texts[13])
+    time, json, other, escaped = (got[len(values) + k] for k in range(4))
+    assert re.fullmatch(r"at \d{4}-\d\d-\d\dT10:00:00Z\.", time[0]) and "2024-05-01" not in time[0]
+    assert [x[1] for x in (time, json, other, escaped)] == [1] * 4
+    assert all("b7db7aa4a5fcc783" not in x[0] and x[0][:10] == t[:10] and x[0][-2:] == t[-2:] for x, t in zip((json, other, escaped), texts[-3:]))
+    stay = ["+1234567", "+1234567890123456", "3782 822463 10006", "31/31/2021 3/32/2021", "1.3.7.2021", "1/2/2021/5", "2024-05-01X", "2024-13-1", "1850-1-1"]
+    got = pseudonyms(spark, stay)
+    assert [got[i] for i in range(len(stay))] == [(t, 0) for t in stay]
+
+
 def test_what_fails_its_check_stays(spark):
     texts = [None, "", "plain", "300.1.1.1 1.2.3", "4111111111111112 0000000000000000", "000-12-3456 900-11-1111", "2023-02-30 31/31/2000 1850-01-01", "x1234567890123456", "v1.2.3.4.5"]
     got = pseudonyms(spark, texts)
