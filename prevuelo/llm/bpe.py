@@ -67,9 +67,14 @@ def _unblanked(enc: Encoder, text: str, leaf: int) -> Iterator[tuple[int, str]]:
     held, size = [], 0
     for _, (a, b) in enc.tokenizer.pre_tokenizer.pre_tokenize_str(text):
         if b - a > leaf:
-            if held:
-                yield TEXT, "".join(held)
-                held, size = [], 0
+            # white space before it was split with a view to it: those pieces stay as they are
+            white = len(held)
+            while white and held[white - 1][-1].isspace():
+                white -= 1
+            if white:
+                yield TEXT, "".join(held[:white])
+            yield from ((FIRST, piece) for piece in held[white:])
+            held, size = [], 0
             for i in range(a, b, leaf):
                 yield (FIRST if i == a else NEXT), text[i : min(b, i + leaf)]
             continue

@@ -47,6 +47,32 @@ def test_leaves_equal_library(text, leaf):
     assert got == enc.whole([text])[0]
 
 
+@pytest.mark.parametrize("white", ["\n", "\n\n", "\n\n\n\n", " \n", "\t\t", "  \n\n", "\u00a0\n", "\r\n\r\n", "\u2028\n", "\x1c\x1c"])
+def test_white_space_around_unsplit_stretches(byte_bpe, white):
+    enc, blob = encoder(byte_bpe), "abcdefgh" * 4000
+    for text in [
+        "x" * 20_000 + white + blob + " end",
+        white + blob + white + blob + white,
+        "one two" + white + blob + white + "7" * 40_000 + white + "three, four",
+        "!" * 18_000 + white + blob + "\n" * 20_000 + blob,
+    ]:
+        cut = list(bpe.leaves(enc, text))
+        assert "".join(t for _, t in cut) == text and any(k == bpe.NEXT for k, _ in cut)
+        got = bpe.assemble(enc, [k for k, _ in cut], [bpe.encode_leaf(enc, k, t) for k, t in cut])
+        assert got == enc.whole([text])[0]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["\n", "\n\n", " ", "\t", "abcdefgh", "é!?", "12345", "日本日本日本", "x"]), max_size=30), st.integers(1, 6))
+def test_white_space_and_stretches_at_small_leaves(parts, leaf):
+    from prevuelo.llm.queries import tokenizer
+
+    enc, text = encoder(tokenizer("byte_bpe_50k.json")), "".join(parts)
+    cut = list(bpe.leaves(enc, text, leaf))
+    got = bpe.assemble(enc, [k for k, _ in cut], [bpe.encode_leaf(enc, k, t) for k, t in cut])
+    assert "".join(t for _, t in cut) == text and got == enc.whole([text])[0]
+
+
 def test_unsplit_text_is_joined_exactly(byte_bpe):
     enc, rng = encoder(byte_bpe), random.Random(5)
     for _ in range(200):
