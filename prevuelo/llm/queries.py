@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prevuelo.llm import bitpack, bpe, imatch, neighbours, packing, pii, quality, repeats, simhash, toxicity
+from prevuelo.llm import bitpack, bpe, fim, imatch, neighbours, packing, pieces, pii, quality, repeats, simhash, spelling, toxicity
 from prevuelo.llm.oracles import ORACLES
 from prevuelo.llm.store import documents
 
@@ -68,6 +68,18 @@ def op10_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.op10(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.op11(documents(spark, sf_dir))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.op12(documents(spark, sf_dir))
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.op13(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_repeats": op2_repeats,
@@ -79,5 +91,8 @@ QUERIES: dict[str, Query] = {
     "op8_imatch": op8_imatch,
     "op9_simhash": op9_simhash,
     "op10_bitpack": op10_bitpack,
+    "op11_fim": op11_fim,
+    "op12_spelling": op12_spelling,
+    "op13_pieces": op13_pieces,
 }
 __all__ = ["ORACLES", "QUERIES"]
