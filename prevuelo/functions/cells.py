@@ -130,6 +130,12 @@ def row_key(cells: Iterable[str]) -> str:
     return f"concat(CAST('{_ROW}' AS BINARY), {_digest(f'concat({parts})')})"
 
 
+def array_key(cells: str) -> str:
+    """``row_key`` of cells in an array."""
+    parts = f"array_join(transform({cells}, c -> coalesce(concat(octet_length(c), ':', c), '-')), '')"
+    return f"concat(CAST('{_ROW}' AS BINARY), {_digest(parts)})"
+
+
 def key_code(key: str) -> str:
     """The code of the value behind a key; NULL for a missing cell, ``r`` for a row."""
     return (

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prevuelo.functions import cells as C
-from prevuelo.sources.frames import Frame
+from prevuelo.sources.frames import Frame, Records
 
 # Distinct values are dealt into this many buckets; see ``sample_bound`` below.
 _BUCKETS = 16
@@ -25,11 +25,39 @@ SAMPLES = 10
 
 ROW_POS = -1  # ``column_pos`` of the line that measures whole rows
 
+# Columns of records are known by their headers table only: slot -1 is the row, and -2, -3 and so on are its cells.
+_RECORD_ROW = -1
+
 
 def _file(frame: Frame) -> str:
     return "CAST(NULL AS STRING)" if frame.name is not None else "dataset"
 
 
+def _record_pairs(records: Records, columns: Collection[str] | None, whole_rows: bool) -> DataFrame:
+    """(file, pos, slot, key) of rows that hold their cells in an array, whatever their headers."""
+    parts = ["array(struct({row} AS slot, hex({key}) AS value))".format(row=_RECORD_ROW, key=C.array_key("cells"))] if whole_rows else []
+    if columns is None or columns:
+        parts.append(f"transform(cells, (v, i) -> struct({_RECORD_ROW - 1} - i AS slot, v AS value))")
+    spread = records.rows.selectExpr("dataset AS file", "pos", f"inline(concat({', '.join(parts) or 'array()'}))")
+    if columns is not None:
+        wanted = records.headers.filter(F.col("column_name").isin(list(columns)))
+        wanted = wanted.select(F.col("dataset_id").alias("file"), (_RECORD_ROW - 1 - F.col("column_pos")).alias("slot"))
+        rows = wanted.select("file", F.lit(_RECORD_ROW).alias("slot")).distinct()
+        spread = spread.join(wanted.unionByName(rows), ["file", "slot"], "left_semi")
+    key = f"IF(slot = {_RECORD_ROW}, unhex(value), {C.cell_key('value')}) AS key"
+    return spread.selectExpr("file", "pos", "slot", key)
+
+
+def _named(lines: DataFrame, frames: tuple[Frame | Records, ...]) -> DataFrame:
+    """The lines of records with the names of their columns."""
+    headers = [f.headers for f in frames if isinstance(f, Records)]
+    if not headers:
+        return lines
+    known = reduce(DataFrame.unionByName, headers).withColumnRenamed("column_name", "known_name")
+    named = lines.join(known, ["dataset_id", "column_pos"], "left")
+    return named.withColumn("column_name", F.coalesce("column_name", "known_name")).select(*lines.columns)
+
+
 def _pairs(frame: Frame, base: int, wanted: list[int], whole_rows: bool) -> DataFrame:
     """(file, pos, slot, key): one pair per cell of the wanted columns, and slot ``base`` for the row."""
     slots = {str(base + 1 + i): f"c{i}" for i in wanted}
@@ -55,6 +83,11 @@ def _inferred_type(kinds: Column) -> Column:
     return one_kind.otherwise("mixed")
 
 
+def _position(positions: list) -> Column:
+    """Position of a slot's column; those of records stand in the slot itself."""
+    return F.when(F.col("slot") < 0, _RECORD_ROW + ROW_POS - F.col("slot")).otherwise(_literal_at(positions, "int"))
+
+
 def _slots(frames: tuple[Frame, ...]) -> tuple[list[int], list, list, list]:
     """First slot of each frame; column name, dataset and column position by slot."""
     named = [frame.name for frame in frames if frame.name is not None]
@@ -69,15 +102,16 @@ def _slots(frames: tuple[Frame, ...]) -> tuple[list[int], list, list, list]:
     return bases, names, datasets, positions
 
 
-def measure_counts(*frames: Frame) -> DataFrame:
+def measure_counts(*frames: Frame | Records) -> DataFrame:
     """The lines of ``measure`` without what needs distinct values: those are NULL.
 
     Missing and empty cells, types and invalid dates are sums over each row's cells, so every task sends one line per
     dataset, and no value and no row digest travels.
     """
-    bases, names, datasets, positions = _slots(frames)
-    parts = []
-    for frame, base in zip(frames, bases):
+    columnar = tuple(f for f in frames if isinstance(f, Frame))
+    bases, names, datasets, positions = _slots(columnar)
+    parts = [_record_counts(f) for f in frames if isinstance(f, Records)]
+    for frame, base in zip(columnar, bases):
         codes = [f"CASE WHEN {c} IS NOT NULL THEN {C.cell_code(c)} END AS k{i}" for i, c in enumerate(frame.columns)]
         sums, lines = [], [f"struct({base} AS slot, 0L AS nulls, 0L AS empties, 0 AS kinds, 0L AS undated)"]
         for i in range(len(frame.columns)):
@@ -95,10 +129,10 @@ def measure_counts(*frames: Frame) -> DataFrame:
         counted = frame.rows.selectExpr(f"{_file(frame)} AS file", *codes).groupBy("file")
         counted = counted.agg(F.count(F.lit(1)).alias("row_count"), *sums)
         parts.append(counted.selectExpr("file", "row_count", f"inline(array({', '.join(lines)}))"))
-    rows = F.col("slot").isin(bases)
-    return reduce(DataFrame.unionByName, parts).select(
+    rows = F.col("slot").isin([*bases, _RECORD_ROW])
+    counts = reduce(DataFrame.unionByName, parts).select(
         F.coalesce(F.col("file"), _literal_at(datasets, "string")).alias("dataset_id"),
-        _literal_at(positions, "int").alias("column_pos"),
+        _position(positions).alias("column_pos"),
         _literal_at(names, "string").alias("column_name"),
         "row_count",
         F.col("nulls").alias("null_count"),
@@ -108,9 +142,26 @@ def measure_counts(*frames: Frame) -> DataFrame:
         F.col("undated").alias("invalid_date_count"),
         F.lit(None).cast("bigint").alias("sample_bound"),
     )
+    return _named(counts, frames)
+
+
+def _record_counts(records: Records) -> DataFrame:
+    """(file, row_count, slot, nulls, empties, kinds, undated): a line per task, dataset and column travels."""
+    code, row = F.col("code"), F.col("slot") == _RECORD_ROW
+    spread = f"inline(concat(array(struct({_RECORD_ROW} AS slot, CAST(NULL AS STRING) AS value)), transform(cells, (v, i) -> struct({_RECORD_ROW - 1} - i AS slot, v AS value))))"
+    cells = records.rows.selectExpr("dataset AS file", spread)
+    cells = cells.selectExpr("file", "slot", f"CASE WHEN value IS NOT NULL THEN {C.cell_code('value')} END AS code")
+    bits = F.coalesce(*[F.when(code.isin(own), F.lit(1 << bit)) for bit, own in enumerate(C.KINDS.values())], F.lit(0))
+    return cells.groupBy("file", "slot").agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.count_if(code.isNull() & ~row).alias("nulls"),
+        F.count_if(code == C.EMPTY).alias("empties"),
+        F.bit_or(bits).alias("kinds"),
+        F.count_if(code.isin(C.NOT_A_VALID_DATE)).alias("undated"),
+    )
 
 
-def measure(*frames: Frame, columns: Collection[str] | None = None, whole_rows: bool = True) -> DataFrame:
+def measure(*frames: Frame | Records, columns: Collection[str] | None = None, whole_rows: bool = True) -> DataFrame:
     """One line per dataset and column, and one per dataset with ``column_pos`` -1 for its rows.
 
     ``columns`` restricts the measured columns to those names; without ``whole_rows`` the rows
@@ -121,14 +172,16 @@ def measure(*frames: Frame, columns: Collection[str] | None = None, whole_rows:
     smallest of the first positions of its hash buckets of values or, when its values fill
     fewer buckets, the first position of the value that shows up last.
     """
-    bases, names, datasets, positions = _slots(frames)
-    pairs = []
-    for frame, base in zip(frames, bases):
+    columnar = tuple(f for f in frames if isinstance(f, Frame))
+    bases, names, datasets, positions = _slots(columnar)
+    pairs = [_record_pairs(f, columns, whole_rows) for f in frames if isinstance(f, Records) and (whole_rows or columns is None or columns)]
+    for frame, base in zip(columnar, bases):
         wanted = [i for i, name in enumerate(frame.headers) if columns is None or name in columns]
         if wanted or whole_rows:
             pairs.append(_pairs(frame, base, wanted, whole_rows))
     if not pairs:  # nothing is asked for: no lines
-        pairs = [_pairs(frames[0], 0, [0], False).limit(0)]
+        first = frames[0]
+        pairs = [(_pairs(first, 0, [0], False) if isinstance(first, Frame) else _record_pairs(first, None, True)).limit(0)]
 
     code = F.col("code")
     tallies = (
@@ -170,9 +223,9 @@ def measure(*frames: Frame, columns: Collection[str] | None = None, whole_rows:
         F.array_sort(F.collect_list(F.when(F.col("usable"), F.col("first_pos")))).alias("seen"),
         F.max(F.when(F.col("usable"), F.col("last_first_pos"))).alias("last_first_pos"),
     )
-    return per_column.select(
+    measured = per_column.select(
         F.coalesce(F.col("file"), _literal_at(datasets, "string")).alias("dataset_id"),
-        _literal_at(positions, "int").alias("column_pos"),
+        _position(positions).alias("column_pos"),
         _literal_at(names, "string").alias("column_name"),
         "row_count",
         "null_count",
@@ -182,6 +235,7 @@ def measure(*frames: Frame, columns: Collection[str] | None = None, whole_rows:
         "invalid_date_count",
         F.coalesce(F.get("seen", F.lit(SAMPLES - 1)), F.col("last_first_pos")).alias("sample_bound"),
     )
+    return _named(measured, frames)
 
 
 def column_facts(facts: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prevuelo.functions.cells import is_usable
 from prevuelo.operators.measure import SAMPLES, column_facts
-from prevuelo.sources.frames import Frame
+from prevuelo.sources.frames import Frame, Records
 
 
 def _known_bounds(frames: list[Frame], bounds: DataFrame) -> dict[str, dict[int, int | None]]:
@@ -53,15 +53,25 @@ def _early_cells(frame: Frame, bounds: DataFrame, known_by_name: dict[str, dict[
     )
 
 
-def first_values(frames: list[Frame], facts: DataFrame) -> DataFrame:
+def _early_record_cells(records: Records, bounds: DataFrame) -> DataFrame:
+    """The same of records: their cells meet the stored bounds by dataset and column."""
+    last = bounds.agg(F.max("sample_bound")).first()[0]
+    rows = records.rows.filter(F.col("pos") <= (-1 if last is None else last))
+    cells = rows.select("dataset", "pos", F.posexplode("cells").alias("column_pos", "value")).filter(is_usable("value"))
+    known = bounds.select(F.col("dataset_id").alias("dataset"), "column_pos", "sample_bound")
+    return cells.join(known, ["dataset", "column_pos"]).filter("pos <= sample_bound").select("dataset", "pos", "column_pos", "value")
+
+
+def first_values(frames: list[Frame | Records], facts: DataFrame) -> DataFrame:
     """(dataset_id, column_pos, nth, value) with ``nth`` 1..10.
 
     ``facts`` must be stored: this is a second, pruned scan of the rows that lets through
     the few cells the bounds allow, instead of carrying whole texts through the big shuffle.
     """
     bounds = column_facts(facts)
-    known = _known_bounds(frames, bounds)
-    early = reduce(DataFrame.unionByName, [_early_cells(f, bounds, known) for f in frames])
+    known = _known_bounds([f for f in frames if isinstance(f, Frame)], bounds)
+    early = [_early_record_cells(f, bounds) if isinstance(f, Records) else _early_cells(f, bounds, known) for f in frames]
+    early = reduce(DataFrame.unionByName, early)
     firsts = early.groupBy("dataset", "column_pos", "value").agg(F.min("pos").alias("first_pos"))
     in_order = Window.partitionBy("dataset", "column_pos").orderBy("first_pos", "value")
     return (
@@ -71,7 +81,7 @@ def first_values(frames: list[Frame], facts: DataFrame) -> DataFrame:
     )
 
 
-def sample_values(frames: list[Frame], facts: DataFrame) -> DataFrame:
+def sample_values(frames: list[Frame | Records], facts: DataFrame) -> DataFrame:
     """(dataset_id, column_pos, sample_values), the ten values as an array in order."""
     ordered = F.array_sort(F.collect_list(F.struct("nth", "value")))
     return (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
-from functools import cached_property, reduce
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from prevuelo.operators.findings import findings, rule_status
 from prevuelo.operators.measure import column_facts, measure, row_facts
 from prevuelo.operators.samples import sample_values
 from prevuelo.sources.csv import read_all, refusal
-from prevuelo.sources.frames import Frame
+from prevuelo.sources.frames import Frame, Records
 from prevuelo.sources.shared import written
 
 @dataclass(frozen=True)
@@ -28,11 +28,16 @@ class Audit:
     scanned once for the measures and once, pruned, for the sample values.
     """
 
-    frames: tuple[Frame, ...]
+    sources: tuple[Frame | Records, ...]
     facts: DataFrame
     parse_errors: DataFrame | None = None
     rejected: DataFrame | None = None  # (dataset_id, status, error) of what never reached the audit
 
+    @cached_property
+    def frames(self) -> tuple[Frame, ...]:
+        """The sources as frames, one for each header."""
+        return tuple(f for s in self.sources for f in (s.frames() if isinstance(s, Records) else [s]))
+
     @cached_property
     def summary(self) -> DataFrame:
         """(dataset_id, row_count, column_count, parse_error_count)."""
@@ -48,7 +53,7 @@ class Audit:
     @cached_property
     def profile(self) -> DataFrame:
         """One line per dataset and column, with sample values."""
-        samples = sample_values(list(self.frames), self.facts)
+        samples = sample_values(list(self.sources), self.facts)
         return (
             column_facts(self.facts)
             .drop("sample_bound")
@@ -97,12 +102,17 @@ class Audit:
         return enrichment.prompts(self.dossiers)
 
     def preview(self, dataset: str | None = None) -> DataFrame:
-        """The first rows of the frame that is called ``dataset`` (or of the only frame)."""
-        chosen = [f for f in self.frames if dataset is None or f.name == dataset]
+        """The first rows of the frame that is called ``dataset`` (or of the only source)."""
+        chosen = [f for f in self.sources if dataset is None or (isinstance(f, Frame) and f.name == dataset)]
         if dataset is not None and not chosen:
-            # a frame of many datasets, one per header of the job: the one that has rows of this dataset
-            parts = [replace(f, rows=f.rows.filter(F.col("dataset") == dataset)) for f in self.frames if f.name is None]
+            # a source of many datasets: the one that has this one
+            mine = F.col("dataset") == dataset
+            of_many = [(r, r.names_of(dataset)) for r in self.sources if isinstance(r, Records)]
+            parts = [r.frame_of(names, mine) for r, names in of_many if names]
+            parts += [replace(f, rows=f.rows.filter(mine)) for f in self.sources if isinstance(f, Frame) and f.name is None]
             chosen = [f for f in parts if not f.rows.isEmpty()]
+        if len(chosen) == 1 and isinstance(chosen[0], Records):
+            chosen = list(chosen[0].frames())
         if len(chosen) != 1:
             raise ValueError(f"{len(chosen)} frames match {dataset!r}")
         return rows.preview(chosen[0])
@@ -137,7 +147,7 @@ class Audit:
         return report.report_documents(self.report_lines(decisions, title))
 
 
-def audit(*frames: Frame, parse_errors: DataFrame | None = None, rejected: DataFrame | None = None) -> Audit:
+def audit(*frames: Frame | Records, parse_errors: DataFrame | None = None, rejected: DataFrame | None = None) -> Audit:
     """Measure all frames in one job and return the results derived from the measures."""
     return Audit(frames, written(measure(*frames), "facts"), parse_errors, rejected)
 
@@ -149,23 +159,22 @@ def audit_csv(
     dataset_id: Callable[[Column], Column] | None = None,
     max_bytes: int | None = None,
 ) -> Audit:
-    """Audit every CSV file below ``path`` in one job, whatever their headers.
+    """Audit every CSV file below ``path`` in one job and one plan, whatever their headers and separators.
 
-    One listing and one pass over the raw lines tell which files can be read and which share a header, however many
-    headers there are; each header is then a frame of the job.  ``dataset_id`` may put several files into one dataset as
-    long as they share a header.
+    ``dataset_id`` may put several files into one dataset as long as they share a header.
     """
-    scans, refused = read_all(spark, path, sep, dataset_id, max_bytes)
-    if not scans:
-        raise ValueError(refusal(refused))
+    found = read_all(spark, path, sep, dataset_id, max_bytes)
+    if found.records.headers.isEmpty():
+        raise ValueError(refusal(found.files))
     # stored beside the facts: the files are parsed for them once, whatever is derived later
-    errors = written(reduce(DataFrame.unionByName, [s.parse_errors for s in scans]), "parse-errors")
-    return audit(*[s.frame for s in scans], parse_errors=errors, rejected=refused.drop("path"))
+    errors = written(found.parse_errors, "parse-errors")
+    rejected = found.files.filter(F.col("status") != "accepted").select("dataset_id", "status", "error")
+    return audit(found.records, parse_errors=errors, rejected=rejected)
 
 
 def require_data(result: Audit) -> Audit:
     """Strict mode: raise when a named frame kept no rows."""
-    named = [f.name for f in result.frames if f.name is not None]
+    named = [f.name for f in result.sources if isinstance(f, Frame) and f.name is not None]
     present = {r.dataset_id for r in row_facts(result.facts).filter(F.col("dataset_id").isin(named)).collect()}
     empty = sorted(set(named) - present)
     if empty:

@@ -1,25 +1,29 @@
-"""CSV files as frames: text cells, missing told from empty, malformed lines on record."""
+"""CSV files as rows of cells: text, missing told from empty, malformed lines on record.
+
+One listing and one pass over the raw lines tell what each file is: whether it can be read, its separator, its header,
+and whether a quoted cell runs over a line end in it. These facts are a table, a line per file, and every scan of lines is
+joined with it; so one plan reads any number of files and headers. A file is always read split by split: lines of files
+whose quoted cells run over line ends are put together by ``quoting``.
+"""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, replace
-from functools import reduce
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prevuelo.functions import wording
-from prevuelo.sources.files import admit, inspect_text, list_files, position_in_file, scanned_path
-from prevuelo.sources.frames import Frame, make_frame
+from prevuelo.functions.cells import is_usable
+from prevuelo.sources.files import QUOTED, admit, inspect_text, list_files, position_in_file, raw_lines, scanned_file
+from prevuelo.sources.frames import Frame, Records
+from prevuelo.sources.quoting import assemble
+from prevuelo.sources.shared import written
 
 # Separators that are tried, in order of preference.
 SEPARATORS = [",", "\t", "|", ";", "\x1e", "\x1f"]
-_SAMPLE_LINES = 10
-# Fields that the reader makes room for; a line of more of them is beyond any table.
-MAX_FIELDS = 2_000_000
-_QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'  # possessive: no backtracking, whatever the length of a cell
 
 # Messages about lines that do not fit the header, and about the separator.
 TOO_FEW = "Too few fields: expected {width} fields but parsed {tokens}"
@@ -27,6 +31,9 @@ TOO_MANY = "Too many fields: expected {width} fields but parsed {tokens}"
 BAD_QUOTES = "Malformed quotes"
 NO_SEPARATOR = "Unable to auto-detect delimiting character; defaulted to ','"
 
+_GLOB = "*.[cC][sS][vV]"
+_ACCEPTED = "accepted"
+
 
 @dataclass(frozen=True)
 class CsvScan:
@@ -38,169 +45,257 @@ class CsvScan:
     files: DataFrame
 
 
-def first_lines(spark: SparkSession, path: str) -> list[str]:
-    """The first non-empty lines of one file."""
-    return [r.value for r in spark.read.text(_literal([path])).filter(F.col("value") != "").limit(_SAMPLE_LINES).collect()]
-
-
 def detect_separator(lines: list[str]) -> str | None:
-    """The separator that cuts a file's first lines into the steadiest number (two or more) of fields."""
-    bare = [re.sub(_QUOTED, "q", line) for line in lines]
+    """The separator of lines at hand, by the rule that ``survey`` applies to all lines of a file: of those that cut the
+    first line into two or more fields, the one by which most lines have as many fields as the first."""
+    bare = [re.sub(QUOTED, "q", line) for line in lines if line]
     scored = []
     for rank, sep in enumerate(SEPARATORS):
         widths = [line.count(sep) + 1 for line in bare]
-        if widths and sum(widths) / len(widths) >= 2:
-            unrest = sum(abs(a - b) for a, b in zip(widths, widths[1:]))
-            scored.append((unrest, -sum(widths), rank, sep))
-    return min(scored)[3] if scored else None
+        if widths and widths[0] > 1:
+            scored.append((widths.count(widths[0]), widths[0], -rank, sep))
+    return max(scored)[3] if scored else None
 
 
-def _literal(paths: list[str]) -> list[str]:
-    """Paths as the readers must get them: characters of file patterns stand for themselves."""
-    return [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths]
+def _literal(sep: str) -> str:
+    return f"\\x{ord(sep):02x}"
+
+
+def _field(sep: str) -> str:
+    """Pattern of a field whose quotes, if it begins with one, are closed; what stands behind them belongs to it."""
+    return rf'(?:{QUOTED}[^{_literal(sep)}]*+|[^"{_literal(sep)}][^{_literal(sep)}]*+|)'
 
 
 def _complete_line(sep: str) -> str:
     """Pattern of a line that, begun outside quotes, also ends outside quotes."""
-    s = f"\\x{ord(sep):02x}"
-    field = rf'(?:{_QUOTED}|[^"{s}][^{s}]*+|)'
-    return rf"^(?:{field}{s})*+{field}\z"
-
-
-def _options(sep: str) -> dict[str, str]:
-    return {"sep": sep, "quote": '"', "escape": '"', "header": "true", "encoding": "UTF-8", "maxCharsPerColumn": "-1",
-            "maxColumns": str(MAX_FIELDS)}
-
-
-def read_headers(spark: SparkSession, path: str, sep: str) -> list[str]:
-    """Column names of a file, in order and as written; a name in quotes may hold line ends."""
-    # the first record as a record: its cells are the names
-    options = _options(sep) | {"header": "false", "multiLine": "true"}
-    first = spark.read.options(**options).csv(_literal([path])).first()
-    if first is None:
-        raise ValueError(wording.NO_HEADERS_ERROR)
-    return [name or "" for name in first]
-
-
-def _records(spark: SparkSession, paths: list[str], width: int, sep: str, whole_file: bool) -> DataFrame:
-    """Records as read, with file, split and task row number taken right at the scan."""
-    schema = ", ".join([*[f"c{i} string" for i in range(width)], "bad string"])
-    # the parser marks malformed records only when it parses every column
-    options = _options(sep) | {"columnNameOfCorruptRecord": "bad", "columnPruning": "false"}
-    read = spark.read.schema(schema).options(**options, mode="PERMISSIVE", multiLine=str(whole_file).lower())
-    records = read.csv(_literal(paths)).select(
-        "*",
-        scanned_path().alias("path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("task_row"),
-    )
-    # a quote opens a cell only at its start
-    opened = rf"(^|\x{ord(sep):02x}){_QUOTED}"
-    bare = F.regexp_replace(F.regexp_replace("bad", opened, "$1q"), r"[\r\n]+\z", "")
-    # always ``bad``; naming a second column keeps queries on malformed records alone allowed
-    records = records.withColumn("bad", F.coalesce(F.nullif("bad", "c0"), "bad"))
-    return records.withColumn("tokens", F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1)
+    return rf"^(?:{_field(sep)}{_literal(sep)})*+{_field(sep)}\z"
 
 
-def _cell(i: int) -> str:
-    """Text of column ``i``: the reader's NULL is an empty cell where the line reaches that far."""
-    return f"coalesce(c{i}, CASE WHEN bad IS NULL OR tokens > {i} THEN '' END)"
+def _closing_line(sep: str) -> str:
+    """Pattern of a line that, begun inside quotes, ends outside of them."""
+    s = _literal(sep)
+    return rf'^[^"]*+(?:""[^"]*+)*+"[^{s}]*+(?:{s}{_field(sep)})*+\z'
 
 
-def _parse_errors(records: DataFrame, width: int, dataset: Column) -> DataFrame:
-    """(dataset_id, row, message) per malformed record; ``row`` counts a file's records from 0.
+def _by_separator(expr: Callable[[str], str], seps: list[str]) -> str:
+    """SQL text of ``expr`` for the separator of the row's file."""
+    return "CASE " + " ".join(f"WHEN sep = '{_literal_sql(s)}' THEN {expr(s)}" for s in seps) + " END"
 
-    Row numbers come from one small line per file split, not from a sort of the records.
-    """
-    splits = records.groupBy("path", "block").agg(
-        F.count(F.lit(1)).alias("rows"), F.min("task_row").alias("first_task_row")
-    )
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.withColumn("rows_before", F.coalesce(F.sum("rows").over(before), F.lit(0))).drop("rows")
-    message = (
-        F.when(F.col("tokens") < width, wording.fill(TOO_FEW, width=F.lit(width), tokens=F.col("tokens")))
-        .when(F.col("tokens") > width, wording.fill(TOO_MANY, width=F.lit(width), tokens=F.col("tokens")))
-        .otherwise(BAD_QUOTES)
-    )
-    return (
-        records.filter(F.col("bad").isNotNull())
-        .join(offsets, ["path", "block"])
-        .select(
-            dataset.alias("dataset_id"),
-            (F.col("rows_before") + F.col("task_row") - F.col("first_task_row")).alias("row"),
-            message.alias("message"),
-        )
-    )
+
+def _literal_sql(sep: str) -> str:
+    return f"\\u{ord(sep):04x}"
+
+
+def _fields(sep: str) -> str:
+    """Fields of ``text`` as written. Lines without quotes are cut plainly."""
+    s = _literal(sep)
+    every = rf'{s}(?:"[^"]*+(?:""[^"]*+)*+(?:"[^{s}]*+|\z)|[^{s}]*+)'
+    quoted = f"transform(regexp_extract_all(concat('{_literal_sql(sep)}', text), r'{every}', 0), f -> substring(f, 2))"
+    return f"CASE WHEN contains(text, '\"') THEN {quoted} ELSE split(text, r'{s}', -1) END"
+
+
+# the text of a quoted field (blanks behind the quotes do not count), or of one that its file's end leaves open
+_INNER = r'^"([^"]*+(?:""[^"]*+)*+)(?:" *)?\z'
+_CLOSED = r'^(?:[^"]|\z|"[^"]*+(?:""[^"]*+)*+" *\z)'
+
+
+def _cell(field: str) -> str:
+    inner = f"""replace(regexp_extract({field}, r'{_INNER}', 1), '""', '"')"""
+    return f"CASE WHEN startswith({field}, '\"') AND {field} RLIKE r'{_INNER}' THEN {inner} ELSE {field} END"
+
+
+def _without_return(text: str) -> str:
+    return f"CASE WHEN endswith({text}, '\\r') THEN left({text}, length({text}) - 1) ELSE {text} END"
+
+
+def _separators(seen: DataFrame, sep: str | None) -> DataFrame:
+    """``seen`` files with ``sep``, their separator, and ``detected``: whether there was one to find."""
+    if sep is not None:
+        return seen.select("*", F.lit(sep).alias("sep"), F.lit(True).alias("detected"))
+    bare = F.regexp_replace(F.regexp_replace("first_line", QUOTED, "q"), r"\r(?s:.*)\z", "")
+
+    def choice(i: int, s: str) -> Column:
+        width = F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit(s), F.lit(""))) + 1
+        alike = F.filter(F.get("widths", F.lit(i)), lambda b: F.abs(b["x"] - width) < 0.5)
+        votes = F.aggregate(alike, F.lit(0.0), lambda n, b: n + b["y"].cast("double"))
+        return F.when(width > 1, F.struct(votes.alias("votes"), width.alias("width"), F.lit(-i).alias("rank"), F.lit(s).alias("sep")))
+
+    choices = [choice(i, s) for i, s in enumerate(SEPARATORS)]
+    best = F.array_max(F.array_compact(F.array(*choices)))
+    return seen.withColumn("best", best).select("*", F.coalesce("best.sep", F.lit(SEPARATORS[0])).alias("sep"), F.col("best").isNotNull().alias("detected")).drop("best")
+
+
+def _stored_lines(lines: DataFrame, torn: DataFrame, seps: list[str]) -> DataFrame:
+    """(file, block, row, value, opens, stays) of the files whose lines must be put together."""
+    found = lines.join(torn.select("file", "sep", "returns"), "file")
+    # files that end their lines with carriage returns alone come as one text
+    cut = F.posexplode(F.when(F.col("returns"), F.split("value", "\r")).otherwise(F.array("value")))
+    found = found.select("file", "block", "row", "sep", "returns", cut.alias("nth", "value"))
+    found = found.withColumn("row", F.when(F.col("returns"), F.col("nth").cast("bigint")).otherwise(F.col("row")))
+    quoted = F.contains("value", F.lit('"'))
+    opens = F.when(quoted, ~F.expr(_by_separator(lambda s: f"value RLIKE r'{_complete_line(s)}'", seps)))
+    stays = F.when(quoted, ~F.expr(_by_separator(lambda s: f"value RLIKE r'{_closing_line(s)}'", seps)))
+    return written(found.select("file", "block", "row", "value", opens.alias("opens"), stays.alias("stays")), "lines")
 
 
 @dataclass(frozen=True)
 class Survey:
-    """``refused``: (path, status, error); ``groups``: the inspected files that share a header, in order of their paths."""
+    """What the files below ``path`` are.
+
+    ``files``, a stored line for each: path, file, dataset_id, status, error, sep, detected, torn, width. ``headers``
+    (dataset_id, column_pos, column_name), stored. ``records`` (file, pos, text, header) of the files whose lines had to
+    be put together, stored, or None.
+    """
 
-    refused: list[tuple]
-    groups: list[list[Row]]
+    spark: SparkSession
+    path: str | list[str]
+    seps: list[str]
+    files: DataFrame
+    headers: DataFrame
+    records: DataFrame | None
 
+    @property
+    def accepted(self) -> DataFrame:
+        return self.files.where(F.col("status") == _ACCEPTED).select("file", "dataset_id", "sep", "width", "torn")
 
-def survey(spark: SparkSession, path: str | list[str], sep: str | None = None, max_bytes: int | None = None) -> Survey:
-    """Which files can be read and which belong together, from a listing and one pass over all raw lines.
+    @property
+    def verdicts(self) -> DataFrame:
+        return self.files.select("path", "dataset_id", "status", "error")
 
-    Paths and verdicts come to the driver, where the file index of any scan keeps the paths anyway.
-    """
-    listed = admit(list_files(spark, path), max_bytes).collect()
-    refused = [(r.path, r.status, r.error) for r in listed if r.status != "admitted"]
-    admitted = sorted(r.path for r in listed if r.status == "admitted")
-    seen, groups = {}, {}
-    if admitted:
-        patterns = {s: _complete_line(s) for s in ([sep] if sep else SEPARATORS)}
-        seen = {r.path: r for r in inspect_text(spark, _literal(admitted), patterns).collect()}
-    for p in admitted:
-        r = seen.get(p)
-        if r is not None and not r.valid_utf8:
-            refused.append((p, "encoding", wording.ENCODING_ERROR))
-        elif r is None or r.header_key is None:
-            refused.append((p, "no_data", wording.NO_DATA_ERROR))
-        else:
-            groups.setdefault(r.header_key, []).append(r)
-    return Survey(refused, list(groups.values()))
-
-
-def _files(spark: SparkSession, verdicts: list[tuple], dataset: Column) -> DataFrame:
-    files = spark.createDataFrame(verdicts, "path string, status string, error string")
-    return files.select("path", dataset.alias("dataset_id"), "status", "error")
-
-
-def read_files(spark: SparkSession, group: list[Row], sep: str | None, dataset: Column) -> CsvScan:
-    """The files of one header.  Files are split over tasks; only those in which a quoted cell may run over a line end
-    are read in one piece."""
-    lead = group[0].path
-    found = sep or detect_separator(first_lines(spark, lead))
-    headers = read_headers(spark, lead, found or ",")
-    width = len(headers)
-    whole = [r.path for r in group if r.whole_file[found or ","]]
-    split = [r.path for r in group if not r.whole_file[found or ","]]
-    parts = [_records(spark, p, width, found or ",", one) for p, one in [(split, False), (whole, True)] if p]
-    frames = [
-        make_frame(
-            records,
-            dataset,
-            position_in_file(F.col("block"), F.col("task_row")),
-            [_cell(i) for i in range(width)],
-            headers,
-        )
-        for records in parts
+
+def survey(
+    spark: SparkSession,
+    path: str | list[str],
+    sep: str | None = None,
+    dataset_id: Callable[[Column], Column] | None = None,
+    max_bytes: int | None = None,
+    one_header: bool = False,
+) -> Survey:
+    """What each file below ``path`` is. The files of a dataset (with ``one_header``: all) must share the header of the
+    first one by path; others are ``other_header``."""
+    f, seps = F.col, [sep] if sep else SEPARATORS
+    listed = admit(list_files(spark, path), max_bytes)
+    seen = inspect_text(spark, path, {s: _complete_line(s) for s in seps}, "" if sep else "".join(SEPARATORS), _GLOB)
+    seen = _separators(seen.drop("path"), sep)
+    inner = f("first_line").rlike(r"\r(?!\z)")
+    # a first line of blanks is a header that the line reader would pass over
+    torn = F.element_at("whole_file", f("sep")) | ~f("first_line").rlike(r"[^\x00-\x20]") | inner
+    seen = seen.withColumn("returns", inner & (f("n_lines") == 1)).withColumn("torn", F.coalesce(torn, F.lit(False)))
+    told = listed.join(seen, "file", "left")
+    verdicts = [
+        (f("status") != "admitted", f("status"), f("error")),
+        (~f("valid_utf8"), F.lit("encoding"), F.lit(wording.ENCODING_ERROR)),
+        (f("first_line").isNull(), F.lit("no_data"), F.lit(wording.NO_DATA_ERROR)),
     ]
-    files = _files(spark, [(r.path, "accepted", None) for r in group], dataset)
-    errors = reduce(DataFrame.unionByName, [_parse_errors(r, width, dataset) for r in parts])
-    if found is None:
-        # a lone column leaves nothing to detect in any file; else only the sampled file is known
-        undetected = files.filter(F.col("path") == lead) if width > 1 else files
-        errors = errors.unionByName(
-            undetected.select(
-                "dataset_id", F.lit(None).cast("bigint").alias("row"), F.lit(NO_SEPARATOR).alias("message")
-            )
-        )
-    rows = reduce(DataFrame.unionByName, [f.rows for f in frames])
-    return CsvScan(Frame(rows, tuple(headers), None), errors, files)
+    told = told.withColumns(
+        {
+            "status": F.coalesce(*[F.when(bad, status) for bad, status, _ in verdicts], F.lit(_ACCEPTED)),
+            "error": F.coalesce(*[F.when(bad, error) for bad, _, error in verdicts]),
+            "dataset_id": (dataset_id or (lambda p: p))(f("path")),
+        }
+    )
+    kept = ["path", "file", "dataset_id", "status", "error", "first_line", "sep", "detected", "returns", "torn"]
+    told = written(told.select(*kept), "files")
+
+    accepted = told.where(f("status") == _ACCEPTED)
+    heads = accepted.where("NOT torn").select("file", "sep", F.expr(_without_return("first_line")).alias("text"))
+    records = None
+    if not accepted.where("torn").isEmpty():
+        texts = assemble(_stored_lines(raw_lines(spark, path, _GLOB), accepted.where("torn"), seps))
+        records = written(texts.withColumn("text", F.expr(_without_return("text"))), "records")
+        first = records.groupBy("file").agg(F.min("pos").alias("first"))
+        records = records.join(first, "file").select("file", "pos", "text", (f("pos") == f("first")).alias("header"))
+        heads = heads.unionByName(records.where("header").join(accepted.select("file", "sep"), "file").select("file", "sep", "text"))
+    heads = heads.select("file", F.explode(F.array(F.expr(_by_separator(_fields, seps)))).alias("fields"))
+    heads = heads.select("file", F.expr(f"transform(fields, f -> {_cell('f')})").alias("names"))
+    named = told.join(heads, "file", "left").withColumn("of", F.lit("") if one_header else f("dataset_id"))
+    leads = named.where(f("status") == _ACCEPTED).groupBy("of").agg(F.min(F.struct("path", "names", "dataset_id")).alias("lead"))
+    named = named.join(leads, "of", "left")
+    named = named.withColumn("status", F.when((f("status") == _ACCEPTED) & (f("names") != f("lead.names")), "other_header").otherwise(f("status")))
+    named = named.withColumn("width", F.size("names")).withColumn("torn", f("torn") & (f("status") == _ACCEPTED))
+    files = written(named.select("path", "file", "dataset_id", "status", "error", "sep", "detected", "torn", "width", "names"), "files")
+    of_dataset = files.where(f("status") == _ACCEPTED).groupBy("dataset_id").agg(F.min("names").alias("names"))
+    headers = of_dataset.select("dataset_id", F.posexplode("names").alias("column_pos", "column_name"))
+    return Survey(spark, path, seps, files.drop("names"), written(headers, "headers"), records)
+
+
+def _data_lines(found: Survey) -> DataFrame:
+    """(file, dataset_id, sep, width, pos, text) of all lines but headers; lines of blanks may be gone."""
+    # the reader passes over each file's header, wherever the splits are; it is made to see no fields and no quotes
+    options = {"sep": "\uffff", "quote": "", "lineSep": "\n", "header": "true", "encoding": "UTF-8", "maxCharsPerColumn": "-1"}
+    read = found.spark.read.schema("value string, bad string").options(**options, columnNameOfCorruptRecord="bad", columnPruning="false")
+    read = read.options(recursiveFileLookup="true", pathGlobFilter=_GLOB).csv(found.path)
+    text = F.coalesce("bad", "value")
+    block, row = F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
+    lines = read.select(scanned_file().alias("file"), position_in_file(block, row).alias("pos"), text.alias("text"))
+    lines = lines.join(found.accepted.where("NOT torn").drop("torn"), "file").withColumn("text", F.expr(_without_return("text")))
+    if found.records is not None:
+        torn = found.records.where("NOT header").drop("header").join(found.accepted.where("torn").drop("torn"), "file")
+        lines = lines.unionByName(torn)
+    return lines
+
+
+def _rows(found: Survey) -> Records:
+    # a generator in between: the fields are worked out once, whatever reads them
+    fields = _data_lines(found).select("dataset_id", "pos", "width", F.explode(F.array(F.expr(_by_separator(_fields, found.seps)))).alias("fields"))
+    cells = f"transform(slice(fields, 1, width), f -> {_cell('f')})"
+    cells = f"slice(concat({cells}, array_repeat(CAST(NULL AS STRING), width)), 1, width)"
+    rows = fields.select(F.col("dataset_id").alias("dataset"), "pos", F.explode(F.array(F.expr(cells))).alias("cells"))
+    return Records(rows.filter(f"exists(cells, v -> {is_usable('v')})"), found.headers)
+
+
+def _parse_errors(found: Survey) -> DataFrame:
+    """(dataset_id, row, message) per malformed record; ``row`` counts a file's records from 0, the header aside.
+
+    Row numbers come from one small line per file split and from the few lines that are no records, not from a sort.
+    """
+    f, in_split = F.col, Window.partitionBy("file", "block").orderBy("row")
+    lines = raw_lines(found.spark, found.path, _GLOB).join(found.accepted.where("NOT torn"), "file")
+    lines = lines.withColumn("text", F.expr(_without_return("value"))).withColumn("record", f("text") != "")
+    kept = ["dataset_id", "file", "block", "row", "sep", "width", "text"]
+    counted = lines.groupBy("file", "block").agg(F.count_if("record").alias("records"), F.min("row").alias("first"))
+    told = _messages(lines.where("record").select(*kept), found.seps)
+    gaps = lines.where("NOT record").select("dataset_id", "file", "block", "row", F.lit(None).cast("string").alias("message"))
+    gaps_before = F.count_if(f("message").isNull()).over(in_split)
+    told = told.unionByName(gaps).withColumn("gaps", gaps_before).where("message IS NOT NULL")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counted.withColumn("offset", F.coalesce(F.sum("records").over(before), F.lit(0))).drop("records")
+    told = told.join(offsets, ["file", "block"]).select("dataset_id", (f("offset") + f("row") - f("first") - f("gaps") - 1).alias("row"), "message")
+    if found.records is not None:
+        # these are records already: number them within the split in which they begin
+        torn = found.records.join(found.accepted.where("torn"), "file").withColumn("block", F.shiftright("pos", 33))
+        counted = torn.groupBy("file", "block").agg(F.count(F.lit(1)).alias("records"))
+        offsets = counted.withColumn("offset", F.coalesce(F.sum("records").over(before), F.lit(0))).drop("records")
+        narrow = _messages(torn.withColumn("row", f("pos")), found.seps, all_lines=True)
+        narrow = narrow.withColumn("nth", F.row_number().over(Window.partitionBy("file", "block").orderBy("row"))).where("message IS NOT NULL")
+        narrow = narrow.join(offsets, ["file", "block"]).select("dataset_id", (f("offset") + f("nth") - 2).alias("row"), "message")
+        told = told.unionByName(narrow)
+    lone = found.files.where((f("status") == _ACCEPTED) & ~f("detected"))
+    lone = lone.select("dataset_id", F.lit(None).cast("bigint").alias("row"), F.lit(NO_SEPARATOR).alias("message"))
+    return told.where("row >= 0").unionByName(lone)
+
+
+def _messages(lines: DataFrame, seps: list[str], all_lines: bool = False) -> DataFrame:
+    """(dataset_id, file, block, row, message) of malformed lines, or of all."""
+    f = F.col
+    fields = lines.select("dataset_id", "file", "block", "row", "width", F.explode(F.array(F.expr(_by_separator(_fields, seps)))).alias("fields"))
+    tokens = F.size("fields")
+    message = (
+        F.when(tokens < f("width"), wording.fill(TOO_FEW, width=f("width"), tokens=tokens))
+        .when(tokens > f("width"), wording.fill(TOO_MANY, width=f("width"), tokens=tokens))
+        .when(F.expr(f"exists(fields, f -> NOT f RLIKE r'{_CLOSED}')"), BAD_QUOTES)
+    )
+    told = fields.select("dataset_id", "file", "block", "row", message.alias("message"))
+    return told if all_lines else told.where("message IS NOT NULL")
+
+
+@dataclass(frozen=True)
+class CsvFiles:
+    """``records`` of all accepted files, their ``parse_errors`` and the verdicts on all ``files``."""
+
+    records: Records
+    parse_errors: DataFrame
+    files: DataFrame
 
 
 def read_all(
@@ -209,14 +304,13 @@ def read_all(
     sep: str | None = None,
     dataset_id: Callable[[Column], Column] | None = None,
     max_bytes: int | None = None,
-) -> tuple[list[CsvScan], DataFrame]:
-    """All CSV files below ``path``, one scan per header, and the files that cannot be read.
+) -> CsvFiles:
+    """All CSV files below ``path`` in one plan, whatever their headers and separators.
 
     Every file is a dataset of its own, named by ``dataset_id`` from its path (the path itself by default).
     """
-    dataset = (dataset_id or (lambda p: p))(F.col("path"))
-    seen = survey(spark, path, sep, max_bytes)
-    return [read_files(spark, group, sep, dataset) for group in seen.groups], _files(spark, seen.refused, dataset)
+    found = survey(spark, path, sep, dataset_id, max_bytes)
+    return CsvFiles(_rows(found), _parse_errors(found), found.verdicts)
 
 
 def read_group(
@@ -231,14 +325,12 @@ def read_group(
     Files with bad bytes or another header are not read; they are listed in ``files``.  ``frame`` is None when no file
     can be read.
     """
-    dataset = (dataset_id or (lambda p: p))(F.col("path"))
-    seen = survey(spark, path, sep, max_bytes)
-    others = [(r.path, "other_header", None) for group in seen.groups[1:] for r in group]
-    files = _files(spark, seen.refused + others, dataset)
-    if not seen.groups:
-        return CsvScan(None, spark.createDataFrame([], "dataset_id string, row bigint, message string"), files)
-    scan = read_files(spark, seen.groups[0], sep, dataset)
-    return replace(scan, files=files.unionByName(scan.files))
+    found = survey(spark, path, sep, dataset_id, max_bytes, one_header=True)
+    lead = found.headers.select("dataset_id").first()
+    if lead is None:
+        return CsvScan(None, spark.createDataFrame([], "dataset_id string, row bigint, message string"), found.verdicts)
+    rows = _rows(found)
+    return CsvScan(rows.frame_of(rows.names_of(lead.dataset_id)), _parse_errors(found), found.verdicts)
 
 
 def read_csv(
@@ -251,14 +343,10 @@ def read_csv(
     """``read_group``, but an error when there is nothing to read."""
     scan = read_group(spark, path, sep, dataset_id, max_bytes)
     if scan.frame is None:
-        raise ValueError(first_refusal(scan))
+        raise ValueError(refusal(scan.files))
     return scan
 
 
-def first_refusal(scan: CsvScan) -> str:
-    return refusal(scan.files)
-
-
 def refusal(files: DataFrame) -> str:
     """The error of the first refused file."""
     refused = files.filter("error IS NOT NULL").orderBy("path").first()

@@ -31,6 +31,37 @@ class Frame:
         return self.rows.select("dataset", "pos", *self.columns).toDF("dataset_id", "row_pos", *self.headers)
 
 
+@dataclass(frozen=True)
+class Records:
+    """Rows of any number of headers in one plan: ``rows`` (dataset, pos, cells) with as many cells as the dataset has
+    headers, missing ones NULL; ``headers`` (dataset_id, column_pos, column_name), a stored table."""
+
+    rows: DataFrame
+    headers: DataFrame
+
+    def frame_of(self, names: Sequence[str], datasets: Column | None = None) -> Frame:
+        """The datasets of one header (those that satisfy the condition on ``dataset``) under its columns."""
+        rows = self.rows if datasets is None else self.rows.filter(datasets)
+        cells = [f"get(cells, {i}) AS c{i}" for i in range(len(names))]
+        return Frame(rows.selectExpr("dataset", "pos", *cells), tuple(names), None)
+
+    def names_of(self, dataset: str) -> list[str]:
+        lines = self.headers.filter(F.col("dataset_id") == dataset).orderBy("column_pos")
+        return [line.column_name for line in lines.collect()]
+
+    def frames(self) -> tuple[Frame, ...]:
+        """One frame for each different header; its names come to the driver."""
+        named = F.array_sort(F.collect_list(F.struct("column_pos", "column_name")))
+        by_dataset = self.headers.groupBy("dataset_id").agg(F.transform(named, lambda n: n["column_name"]).alias("names"))
+        found = by_dataset.select("names").distinct().collect()
+        out = []
+        for line in sorted(found, key=lambda r: r.names):
+            mine = by_dataset.filter(F.col("names") == F.array(*map(F.lit, line.names))).select(F.col("dataset_id").alias("dataset"))
+            rows = Records(self.rows.join(mine, "dataset", "left_semi"), self.headers)
+            out.append(rows.frame_of(line.names))
+        return tuple(out)
+
+
 def make_frame(rows: DataFrame, dataset: str | Column, pos: Column, cells: Sequence[str], headers: Sequence[str]) -> Frame:
     """Project ``rows`` to the frame layout and drop blank rows; ``cells`` are SQL expressions."""
     if not headers:
