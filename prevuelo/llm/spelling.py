@@ -222,10 +222,10 @@ def near_pairs(vocabulary: DataFrame, most: int = MOST, first: int = FIRST) -> D
     while True:
         routed = written(_route(rows, depth), "cells")
         sizes = routed.groupBy("cell").agg(F.count_if(~F.col("asks")).alias("lying"), F.count_if("asks").alias("asking"))
-        sizes = written(sizes.where("lying > 0 AND asking > 0"), "sizes")
+        sizes = sizes.where("lying > 0 AND asking > 0")
         large = sizes.where(F.col("lying") + F.col("asking") > most)
         fitting = routed.join(sizes.where(F.col("lying") + F.col("asking") <= most).select("cell"), "cell")
-        done.append(written(_walk(fitting, ["cell"]), "near"))
+        done.append(_walk(fitting, ["cell"]))
         if large.isEmpty():
             break
         rows = routed.join(large, "cell")
@@ -235,7 +235,7 @@ def near_pairs(vocabulary: DataFrame, most: int = MOST, first: int = FIRST) -> D
             dealt = rows.withColumn("own", F.pmod(F.xxhash64("word"), own)).withColumn("other", F.explode(F.sequence(F.lit(0), other - 1)))
             dealt = dealt.withColumn("x", F.when(F.col("asks"), F.col("own")).otherwise(F.col("other")))
             dealt = dealt.withColumn("y", F.when(F.col("asks"), F.col("other")).otherwise(F.col("own")))
-            done.append(written(_walk(dealt, ["cell", "x", "y"]), "near"))
+            done.append(_walk(dealt, ["cell", "x", "y"]))
             break
         depth = min(depth + MORE, LEVELS)
     return reduce(DataFrame.unionByName, done)
@@ -243,7 +243,8 @@ def near_pairs(vocabulary: DataFrame, most: int = MOST, first: int = FIRST) -> D
 
 def forms(vocabulary: DataFrame, pairs: DataFrame, ratio: int = 5) -> DataFrame:
     """(word, n, n_near, form, form_n, root) of every word of the vocabulary."""
-    ways = pairs.unionByName(pairs.select(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n")))
+    ends = [F.struct(F.col(a).alias("word"), F.col(b).alias("near"), F.col(f"{b}_n" if b == "near" else "n").alias("near_n")) for a, b in (("word", "near"), ("near", "word"))]
+    ways = pairs.select(F.inline(F.array(*ends)))
     best = ways.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
     known = vocabulary.join(best, "word", "left")
     is_form = -F.col("best.less") >= F.col("n") * ratio
@@ -255,12 +256,11 @@ def forms(vocabulary: DataFrame, pairs: DataFrame, ratio: int = 5) -> DataFrame:
         F.when(is_form, -F.col("best.less")).alias("form_n"),
     )
     known = written(known, "forms")
-    # counts grow by ``ratio`` with each step, which bounds the steps; each round doubles what is followed
+    # counts grow by ``ratio`` with each step, which bounds the steps (to 14 at 10^10 words); each round doubles what is followed
     links = known.where("form IS NOT NULL").select("word", F.col("form").alias("root"))
     top = known.where("form IS NOT NULL").agg(F.max("form_n"), F.min("n")).first()
     steps = math.ceil(math.log(top[0] / top[1], ratio)) + 1 if top[0] and ratio > 1 else 1
     for _ in range(math.ceil(math.log2(steps)) if steps > 1 else 0):
-        links = written(links, "roots")
         further = links.select(F.col("word").alias("root"), F.col("root").alias("next"))
         links = links.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root"))
     return known.join(links, "word", "left").withColumn("root", F.coalesce("root", "word"))
