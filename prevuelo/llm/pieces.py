@@ -5,8 +5,8 @@ tokens are right together exactly if the two are the encoding of their own conca
 the left, and leaving out what stands before or behind does not change the order of those that remain. So each prefix of
 a text has one last token: of the pieces that end there (an automaton names them all in one pass), the one that is
 compatible with the last token of the prefix before it. The table of last tokens is filled from left to right, in time
-proportional to the text, and the ids are read from it backwards. A pair is tested by merging its characters, once per
-worker; pieces that merging never makes are left out.
+proportional to the text, and the ids are read from it backwards. A pair is tested by
+the merges at its border, once per worker; pieces that merging never makes are left out.
 
 A character that is no piece is a token of its own, merges with nothing, and is written as the ids of its bytes. Where no
 piece of the model goes on into a blank, a blank begins a new unit and each different unit is encoded once per worker.
@@ -20,6 +20,7 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from math import inf
 
 import ahocorasick
 import numpy as np
@@ -33,7 +34,7 @@ from sentencepiece import SentencePieceProcessor
 from prevuelo.llm.store import free, prepare
 
 #: Different units, and different pairs of tokens, that a worker remembers.
-MAX_UNITS, MAX_PAIRS = 200_000, 400_000
+MAX_UNITS, MAX_PAIRS = 200_000, 800_000
 
 #: Characters of a unit that is worth remembering.
 _SHORT = 48
@@ -69,14 +70,18 @@ class Model:
         units = ".+" if inner else f"{_BLANK}*[^{_BLANK}{line}]+|{_BLANK}+|\n"
         self.units = regex.compile(units, regex.DOTALL).findall
         self.pairs: dict[int, bool] = {}
+        self.edges: dict[int, tuple[list[float], list[str], list[str]]] = {}
         self.known: dict[str, bytes] = {}
         # what each id adds to a decoded text
         self.parts = [b"" if i in special else names[i].replace(_BLANK, " ").encode() for i in range(n)]
         for b, i in enumerate(self.byte_ids):
             self.parts[i] = bytes([b])
 
-    def merged(self, text: str) -> list[str]:
-        """A short text's tokens by merging: of all neighbours that make a piece the best, of equal ones the leftmost."""
+    def merged(self, text: str, history: list[tuple[float, str, str]] | None = None) -> list[str]:
+        """A short text's tokens by merging: of all neighbours that make a piece the best, of equal ones the leftmost.
+
+        ``history`` gets the rank of each merge and the first and last part behind it.
+        """
         parts, rank = list(text), self.rank
         while True:
             best, at = None, -1
@@ -87,11 +92,34 @@ class Model:
             if best is None:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            if history is not None:
+                history.append((best, parts[0], parts[-1]))
+
+    def _edges(self, token: int) -> tuple[list[float], list[str], list[str]]:
+        """The ranks of a token's own merges in order, ended by infinity, and its first and last part before each."""
+        known = self.edges.get(token)
+        if known is None:
+            name, history = self.names[token], []
+            self.merged(name, history)
+            known = [r for r, _, _ in history] + [inf], [name[0], *(x for _, x, _ in history)], [name[-1], *(x for _, _, x in history)]
+            self.edges[token] = known
+        return known
 
     def compatible(self, left: int, right: int) -> bool:
-        """The two tokens are the encoding of their concatenation."""
-        a, b = self.names[left], self.names[right]
-        return self.merged(a + b) == [a, b]
+        """The two tokens are the encoding of their concatenation: while each is merged as it is alone, the best or
+        leftmost of both first, the parts at the border never come first."""
+        (mine, _, lasts), (theirs, firsts, _) = self._edges(left), self._edges(right)
+        rank, i, j = self.rank, 0, 0
+        while True:
+            across, x, y = rank.get(lasts[i] + firsts[j], inf), mine[i], theirs[j]
+            if across < x and across <= y:
+                return False
+            if x is inf and y is inf:
+                return True
+            if x <= y:
+                i += 1
+            else:
+                j += 1
 
     def last_tokens(self, unit: str) -> list[int]:
         """The last token of each prefix, -1 behind a character that is no piece."""
