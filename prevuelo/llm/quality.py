@@ -5,13 +5,13 @@ fold, whatever their labels, which are not looked at; so training does not depen
 the class prior p, the risk of a classifier over all text is the positives' share p of its loss on positives, plus its
 loss on unlabelled text called negative, less what the positives among that text add. The last two are an estimate of
 the negatives' risk, which cannot be below zero; where a batch makes it so, the step goes against the overfit (the
-non-negative estimator). The prior is estimated as the share of positives among the labelled rows.
+non-negative estimator). The prior is estimated from positives and unlabelled text alone; labelled negatives are not read.
 
 Fitting sees at most ``PER_CLASS`` positives and ``UNLABELLED`` documents of the sample, in hash order; scores read whole texts of
 all rows. The features are shares and rates of characters, words and lines, so no vocabulary is learned.
 
 Null texts count as empty and get the score of an empty text. Rows may repeat and stay rows. Extra columns are not read.
-Without labelled positives, or without any document outside the fold, every score is the prior (0.5 without labels).
+Without labelled positives, or without any document outside the fold, every score is 0.5.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from prevuelo.llm.store import free, prepare
 
 #: Positives and unlabelled rows that fitting may use.
 PER_CLASS, UNLABELLED = 8_000, 12_000
+#: Rows that half of a sample must have for a prior to be estimated, steps of its classifier, and the least and largest one.
+LEAST_ROWS, PRIOR_STEPS, PRIORS = 5, 300, (0.02, 0.98)
 HIDDEN, STEPS, BATCH, RATE, DECAY = 24, 1000, 2048, 0.005, 3e-3
 
 # Characters that are counted one by one.
@@ -127,6 +129,29 @@ def train(positive: np.ndarray, other: np.ndarray, prior: float, steps: int = ST
     return Model(prior, shift, scale, tuple(layers))
 
 
+def estimate_prior(positive: np.ndarray, other: np.ndarray, seed: int = 11) -> float:
+    """The share of positives among unlabelled rows, from where a classifier of the two finds almost positives alone.
+
+    Above any threshold lie a share of the positives and at least the prior's part of that share of the unlabelled rows;
+    the quotient of the two is the prior where no negative lies above it. The threshold is the one with the least upper
+    confidence bound of the quotient, on rows that the classifier has not seen; halves change places and are averaged.
+    """
+    rng, found = np.random.default_rng(seed), []
+    positive, other = positive[rng.permutation(len(positive))], other[rng.permutation(len(other))]
+    p, u = len(positive) // 2, len(other) // 2
+    if p < LEAST_ROWS or u < LEAST_ROWS:
+        return 0.5
+    for mine, theirs in ((slice(0, p), slice(p, None)), (slice(p, None), slice(0, p))):
+        own, rest = (slice(0, u), slice(u, None)) if mine.start == 0 else (slice(u, None), slice(0, u))
+        model = train(positive[mine], other[own], 0.5, PRIOR_STEPS)
+        high, all_ = np.sort(model.score(positive[theirs])), np.sort(model.score(other[rest]))
+        share_p = 1 - np.searchsorted(high, high) / len(high)
+        share_u = 1 - np.searchsorted(all_, high) / len(all_)
+        slack = np.sqrt(np.log(4 / 0.1) / 2) * (1 / np.sqrt(len(high)) + 1 / np.sqrt(len(all_)))
+        found.append((share_u / share_p)[np.argmin((share_u + slack) / share_p)])
+    return float(np.clip(np.mean(found), *PRIORS))
+
+
 def _measured(sample: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,16 +162,19 @@ def _measured(sample: DataFrame) -> np.ndarray:
     return np.array([r["x"] for r in rows])
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, unlabelled: int = UNLABELLED) -> Model:
-    """Learn from documents whose crc32(doc_id as text) mod 3 is not 1: labelled positives, and all without their labels."""
-    ids, counts = labelled(labels, "quality", 3, 1, per_class)
-    prior = counts[1] / sum(counts.values()) if sum(counts.values()) else 0.5
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, unlabelled: int = UNLABELLED, prior: float | None = None) -> Model:
+    """Learn from documents whose crc32(doc_id as text) mod 3 is not 1: labelled positives, and all without their labels.
+
+    ``per_class`` positives and ``unlabelled`` documents at most are used. ``prior``, the share of positives among all
+    documents, is estimated where it is not given.
+    """
+    ids, _ = labelled(labels, "quality", 3, 1, per_class)
     rest = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull() & (crc() % 3 != 1))
     rest = rest.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled)
     positive, other = _measured(texts_of(docs, ids.where("label = 1"))), _measured(texts_of(docs, rest))
-    if not len(positive) or not len(other) or prior == 1:
-        return Model(prior)
-    return train(positive, other, prior)
+    if not len(positive) or not len(other):
+        return Model(0.5)
+    return train(positive, other, estimate_prior(positive, other) if prior is None else prior)
 
 
 def score(df: DataFrame, model: Model, keep: list[str], text: str = "text", name: str = "_score") -> DataFrame:

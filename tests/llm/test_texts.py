@@ -112,6 +112,24 @@ def test_quality_on_given_tables(spark):
     assert np.mean([g.predicted == r.quality for r, g in mine]) > 0.95
 
 
+def test_quality_from_positives_alone(spark):
+    """No negative is labelled: the prior comes from the texts."""
+    docs, labels = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r for r in quality.op5(docs, labels.where("quality = 1")).collect()}
+    mine = [(r.quality, got[r.doc_id]) for r in labels.collect() if r.quality is not None and r.doc_id in got and held_out(r.doc_id, 3, 1)]
+    assert np.mean([g.predicted == q for q, g in mine]) > 0.95
+    assert np.std([g.score for g in got.values()]) > 0.1
+
+
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.85])
+def test_prior_from_positives_and_unlabelled_rows(share):
+    rng = np.random.default_rng(5)
+    good, n = rng.normal(1, 1, (4000, 6)), 5000
+    mixed = np.concatenate([rng.normal(1, 1, (int(share * n), 6)), rng.normal(-1, 1, (n - int(share * n), 6))])
+    assert abs(quality.estimate_prior(good, mixed) - share) < 0.08
+    assert quality.estimate_prior(good[:3], mixed) == 0.5
+
+
 def test_quality_where_every_document_is_labelled(spark):
     labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
