@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,6 +117,10 @@ class Audit:
             raise ValueError(f"{len(chosen)} frames match {dataset!r}")
         return rows.preview(chosen[0])
 
+    def previews(self) -> DataFrame:
+        """(dataset_id, nth, column_pos, column_name, value) of the first rows of every dataset read from files."""
+        return reduce(DataFrame.unionByName, [rows.record_previews(s) for s in self.sources if isinstance(s, Records)])
+
     def statuses(self, expected: DataFrame) -> DataFrame:
         """What became of each expected dataset (dataset_id): audited, no_data, or why it was rejected."""
         done = row_facts(self.facts).select("dataset_id", F.lit("audited").alias("audited"))

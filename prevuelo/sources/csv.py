@@ -31,6 +31,9 @@ TOO_MANY = "Too many fields: expected {width} fields but parsed {tokens}"
 BAD_QUOTES = "Malformed quotes"
 NO_SEPARATOR = "Unable to auto-detect delimiting character; defaulted to ','"
 
+# Fixed value: fields a line that a detected comma gives on average, over all lines.
+_LEAST_MEAN = 1.99
+
 _GLOB = "*.[cC][sS][vV]"
 _ACCEPTED = "accepted"
 
@@ -118,11 +121,17 @@ def _separators(seen: DataFrame, sep: str | None) -> DataFrame:
         width = F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit(s), F.lit(""))) + 1
         alike = F.filter(F.get("widths", F.lit(i)), lambda b: F.abs(b["x"] - width) < 0.5)
         votes = F.aggregate(alike, F.lit(0.0), lambda n, b: n + b["y"].cast("double"))
-        return F.when(width > 1, F.struct(votes.alias("votes"), width.alias("width"), F.lit(-i).alias("rank"), F.lit(s).alias("sep")))
+        lines = F.aggregate(F.get("widths", F.lit(i)), F.lit(0.0), lambda n, b: n + b["y"].cast("double"))
+        fields = F.aggregate(F.get("widths", F.lit(i)), F.lit(0.0), lambda n, b: n + b["y"].cast("double") * b["x"])
+        told = [votes.alias("votes"), width.alias("width"), F.lit(-i).alias("rank"), F.lit(s).alias("sep"), (fields / lines).alias("mean")]
+        return F.when(width > 1, F.struct(*told))
 
     choices = [choice(i, s) for i, s in enumerate(SEPARATORS)]
     best = F.array_max(F.array_compact(F.array(*choices)))
-    return seen.withColumn("best", best).select("*", F.coalesce("best.sep", F.lit(SEPARATORS[0])).alias("sep"), F.col("best").isNotNull().alias("detected")).drop("best")
+    seen = seen.withColumn("best", best).withColumn("sep", F.coalesce("best.sep", F.lit(SEPARATORS[0])))
+    # a comma that most lines do without is the default, not a find; lines within cells tell nothing
+    sure = (F.col("sep") != SEPARATORS[0]) | F.element_at("whole_file", F.col("sep")) | (F.col("best.mean") > _LEAST_MEAN)
+    return seen.withColumn("detected", F.coalesce(F.col("best").isNotNull() & sure, F.lit(False))).drop("best")
 
 
 def _stored_lines(lines: DataFrame, torn: DataFrame, seps: list[str]) -> DataFrame:

@@ -98,3 +98,30 @@ def test_extra_copies_count_before_they_travel(table):
     text = plan(extra_copies(from_table(table, "t", F.col("id"), ["g"])))
     check_common(text)
     assert "partial_count(1)" in text and "Window" not in text
+
+
+def test_preview_passes_on_ten_rows_a_task(table):
+    """Of every dataset, each task sends its first ten rows at most."""
+    many = plan(preview(from_table(table, F.col("ds"), F.col("id"))))
+    window = many.index("WindowGroupLimit")
+    limits = [m.start() for m in re.finditer("WindowGroupLimit", many)]
+    assert "Partial" in many and len(limits) == 2
+    # read from the bottom: the partial limit stands below the exchange, the final one above it
+    assert window < many.index("Exchange hashpartitioning(dataset") < limits[1]
+
+
+@pytest.mark.parametrize("partitions", [16, 200])
+def test_copies_of_a_hot_row_are_not_dealt_to_one_task(spark, tmp_path, partitions):
+    path = str(tmp_path / "t")
+    spark.range(30_000).selectExpr("id", "IF(id % 3 = 0, 'hot', concat('v', id % 7000)) AS v").repartition(16).write.parquet(path)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = extra_copies(from_table(spark.read.parquet(path), "t", F.col("id"), ["v"]))
+        assert "BroadcastHashJoin" in plan(found)
+        sizes = [r.n for r in found.filter("v = 'hot'").groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        assert sum(sizes) == 9_999 and len(sizes) >= 8 and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -436,6 +436,28 @@ _CSV_ERRORS = """SELECT 'orders' AS dataset_id, message, count(*) AS errors FROM
     WHEN 5 THEN 'Too few fields: expected 4 fields but parsed 2' END AS message FROM orders)
 WHERE message IS NOT NULL GROUP BY message"""
 
+def _many_headers() -> list[View]:
+    views = []
+    for rest, (_, names, cells) in Q.MANY_HEADERS.items():
+        source = f"(SELECT * FROM orders WHERE o_orderkey % {len(Q.MANY_HEADERS)} = {rest})"
+        views.append(View(source, f"part{rest}", dict(zip(names, ["CAST(o_orderkey AS STRING)", *cells]))))
+    return views
+
+
+def _csv_previews() -> str:
+    names = Q.CSV_HEADER.split(",")
+    cells = []
+    for j in range(len(names) - 1):
+        branches = " ".join(f"WHEN {i} THEN {line_cells[j]}" for i, (_, line_cells) in enumerate(Q.CSV_LINES))
+        cells.append(f"CASE o_orderkey % {len(Q.CSV_LINES)} {branches} END")
+    values = ["CAST(o_orderkey AS VARCHAR)", *cells]
+    structs = ", ".join(f"{{'pos': {i}, 'name': '{n}', 'value': coalesce({v}, '')}}" for i, (n, v) in enumerate(zip(names, values)))
+    return f"""WITH first AS (SELECT *, o_orderkey % {Q.PREVIEW_FILES} AS batch,
+  row_number() OVER (PARTITION BY o_orderkey % {Q.PREVIEW_FILES} ORDER BY o_orderkey) AS nth FROM orders QUALIFY nth <= 10),
+cells AS (SELECT batch, nth, unnest([{structs}]) AS c FROM first)
+SELECT 'lote-' || batch AS dataset_id, CAST(nth AS INT) AS nth, CAST(c.pos AS INT) AS column_pos, c.name AS column_name, c.value AS value FROM cells"""
+
+
 _PAGE_NAME = "'  ' || url || CASE WHEN page_id % 3 = 0 THEN '.CSV ' ELSE '. ' END"
 
 ORACLES: dict[str, str] = {
@@ -513,10 +535,21 @@ EXCEPT SELECT dataset_id, finding_id FROM findings""",
   THEN 'Too many fields: expected 4 fields but parsed 30001' ELSE 'Too few fields: expected 4 fields but parsed 3' END
   AS message, count(*) AS errors FROM orders WHERE o_orderkey % 3 = 2 GROUP BY ALL""",
     "csv_parse_errors": _CSV_ERRORS,
+    "csv_quoted_line_ends": _profile(View("documents", "documents", {"doc_id": V.text("doc_id"), "lang": "lang", "text": "text"})),
+    "csv_many_headers": _profile(*_many_headers()),
+    "csv_mixed_separators": "SELECT * FROM (VALUES "
+    + ", ".join(f"('part{i}', {'chr(9)' if s == chr(9) else repr(s)}, {len(n)}::INT)" for i, (s, n, _) in Q.MANY_HEADERS.items())
+    + ") AS t(dataset_id, sep, width)",
+    "csv_previews": _csv_previews(),
+    "csv_statuses": f"""SELECT DISTINCT 'group-' || s_suppkey % {Q.STATUS_GROUPS} AS dataset_id,
+  CASE s_suppkey % {Q.STATUS_GROUPS} % 5 WHEN 0 THEN 'audited' WHEN 1 THEN 'encoding' WHEN 2 THEN 'extension' ELSE 'no_data' END AS status
+FROM supplier""",
     "csv_batch_scores": scores(_csv_view(by_batch=True)) + " SELECT * FROM scores",
     "encoding_verdicts": """SELECT source, regexp_extract(source, '([0-9]+)', 1)::INT % 3 <> 0 AS valid_utf8
   FROM documents GROUP BY source""",
     "report_documents": documents(V.SUPPLIERS),
+    "report_files": f"""SELECT dataset_id, {file_name("dataset_id")} AS report, generate_subscripts(string_split(document, chr(10)), 1) AS line_no,
+  unnest(string_split(document, chr(10))) AS line FROM ({documents(V.SUPPLIERS, confirmed=False)})""",
     "report_lines": f"""SELECT dataset_id, generate_subscripts(string_split(document, chr(10)), 1) AS line_no,
   unnest(string_split(document, chr(10))) AS line FROM ({documents(V.SUPPLIERS, confirmed=False)})""",
 }

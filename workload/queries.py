@@ -12,9 +12,10 @@ from prevuelo.operators import candidates as keys
 from prevuelo.operators import enrichment, rows, score
 from prevuelo.operators.findings import findings, rule_status
 from prevuelo.operators.measure import column_facts, measure, measure_counts
+from prevuelo.operators.report import read_reports, write_reports
 from prevuelo.operators.samples import first_values
 from prevuelo.plans.audit import audit, audit_csv
-from prevuelo.sources.csv import read_csv
+from prevuelo.sources.csv import read_csv, survey
 from prevuelo.sources.files import admit, inspect_text, list_files
 from prevuelo.sources.shared import shared_path, written
 from workload import views as V
@@ -340,10 +341,7 @@ def _write_csv(spark: SparkSession, sf: str, header: str = CSV_HEADER, cases: li
     V.load(spark, sf, "orders").createOrReplaceTempView("orders")
     lines = spark.sql(f"SELECT CASE o_orderkey % {len(cases)} {branches} END AS `{header}`, {CSV_BATCH} AS batch FROM orders")
     path = shared_path(spark, "orders-csv")
-    # one column and no quoting: the writer puts down header and lines as they are
-    raw = {"header": "true", "sep": "\x01", "quote": "", "emptyValue": "", "escapeQuotes": "false",
-           "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
-    lines.write.options(**raw).partitionBy("batch").csv(path)
+    _raw_csv(lines, path, "batch")
     return path
 
 
@@ -378,6 +376,99 @@ def dataset_statuses(spark, sf):
     return result.statuses(expected)
 
 
+# As the given files' texts run over many lines, with blank lines and quotes in them.
+DOC_HEADER = "doc_id,lang,text"
+
+
+def _raw_csv(lines: DataFrame, path: str, *by: str, encoding: str = "UTF-8") -> None:
+    """Lines in one column named as the header, put down as they are."""
+    raw = {"header": "true", "sep": "\x01", "quote": "", "emptyValue": "", "escapeQuotes": "false",
+           "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "encoding": encoding}
+    lines.write.options(**raw).partitionBy(*by).csv(path) if by else lines.write.options(**raw).csv(path)
+
+
+def csv_quoted_line_ends(spark, sf):
+    """Profile of all documents, written as CSV records whose quoted texts run over line ends."""
+    V.load(spark, sf, "documents").createOrReplaceTempView("documents")
+    record = """doc_id || ',' || lang || ',"' || replace(text, '"', '""') || '"'"""
+    lines = spark.sql(f"SELECT doc_id, posexplode(split({record}, '\n')) AS (nth, line) FROM documents")
+    lines = lines.repartition(8, "doc_id").sortWithinPartitions("doc_id", "nth")
+    path = shared_path(spark, "documents-csv")
+    _raw_csv(lines.select(F.col("line").alias(DOC_HEADER)), path)
+    scan = read_csv(spark, path, dataset_id=lambda p: F.lit("documents"))
+    return column_facts(measure(scan.frame)).select(*FACT_COLUMNS)
+
+
+# Orders of each remainder under a header and with a separator of their own.
+MANY_HEADERS = {
+    0: (",", ["order_id", "status", "day"], ["o_orderstatus", _DATE]),
+    1: (";", ["id", "status"], ["o_orderstatus"]),
+    2: ("|", ["code", "day", "priority", "status"], [_DATE, "o_orderpriority", "o_orderstatus"]),
+    3: ("\t", ["order_id", "priority"], ["o_orderpriority"]),
+    4: (",", ["Id", "fecha", "note"], [_DATE, "'a;b'"]),
+}
+
+
+def _write_many(spark: SparkSession, sf: str) -> str:
+    path = shared_path(spark, "many-csv")
+    V.load(spark, sf, "orders").createOrReplaceTempView("orders")
+    for rest, (sep, names, cells) in MANY_HEADERS.items():
+        line = f" || '{sep}' || ".join([_KEY, *cells])
+        lines = spark.sql(f"SELECT {line} AS `{sep.join(names)}` FROM orders WHERE o_orderkey % {len(MANY_HEADERS)} = {rest}")
+        _raw_csv(lines, f"{path}/part{rest}")
+    return path
+
+
+def _of_part(path: F.Column) -> F.Column:
+    return F.regexp_extract(path, "/(part[^/]+)/", 1)
+
+
+def csv_many_headers(spark, sf):
+    """Profile of files of five headers and four separators, in one plan."""
+    result = audit_csv(spark, _write_many(spark, sf), dataset_id=_of_part)
+    return column_facts(result.facts).select(*FACT_COLUMNS)
+
+
+def csv_mixed_separators(spark, sf):
+    """Separator found for each part of those files."""
+    found = survey(spark, _write_many(spark, sf), dataset_id=_of_part).files
+    return found.filter("status = 'accepted'").select("dataset_id", "sep", "width").distinct()
+
+
+# Files of every sixteenth key, in the order of the keys.
+PREVIEW_FILES = 16
+
+
+def csv_previews(spark, sf):
+    """First rows of every file of the damaged order lines, whatever the number of their cells."""
+    branches = " ".join(f"WHEN {i} THEN {line}" for i, (line, _) in enumerate(CSV_LINES))
+    V.load(spark, sf, "orders").createOrReplaceTempView("orders")
+    lines = spark.sql(f"SELECT o_orderkey AS k, CASE o_orderkey % {len(CSV_LINES)} {branches} END AS `{CSV_HEADER}`, o_orderkey % {PREVIEW_FILES} AS batch FROM orders")
+    path = shared_path(spark, "ordered-csv")
+    _raw_csv(lines.repartition("batch").sortWithinPartitions("batch", "k").drop("k"), path, "batch")
+    batch = lambda p: F.concat(F.lit("lote-"), F.regexp_extract(p, "batch=([^/]+)/", 1))
+    return audit_csv(spark, path, dataset_id=batch).previews()
+
+
+# Groups of suppliers, each a dataset of its own kind.
+STATUS_GROUPS = 20
+
+
+def csv_statuses(spark, sf):
+    """What became of files of supplier groups: read, other bytes, another ending, no data, nothing at all."""
+    V.load(spark, sf, "supplier").createOrReplaceTempView("supplier")
+    path = shared_path(spark, "suppliers")
+    lines = spark.sql(f"SELECT s_suppkey % {STATUS_GROUPS} AS part, s_name || 'é,' || s_nationkey AS `name,nation` FROM supplier")
+    kind = F.col("part") % 5
+    _raw_csv(lines.filter(kind == 0), f"{path}/read", "part")
+    _raw_csv(lines.filter(kind == 1), f"{path}/bytes", "part", encoding="ISO-8859-1")
+    lines.filter(kind == 2).write.partitionBy("part").text(f"{path}/text")
+    _raw_csv(lines.filter(kind == 3).select("part", F.lit("").alias("a")), f"{path}/none", "part")
+    of = lambda p: F.concat(F.lit("group-"), F.regexp_extract(p, "part=([0-9]+)/", 1))
+    expected = lines.select(F.concat(F.lit("group-"), "part").alias("dataset_id")).distinct()
+    return audit_csv(spark, path, dataset_id=of).statuses(expected)
+
+
 def csv_batch_scores(spark, sf):
     """Risk of each folder of CSV files, audited in one job."""
     batch = lambda p: F.concat(F.lit("lote-"), F.regexp_extract(p, "batch=([^/]+)/", 1))
@@ -411,6 +502,15 @@ def report_lines(spark, sf):
     return lines.select("dataset_id", F.row_number().over(in_order).alias("line_no"), "line")
 
 
+def report_files(spark, sf):
+    """The numbered lines of every supplier's report, written to files and read back."""
+    path = shared_path(spark, "reports")
+    write_reports(audit(V.frame(spark, sf, V.SUPPLIERS)).report_lines(), path)
+    in_order = Window.partitionBy("dataset_id").orderBy("place")
+    lines = read_reports(spark, path)
+    return lines.select("dataset_id", "report", F.row_number().over(in_order).alias("line_no"), "line")
+
+
 def candidate_listing(spark, sf):
     """Candidates of every table and supplier in their listing order."""
     suggested = _candidates(*V.ALL_TABLES, V.DIRTY_ORDERS, V.SUPPLIERS)(spark, sf)
@@ -484,7 +584,13 @@ QUERIES: dict[str, Query] = {
     "csv_separators": csv_separators,
     "csv_long_lines": csv_long_lines,
     "csv_batch_scores": csv_batch_scores,
+    "csv_quoted_line_ends": csv_quoted_line_ends,
+    "csv_many_headers": csv_many_headers,
+    "csv_mixed_separators": csv_mixed_separators,
+    "csv_previews": csv_previews,
+    "csv_statuses": csv_statuses,
     "encoding_verdicts": encoding_verdicts,
     "report_documents": report_documents,
     "report_lines": report_lines,
+    "report_files": report_files,
 }
