@@ -17,25 +17,44 @@ BOOLEAN = r"(?i)^(?:true|false)\z"
 NUMBER = r"^-?\d+(?:\.\d+)?\z"
 
 
+# The first letters of month names.
+_MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
+
+
 def _loose_date() -> str:
     """Text with a date prefix that the usual lenient date readers accept.
 
-    ISO year-month-day, or month-day-year with one kind of separator; then
-    nothing, a strict ``T`` time, or a loosely written time and zone.  Days run
-    to 31 in every month here: the calendar is checked by ``valid_date``.
+    ISO year-month-day with a strict ``T`` time; or that or month-day-year with one kind of separator, and behind it any
+    of: blanks, punctuation, comments in parentheses, the name of a month (it then takes the place of the written month,
+    so that the first number may be the day), a zone with its offset, and one time. Days run to 31 in every month here:
+    the calendar is checked by ``valid_date``.
     """
     month, day = r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12]\d|3[01])"
     iso = rf"\d{{4}}-{month}-{day}"
-    month_first = rf"{month}(?:/{day}/|-{day}-)\d{{4}}"
+    year = r"(?:\d{4,5}|1\d{5}|2[0-6]\d{4}|27[0-4]\d{3})(?![\d:])-?"
+    month_first = rf"{month}(?:/{day}/|-{day}-){year}"
+    named = rf"(?:{day}(?:/\d\d/|-\d\d-)|\d\d(?:/{day}/|-{day}-)){year}"
     gap = f"[{SPACE}]"
     midnight = r"24:00(?::00(?:\.0+)?)?"
     strict = rf"[Tt](?:(?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d+)?)?|{midnight})(?:[Zz]|[+-]\d\d:?\d\d)?"
-    minutes = r":[0-5]?\d(?::[0-5]?\d(?:\.\d+)?)?"
-    clock = rf"(?:(?:[01]?\d|2[0-3]){minutes}|{midnight}|(?:0?\d|1[0-2]){minutes}{gap}+(?i:[ap]m))"
-    offset, comment = r"(?:[+-]\d{1,2}(?::?\d\d)?)", rf"(?:{gap}*\([^()]*\))*"
-    zone_name = r"(?i:z|utc?|gmt|[ecmp][sd]t)"
-    loose = rf"(?:,?{gap}+{clock}(?:{gap}*(?:{zone_name}{offset}?|{offset}))?|{gap}*{zone_name})?{comment}{gap}*"
-    return rf"^(?:{iso}(?:{strict}|{loose})|{month_first}{loose})\z"
+    # letters of a word: all but what stands before them in ASCII, and white space
+    letter = rf"[^\x00-\x40{SPACE}]"
+    # runs are taken whole and alternations end after 200 turns, so that no text is too long for the matcher's stack
+    nested = r"\((?:[^()]++|\((?:[^()]++|\([^()]*+\)){0,200}\)){0,200}\)"
+    comment = rf"{nested}|\((?:[^()]++|{nested}|\(){{0,200}}\z"
+    idle = rf"(?:[{SPACE}!\x22-\x25&\x27*,./;<=>?@:]++|{comment})"
+    month_name = rf"(?i:{_MONTHS}){letter}*-?"
+    offset = rf"[+-](?:\d{{1,4}}(?![\d:])|\d*:(?:(?:{idle}){{0,9}}[0-5]?\d(?!\d))?)"
+    zone = rf"(?:(?i:z|utc?|gmt)(?!{letter})(?:(?:{idle}){{0,9}}{offset})?|(?i:[ecmp][sd]t)(?!{letter}))"
+    minute, hour, noon = r"[0-5]?\d", r"(?:[01]?\d|2[0-3])", r"(?:0?\d|1[0-2])"
+    # once the last part of a time is read, a blank, a zone or nothing follows
+    done = rf"(?=[{SPACE}Zz+\-]|\z)"
+    parts = rf":(?:{idle}){{0,9}}{minute}(?:{done}|:(?!(?:{idle}){{0,9}}\d)|:(?:{idle}){{0,9}}{minute}(?:{done}|\.\d+|:\.?(?:{idle}){{0,9}}\d{{1,3}}{done}))"
+    clock = rf"(?:{noon}{parts}{gap}+(?i:[ap]m)(?!{letter})|{hour}{parts}|24:(?:{idle}){{0,9}}0?0(?:{done}|:(?:{idle}){{0,9}}0?0(?:{done}|\.0+))|{hour}:(?!(?:{idle}){{0,9}}\d))"
+    before, after = rf"(?:{idle}|{month_name}|{zone}){{0,200}}", rf"(?:{idle}|{month_name}|{zone}|{offset}){{0,200}}"
+    loose = rf"(?!\d){before}(?:(?<!\d){clock}{after})?"
+    by_name = rf"(?!\d){before}(?:{month_name}{before}(?:(?<!\d){clock}{after})?|(?<!\d){clock}{after}{month_name}{after})"
+    return rf"^(?:{iso}(?:{strict}|{loose})|{month_first}{loose}|{named}{by_name})\z"
 
 
 def _calendar_date() -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -25,43 +26,45 @@ def _known_bounds(frames: list[Frame], bounds: DataFrame) -> dict[str, dict[int,
 
 def _early_cells(frame: Frame, bounds: DataFrame, known_by_name: dict[str, dict[int, int | None]]) -> DataFrame:
     """(dataset, pos, column_pos, value) of the usable cells up to the bound of their column."""
-    rows, slots = frame.rows, range(len(frame.columns))
-    if frame.name is not None:
-        known = known_by_name[frame.name]
-        # a column without a bound has no usable cell
-        limits = [str(known[i]) if known.get(i) is not None else "NULL" for i in slots]
-        last = max((b for b in known.values() if b is not None), default=-1)
-    else:
-        by_dataset = bounds.groupBy(F.col("dataset_id").alias("dataset")).agg(
-            F.map_from_entries(F.collect_list(F.struct("column_pos", "sample_bound"))).alias("bounds")
-        )
-        last = bounds.agg(F.max("sample_bound")).first()[0]
-        limits = [f"bounds[{i}]" for i in slots]
-    # drops nearly all rows at the scan, before any join
-    rows = rows.filter(F.col("pos") <= (-1 if last is None else last))
+    slots = range(len(frame.columns))
     if frame.name is None:
-        rows = rows.join(by_dataset, "dataset")
+        return _within(frame.rows, bounds, lambda rows: _spread(rows, [f"{c} AS `{i}`" for i, c in zip(slots, frame.columns)]).filter(is_usable("value")))
+    known = known_by_name[frame.name]
+    # a column without a bound has no usable cell
+    limits = [str(known[i]) if known.get(i) is not None else "NULL" for i in slots]
+    last = max((b for b in known.values() if b is not None), default=-1)
     early = [
         f"CASE WHEN pos <= {limit} AND {is_usable(c)} THEN {c} END AS `{i}`"
         for i, c, limit in zip(slots, frame.columns, limits)
     ]
-    return (
-        rows.selectExpr("dataset", "pos", *early)
-        .unpivot(["dataset", "pos"], [str(i) for i in slots], "slot", "value")
-        .filter("value IS NOT NULL")
-        .selectExpr("dataset", "pos", "CAST(slot AS INT) AS column_pos", "value")
-    )
+    # drops nearly all rows at the scan
+    return _spread(frame.rows.filter(F.col("pos") <= last), early).filter("value IS NOT NULL")
 
 
-def _early_record_cells(records: Records, bounds: DataFrame) -> DataFrame:
-    """The same of records: their cells meet the stored bounds by dataset and column."""
+def _spread(rows: DataFrame, cells: list[str]) -> DataFrame:
+    long = rows.selectExpr("dataset", "pos", *cells).unpivot(["dataset", "pos"], [str(i) for i in range(len(cells))], "slot", "value")
+    return long.selectExpr("dataset", "pos", "CAST(slot AS INT) AS column_pos", "value")
+
+
+def _within(rows: DataFrame, bounds: DataFrame, cells_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Cells of many datasets up to the bound of their column.
+
+    Nearly all rows are dropped at the scan, before any join. The bounds are a stored table, a line for each dataset and
+    column: small ones are sent to all tasks, and where they are not, a hot dataset's cells can be split.
+    """
     last = bounds.agg(F.max("sample_bound")).first()[0]
-    rows = records.rows.filter(F.col("pos") <= (-1 if last is None else last))
-    cells = rows.select("dataset", "pos", F.posexplode("cells").alias("column_pos", "value")).filter(is_usable("value"))
+    cells = cells_of(rows.filter(F.col("pos") <= (-1 if last is None else last)))
     known = bounds.select(F.col("dataset_id").alias("dataset"), "column_pos", "sample_bound")
     return cells.join(known, ["dataset", "column_pos"]).filter("pos <= sample_bound").select("dataset", "pos", "column_pos", "value")
 
 
+def _early_record_cells(records: Records, bounds: DataFrame) -> DataFrame:
+    """The same of records."""
+    return _within(
+        records.rows, bounds, lambda rows: rows.select("dataset", "pos", F.posexplode("cells").alias("column_pos", "value")).filter(is_usable("value"))
+    )
+
+
 def first_values(frames: list[Frame | Records], facts: DataFrame) -> DataFrame:
     """(dataset_id, column_pos, nth, value) with ``nth`` 1..10.
 

@@ -82,7 +82,7 @@ def _scanned_in_order(df: DataFrame) -> bool:
     """Nothing but projections and filters stands over the source."""
     plan = df._jdf.queryExecution().analyzed().toString()
     nodes = {line.lstrip(" :+-").split(" ", 1)[0].split("[", 1)[0].split("(", 1)[0] for line in plan.splitlines() if line.strip()}
-    return nodes <= {"Project", "Filter", "SubqueryAlias", "View", "Relation", "LocalRelation", "LogicalRDD", "Range"}
+    return nodes <= {"Project", "Filter", "SubqueryAlias", "View", "Relation", "RelationV2", "LocalRelation", "LogicalRDD", "Range"}
 
 
 def from_table(

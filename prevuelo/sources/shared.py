@@ -11,15 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 _DIR = "spark.checkpoint.dir"
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; local sessions without one get a temporary folder."""
-    root = spark.conf.get(_DIR, None)
+def run_folder(spark: SparkSession) -> str:
+    """This application's folder below ``spark.checkpoint.dir``; local sessions without one get a temporary folder."""
+    root = spark.conf.get(_DIR, None) or getattr(spark.sparkContext, "_prevuelo_dir", None)
     if not root:
         if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
             raise ValueError(f"set {_DIR} to a folder that all executors can reach")
-        root = tempfile.mkdtemp(prefix="prevuelo-")
-        spark.conf.set(_DIR, root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        root = spark.sparkContext._prevuelo_dir = tempfile.mkdtemp(prefix="prevuelo-")
+    return f"{root.rstrip('/')}/prevuelo-{spark.sparkContext.applicationId}"
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the run's folder."""
+    return f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def remove_stored(spark: SparkSession) -> bool:
+    """Delete all that this application has stored between jobs; results that are still to be read are then lost."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

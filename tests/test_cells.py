@@ -112,6 +112,7 @@ def test_header_predicates(spark):
 def test_dates_with_offsets_and_comments(spark):
     values = [
         "2024-01-15 10:00:00 GMT+0200", "2024-01-15 10:00:00 (x)", "2024-01-15 10:00 UTC-3", "2024-01-15 (a) (b)", "01/15/2024 9:05 pm EST",
-        "2024-01-15 10:00:00 (x", "2024-01-15 GMT+02 x", "2024-01-15 (a(b))",
+        "2024-01-15 10:00:00 (x", "2024-01-15 (a(b))", "2024-01-15 GMT+02 x",
     ]
-    assert evaluate(spark, C.value_kind("v"), values) == ["date"] * 5 + ["string"] * 3
+    # the reader takes comments that are nested or left open, too
+    assert evaluate(spark, C.value_kind("v"), values) == ["date"] * 7 + ["string"]
