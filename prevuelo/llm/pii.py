@@ -9,11 +9,15 @@ value gets the same pseudonym in every document, different values stay different
   digits in all; the country stays
 - IPv4 addresses with octets up to 255
 - social security numbers with a possible area, group and serial
-- calendar dates from 1900 to 2099: y-m-d, d/m/y (else m/d/y), d.m.y, with one or two digits of day and month; a time
+- calendar dates from 1900 to 2099: y-m-d, y/m/d, d/m/y (else m/d/y), d.m.y, with one or two digits of day and month; a time
   behind y-m-d stays
 
-E-mail names and secrets (cloud keys; values after token, password, secret, api key, in quotes or not) have no number to permute: each of
-their letters and digits is shifted by a keyed hash of the whole value. What fails its check stays as it is.
+- account numbers (IBAN) with right check digits, which are computed anew
+
+E-mail names are permuted as texts: digits, letters and accented letters each within their kind, by a Feistel network of
+the name's halves, so different names stay different. Secrets (cloud keys and tokens of known forms; bearer tokens;
+values after names that have token, password, secret or api key as a part, in quotes or not) have each letter and digit
+shifted by a keyed hash of the whole value. What fails its check stays as it is.
 
 A permutation works on a pair (l, r) of numbers below (a, b): eight rounds add a keyed SHA-256 of the one to the other,
 modulo its bound. So every a x b values are permuted exactly, without walking or tables.
@@ -36,11 +40,14 @@ ROUNDS = 8
 _START, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "secret": _START + r"(?:AKIA[0-9A-Z]{16}|(?i:token|password|passwd|secret|api[_-]?key)(?:\\?[\"'])?\s{0,3}[=:]\s{0,3}(?:\\?[\"'])?[0-9A-Za-z_/+-]{8,})" + _END,
+    "secret": _START + r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|github_pat_[0-9A-Za-z_]{22,}|xox[abprs]-[0-9A-Za-z-]{10,}|sk-[0-9A-Za-z_-]{20,}"
+    + r"|(?i:bearer)[ ]{1,3}(?=[0-9A-Za-z._~+/-]{0,99}\d)[0-9A-Za-z._~+/-]{15,}[0-9A-Za-z]"
+    + r"|(?:[0-9A-Za-z]{1,20}[_-]){0,5}(?i:token|password|passwd|secret|api[_-]?key)(?:[_-][0-9A-Za-z]{1,20}){0,5}(?:\\?[\"'])?\s{0,3}[=:]\s{0,3}(?:\\?[\"'])?[0-9A-Za-z_/+-]{8,})" + _END,
+    "iban": _START + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END,
     "phone": r"(?<![\p{L}\p{N}+(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}" + _END + r"|(?<![\p{L}\p{N}+])\+[1-9](?:(?:[ .-]?\(|\)[ .-]?|[ ./-])?\d){7,14}" + _END,
     "ip": r"(?<![\p{L}\p{N}.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?[\p{L}\p{N}])",
     "date": _START + r"(?:\d{4}-\d{2}-\d{2}(?:(?=[Tt]\d{2}:?\d{2})|" + _END + r")|(?:\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})" + _END
-    + r"|(?<!\d[./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![./-]?[\p{N}]|\p{L}))",
+    + r"|(?<!\d[./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![./-]?[\p{N}]|\p{L}))",
     "ssn": _START + r"\d{3}-\d{2}-\d{4}" + _END,
     "card": _START + r"(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5}|\d{13,19})" + _END,
 }
@@ -119,6 +126,51 @@ def _shifted(text: str, key: str, kind: str) -> str:
     return f"array_join(transform(split({text}, ''), (c, i) -> {case}), '')"
 
 
+def _permuted(text: str, key: str, kind: str) -> str:
+    """SQL of ``text`` with its letters and digits permuted within their kinds, one to one whatever the case of letters.
+
+    A Feistel network of two halves: each is shifted, character by character, by a keyed hash of the other.
+    """
+    by = lambda half: f"sha2(concat_ws(':', {_quoted(key)}, {_quoted(kind)}, CAST(i AS STRING), lower({half})), 256)"
+
+    def moved(half: str, other: str) -> str:
+        step = "CAST(conv(substr(h, (j % 31) * 2 + 1, 3), 16, 10) AS INT)"
+        turn = lambda base, size: f"char({base} + pmod(ascii(c) - {base} + {step}, {size}))"
+        case = (
+            f"CASE WHEN c RLIKE '[0-9]' THEN {turn(48, 10)} WHEN c RLIKE '[A-Z]' THEN {turn(65, 26)} WHEN c RLIKE '[a-z]' THEN {turn(97, 26)} "
+            f"WHEN c RLIKE '[\u00e0-\u00f6]' THEN {turn(224, 23)} ELSE c END"
+        )
+        return _with(by(other), "h", f"array_join(transform(split({half}, ''), (c, j) -> {case}), '')")
+
+    odd = f"named_struct('l', {moved('s.l', 's.r')}, 'r', s.r)"
+    even = f"named_struct('l', s.l, 'r', {moved('s.r', 's.l')})"
+    start = "named_struct('l', left(t, length(t) DIV 2), 'r', substr(t, length(t) DIV 2 + 1))"
+    done = f"aggregate(sequence(1, 4), {start}, (s, i) -> IF(i % 2 = 1, {odd}, {even}))"
+    return _with(text, "t", _with(done, "p", "concat(p.l, p.r)"))
+
+
+def _mod97(text: str) -> str:
+    """SQL of the remainder of an account number's text of digits and capital letters (A is 10, B is 11, ...)."""
+    grown = "IF(c RLIKE '[0-9]', (x * 10 + CAST(c AS INT)) % 97, (x * 100 + ascii(c) - 55) % 97)"
+    return f"aggregate(split({text}, ''), 0, (x, c) -> {grown})"
+
+
+def _iban(key: str) -> str:
+    """SQL of the permuted account number of match ``m``: its digits move, its check digits are right, letters stay."""
+    right = f"{_mod97('concat(substr(a, 5), left(a, 4))')} = 1"
+    # behind the check digits: up to 18 digits, and what there is beyond them
+    first, rest = _digits("left(d, least(18, length(d)))", key, "iban"), _digits("substr(d, 19)", key, "iban-rest")
+    digits = _with(_only_digits("substr(a, 5)"), "d", f"concat({first}, IF(length(d) > 19, {rest}, substr(d, 19)))")
+    body = _refill("substr(a, 5)", digits)
+    check = f"lpad(CAST(98 - {_mod97('concat(b, left(a, 2), ' + _quoted('00') + ')')} AS STRING), 2, '0')"
+    number = _with(body, "b", f"concat(left(a, 2), {check}, b)")
+    # blanks stand where they stood
+    place = "length(replace(left(m, i + 1), ' ', ''))"
+    spaced = _with(number, "q2", f"array_join(transform(split(m, ''), (c, i) -> IF(c = ' ', c, substr(q2, {place}, 1))), '')")
+    enough = "length(regexp_replace(substr(a, 5), '[^0-9]', '')) > 3 AND length(a) BETWEEN 15 AND 34"
+    return _with("replace(m, ' ', '')", "a", f"IF({enough} AND {right}, {spaced}, NULL)")
+
+
 def _date(key: str) -> str:
     """SQL of the permuted date of match ``m``, null where it is none."""
 
@@ -129,19 +181,20 @@ def _date(key: str) -> str:
         return _with(read, "d", f"IF(d BETWEEN DATE'1900-01-01' AND DATE'2099-12-31', {out}, NULL)")
 
     y_m_d = moved("try_to_date(w, 'yyyy-MM-dd')", "yyyy-MM-dd")
+    slashed = moved("try_to_date(w, 'yyyy/MM/dd')", "yyyy/MM/dd")
     d_m_y = moved("try_to_date(w, 'dd/MM/yyyy')", "dd/MM/yyyy")
     m_d_y = moved("try_to_date(w, 'MM/dd/yyyy')", "MM/dd/yyyy")
     dots = moved("try_to_date(w, 'dd.MM.yyyy')", "dd.MM.yyyy")
     # w: two digits of day and month; where m has fewer, the result has no leading zeros
     wide = f"IF(length(m) = 10, m, regexp_replace(m, {_quoted(r'\b(\d)\b')}, '0$1'))"
-    out = _with(wide, "w", f"CASE WHEN w LIKE '____-%' THEN {y_m_d} WHEN w LIKE '__/%' THEN coalesce({d_m_y}, {m_d_y}) ELSE {dots} END")
+    out = _with(wide, "w", f"CASE WHEN w LIKE '____-%' THEN {y_m_d} WHEN w LIKE '____/%' THEN {slashed} WHEN w LIKE '__/%' THEN coalesce({d_m_y}, {m_d_y}) ELSE {dots} END")
     return _with(out, "o", f"IF(length(m) = 10, o, regexp_replace(o, {_quoted(r'\b0')}, ''))")
 
 
 def pseudonym(key: str) -> str:
     """SQL of the replacement of match ``m``; null where it fails its check."""
-    email = f"concat({_shifted(_part(1, '^(.*)@'), key, 'email')}, {_part(1, '(@.*)$')})"
-    head = _part(1, r"^(AKIA|[^=:]*[=:]\s*(?:\\?[\"'])?)")
+    email = f"concat({_permuted(_part(1, '^(.*)@'), key, 'email')}, {_part(1, '(@.*)$')})"
+    head = _part(1, r"^(AKIA|gh[pousr]_|github_pat_|xox[abprs]-|sk-|(?i:bearer)[ ]+|[^=:]*[=:]\s*(?:\\?[\"'])?)")
     secret = _with(head, "h", f"concat(h, {_with('substr(m, length(h) + 1)', 'v', _shifted('v', key, 'secret'))})")
     country = _part(1, rf"^({_COUNTRY}|\+\d{{1,3}}(?=[ .(-]))")
     phone = _with(country, "h", f"concat(h, {_with('substr(m, length(h) + 1)', 'v', _refill('v', _digits(_only_digits('v'), key, 'phone')))})")
@@ -158,7 +211,7 @@ def pseudonym(key: str) -> str:
     checked = _with(body, "b", f"concat(b, CAST(pmod(-{open_sum}, 10) AS STRING))")
     card = _with(_only_digits("m"), "n", f"IF({_luhn('n')} % 10 = 0 AND NOT n RLIKE '^(.)\\\\1*$', {_refill('m', checked)}, NULL)")
     is_ = lambda kind: f"m RLIKE {_quoted('^(?:' + PATTERNS[kind] + ')$')}"
-    cases = {"email": email, "secret": secret, "phone": phone, "ip": ip, "date": _date(key), "ssn": ssn, "card": card}
+    cases = {"email": email, "secret": secret, "iban": _iban(key), "phone": phone, "ip": ip, "date": _date(key), "ssn": ssn, "card": card}
     return "CASE " + " ".join(f"WHEN {is_(k)} THEN {v}" for k, v in cases.items()) + " END"
 
 
