@@ -61,6 +61,8 @@ NEGATED, REPORTED, AIMED, THREATENING = 0.4, 0.6, 1.25, 6.0
 PRIOR = np.array([-4.0, 0.0, 0.3, 2.0, 1.0])
 
 _CLAUSE_END = re.compile(r"[.!?;\n]")
+#: What opens a quotation: the quotes that only open, and a straight one behind a blank or at the beginning.
+_OPENING = re.compile(r"[\u201c\u201e\u00ab\u2018]|(?:^|(?<=[\s(:,]))[\"']", re.MULTILINE)
 _WORD = re.compile(r"[^\W\d_]+")
 
 State = tuple[int, int, int, bool]
@@ -95,6 +97,10 @@ START: State = (0, 0, 0, False)
 _TABLE = compose()
 
 
+#: An opening quote has the effect of a verb of speaking, and takes no place.
+_QUOTED = {state: (*state[:3], True) for state, _ in _TABLE}
+
+
 @dataclass(frozen=True)
 class Model:
     """Learned units (word or beginning, True for a beginning, weight) and the logistic curve."""
@@ -141,11 +147,16 @@ def features(text: str | None, automaton: ahocorasick.Automaton) -> np.ndarray:
     text = (text or "").lower()
     state, at, clause, best, total = START, 0, 0.0, 0.0, 0.0
     for start, end, symbol, weight in symbols(text, automaton):
-        if _CLAUSE_END.search(text, at, start):
-            best, state, clause = max(best, clause), START, 0.0
+        ended = None
+        for ended in _CLAUSE_END.finditer(text, at, start):
+            pass
+        if ended:
+            best, state, clause, at = max(best, clause), START, 0.0, ended.end()
         else:
             for _ in range(min(4, max(0, text.count(" ", at, start) - 1))):
                 state = _TABLE[state, OTHER][0]
+        if _OPENING.search(text, at, start):
+            state = _QUOTED[state]
         state, factor, added = _TABLE[state, symbol]
         gain = factor * weight + added
         clause += gain
@@ -155,7 +166,7 @@ def features(text: str | None, automaton: ahocorasick.Automaton) -> np.ndarray:
     return np.array([1.0, math.log1p(total), min(max(best, clause), 30.0) / 10, total / math.sqrt(words) / 3, min(total * 100 / words, 40) / 10])
 
 
-def learn_units(sample: DataFrame, counts: tuple[int, int]) -> tuple[tuple[str, bool, float], ...]:
+def learn_units(sample: DataFrame, counts: tuple[int, int], most: int = MAX_UNITS) -> tuple[tuple[str, bool, float], ...]:
     """Words and word beginnings that mark toxic rows of the sample (label, text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +190,7 @@ def learn_units(sample: DataFrame, counts: tuple[int, int]) -> tuple[tuple[str,
     units = units.groupBy("unit").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where(t >= MIN_ROWS)
     units = units.withColumn("w", weight).withColumn("z", weight / F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)))
     units = units.where((F.col("w") >= MIN_WEIGHT) & (F.col("z") >= MIN_ERRORS))
-    best = units.orderBy(F.desc("z"), "unit").limit(MAX_UNITS).collect()
+    best = units.orderBy(F.desc("z"), "unit").limit(most).collect()
     return tuple((r["unit"].rstrip("$"), not r["unit"].endswith("$"), float(min(r["w"], 2 * BASE_WEIGHT))) for r in best)
 
 
@@ -203,14 +214,14 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
     return beta
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_units: int = MAX_UNITS) -> Model:
     """Learn from rows whose crc32(doc_id as text) mod 4 is not 2."""
     ids, counts = labelled(labels, "toxic", 4, 2, per_class)
     sample = texts_of(docs, ids).select("label", "text")
     taken = tuple(min(counts[k], per_class) for k in (0, 1))
     if not all(taken):
         return Model((), tuple(PRIOR))
-    units = learn_units(sample, taken)
+    units = learn_units(sample, taken, most_units)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = lexicon(units)

@@ -39,6 +39,15 @@ def test_grammar():
     assert total("idiotic") == 0 and total("IDIOT!") == total("idiot")
 
 
+def test_quotations_lower_a_clause():
+    plain = total("the idiot left")
+    for text in ['the "idiot" left', "the “idiot” left", "the «idiot» left", '"idiot left', "he, 'the idiot', left"]:
+        assert 0 < total(text) < plain, text
+    # a quote that closes, one inside a word, and one in another clause do not
+    for text in ['the 5" idiot left', "don't idiot left", 'she "left". the idiot left']:
+        assert total(text) == plain, text
+
+
 def test_grammar_reach():
     text = "not one two three four idiot"
     assert total(text) == total("one idiot") and total("not one idiot") < total("one idiot")
