@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 # Points of a finding by severity.
 SEVERITY_WEIGHTS = {"alto": 20, "medio": 10, "bajo": 5}
 
-# Priority that stands for a severity when no model has answered.
-SEVERITY_PRIORITY = {"alto": "high", "medio": "medium", "bajo": "low"}
-
 
 def lookup(code: Column, table: dict, strict: bool = False) -> Column:
     """A small fixed table as one CASE; an unknown code is NULL, or an error when strict."""
@@ -52,10 +49,6 @@ def weight_of(severity: Column) -> Column:
     return lookup(severity, SEVERITY_WEIGHTS).cast("bigint")
 
 
-def priority_of(severity: Column) -> Column:
-    return lookup(severity, SEVERITY_PRIORITY)
-
-
 def capped_score(raw: Column) -> Column:
     return F.least(F.lit(100).cast("bigint"), F.greatest(F.lit(0).cast("bigint"), raw))
 

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import re
 
-from prevuelo.functions import wording
-from prevuelo.operators import report
 from workload import queries as Q
+from workload import texts as T
 from workload import views as V
 from workload.views import View
 
@@ -130,10 +129,10 @@ findings AS (
   SELECT dataset_id, rule_pos, column_pos,
     CASE category WHEN 'duplicates' THEN 'duplicates-exact' ELSE category || '-' || column_name END AS finding_id,
     category, CASE WHEN p >= 20 THEN 'alto' WHEN p >= 5 THEN 'medio' ELSE 'bajo' END AS severity,
-    {choose('category', wording.DESCRIPTION, **parts)} AS description, n AS count,
+    {choose('category', T.DESCRIPTION, **parts)} AS description, n AS count,
     floor(p * 10 + 0.5) / 10 AS percentage,
-    {choose('category', wording.EXPLANATION, **parts)} AS rule_based_explanation,
-    {choose('category', wording.ACTION, **parts)} AS recommended_action, column_name AS affected_columns
+    {choose('category', T.EXPLANATION, **parts)} AS rule_based_explanation,
+    {choose('category', T.ACTION, **parts)} AS recommended_action, column_name AS affected_columns
   FROM shares)"""
 
 
@@ -165,7 +164,7 @@ candidates AS (
     CASE WHEN k = 'strong' THEN CASE WHEN m = 0 THEN 'alta' ELSE 'media' END
       WHEN k = 'secondary' THEN CASE WHEN m = 0 THEN 'media' ELSE 'baja' END
       WHEN u = 100 AND m = 0 THEN 'alta' WHEN k = 'primary_key' OR u >= 98 THEN 'media' ELSE 'baja' END AS confidence,
-    {choose('k', wording.REASONING, **texts)} AS reasoning, false AS confirmed
+    {choose('k', T.REASONING, **texts)} AS reasoning, false AS confirmed
   FROM kinds WHERE k IS NOT NULL)"""
 
 
@@ -225,7 +224,7 @@ SELECT dataset_id, regexp_replace({request}, '("percentage":[0-9]+)\\.0([,}}])',
 def prompts(*views: View) -> str:
     names = "array_to_string(list_transform(names, lambda x: regexp_replace(x, '[^a-zA-Z0-9-]', '', 'g')), ', ')"
     prompt = fill(
-        wording.PROMPT,
+        T.PROMPT,
         finding_count="finding_count",
         finding_ids="coalesce(to_json(ids)::VARCHAR, '[]')",
         risk_level="risk_level",
@@ -247,8 +246,8 @@ SELECT dataset_id, rule_pos, column_pos, finding_id, rule_based_explanation AS c
 
 
 def merged(view: View) -> str:
-    impact = fill(wording.FALLBACK_IMPACT, finding_id="finding_id")
-    context = fill(wording.FALLBACK_CONTEXT, category="category", count="count")
+    impact = fill(T.FALLBACK_IMPACT, finding_id="finding_id")
+    context = fill(T.FALLBACK_CONTEXT, category="category", count="count")
     return f"""{findings(view)},
 numbered AS (SELECT *, substr(dataset_id, 10)::INT % 4 IN (2, 3) AS answered FROM findings)
 SELECT dataset_id, rule_pos, column_pos, finding_id,
@@ -314,18 +313,18 @@ def documents(view: View, confirmed: bool = True) -> str:
     """Whole Markdown reports, every candidate confirmed or none."""
     nl = "chr(10)"
     label = lambda code, labels: f"CASE {code} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.items()) + " END"
-    severity = label("severity", wording.SEVERITY_LABEL)
+    severity = label("severity", T.SEVERITY_LABEL)
 
     def block(*lines: str) -> str:
         return f" || {nl} || ".join(f"({line})" for line in lines)
 
     profile = (
-        f"'| ' || {cell('column_name')} || ' | ' || {label('inferred_type', wording.TYPE_LABEL)} || ' | ' || null_count"
+        f"'| ' || {cell('column_name')} || ' | ' || {label('inferred_type', T.TYPE_LABEL)} || ' | ' || null_count"
         " || ' | ' || empty_count || ' | ' || unique_count || ' | ' || coalesce(shown, '—') || ' |'"
     )
     finding = block(
         f"'### ' || {markdown('description')}", "''", f"'- **Severidad:** ' || {severity}",
-        f"'- **Categoría:** ' || {label('category', wording.CATEGORY_LABEL)}", "'- **Cantidad:** ' || count",
+        f"'- **Categoría:** ' || {label('category', T.CATEGORY_LABEL)}", "'- **Cantidad:** ' || count",
         f"'- **Porcentaje:** ' || {one_decimal('percentage')} || '%'"
         f" || coalesce({nl} || '- **Columnas afectadas:** ' || {markdown('affected_columns')}, '')",
         "''", "'**Explicación basada en reglas:**'", "''", markdown("rule_based_explanation"), "''",
@@ -333,24 +332,24 @@ def documents(view: View, confirmed: bool = True) -> str:
     )
     candidate = block(
         f"'### ' || {markdown('column_name')}", "''",
-        f"'- **Tipo:** ' || {label('candidate_type', wording.CANDIDATE_LABEL)}",
-        f"'- **Confianza:** ' || {label('confidence', wording.CONFIDENCE_LABEL)}",
+        f"'- **Tipo:** ' || {label('candidate_type', T.CANDIDATE_LABEL)}",
+        f"'- **Confianza:** ' || {label('confidence', T.CONFIDENCE_LABEL)}",
         f"'- **Razonamiento:** ' || {markdown('reasoning')}", "''",
     )
     quoted = lambda lines: [f"'{line}'" for line in lines]
     document = block(
-        f"'# {report.TITLE}'", "''", "'## Información del análisis'", "''",
-        f"'- **Archivo analizado:** ' || {markdown('dataset_id')}", *quoted(report.MODE_LINES), "''",
+        f"'# {T.TITLE}'", "''", "'## Información del análisis'", "''",
+        f"'- **Archivo analizado:** ' || {markdown('dataset_id')}", *quoted(T.MODE_LINES), "''",
         "'## Resumen de estructura'", "''", "'- **Filas:** ' || row_count", "'- **Columnas:** ' || column_count", "''",
-        "'## Perfil de columnas'", "''", *quoted(report.PROFILE_HEAD), "profile_lines", "''",
+        "'## Perfil de columnas'", "''", *quoted(T.PROFILE_HEAD), "profile_lines", "''",
         "'## Puntaje de riesgo'", "''", "'- **Puntaje total:** ' || total || ' / 100'",
         "'- **Puntaje bruto (sin límite):** ' || raw_total", "''",
-        f"CASE WHEN hits IS NULL THEN '' ELSE {block(*quoted(['### Desglose', '', *report.BREAKDOWN_HEAD]), 'breakdown_lines', chr(39) * 2)} END",
+        f"CASE WHEN hits IS NULL THEN '' ELSE {block(*quoted(['### Desglose', '', *T.BREAKDOWN_HEAD]), 'breakdown_lines', chr(39) * 2)} END",
         "'## Hallazgos detectados'", "''",
-        f"CASE WHEN hits IS NULL THEN '{report.NO_FINDINGS}' ELSE "
+        f"CASE WHEN hits IS NULL THEN '{T.NO_FINDINGS}' ELSE "
         + block("'Se detectaron **' || hits || '** hallazgos:'", "''", "finding_blocks") + " END",
         "''", "'## Columnas candidatas confirmadas'", "''",
-        f"coalesce(candidate_blocks, '{report.NO_CONFIRMED}')", "''", "'---'", "''", f"'{report.CLOSING}'", "''",
+        f"coalesce(candidate_blocks, '{T.NO_CONFIRMED}')", "''", "'---'", "''", f"'{T.CLOSING}'", "''",
     )
     return f"""{scores(view)},{_candidates_cte()},
 firsts AS (SELECT ds, pos, v, min(spot) AS first_pos FROM coded WHERE kind NOT IN ('missing', 'empty') GROUP BY ds, pos, v),
@@ -499,7 +498,7 @@ SELECT dataset_id, row_number() OVER (PARTITION BY dataset_id ORDER BY {_LISTING
 FROM candidates""",
     "candidate_evidence": f"""{candidates(*V.ALL_TABLES)}
 SELECT dataset_id, count(column_name) AS candidate_count, count(column_name) = 0 AS insufficient_evidence,
-  CASE WHEN count(column_name) = 0 THEN '{wording.NO_CANDIDATES}' END AS message
+  CASE WHEN count(column_name) = 0 THEN '{T.NO_CANDIDATES}' END AS message
 FROM totals LEFT JOIN candidates USING (dataset_id) GROUP BY dataset_id""",
     "candidate_decisions": f"""{candidates(*V.ALL_TABLES)}
 SELECT dataset_id, column_name, candidate_type, confidence, true AS confirmed FROM candidates
@@ -527,8 +526,8 @@ EXCEPT SELECT dataset_id, finding_id FROM findings""",
   regexp_replace(substr(url, 1, 128), '[^a-zA-Z0-9-]', '', 'g') AS safe_name FROM pages""",
     "file_admission": f"""SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'extension' WHEN page_id % 7 = 0 THEN 'empty'
     WHEN strlen(html) > 2048 THEN 'too_big' ELSE 'admitted' END AS status,
-  CASE WHEN page_id % 4 = 0 THEN '{wording.EXTENSION_ERROR}' WHEN page_id % 7 = 0 THEN '{wording.EMPTY_FILE_ERROR}'
-    WHEN strlen(html) > 2048 THEN '{wording.SIZE_ERROR.format(limit='0.001953125')}' END AS error FROM pages""",
+  CASE WHEN page_id % 4 = 0 THEN '{T.EXTENSION_ERROR}' WHEN page_id % 7 = 0 THEN '{T.EMPTY_FILE_ERROR}'
+    WHEN strlen(html) > 2048 THEN '{T.SIZE_ERROR.format(limit='0.001953125')}' END AS error FROM pages""",
     "csv_profile": _profile(_csv_view()),
     "csv_separators": _profile(_csv_view(lines=Q.WIDE_LINES, header=Q.WIDE_HEADER, sep=";")),
     "csv_long_lines": """SELECT 'orders' AS dataset_id, CASE WHEN o_orderkey % 500 = 2
