@@ -71,3 +71,30 @@ def test_codes_by_first_characters(spark):
     both = spark.createDataFrame([(t,) for t in texts], "v string").selectExpr("v", f"{C.cell_code('v')} AS code", f"{plain} AS expected")
     assert both.filter("code <> expected").collect() == []
     assert both.select("code").distinct().count() == 7
+
+
+def test_rows_are_dealt_without_being_held(many):
+    """Up to 200 tasks the shuffle writes rows as they come; more only where shares would get too large."""
+    assert [M._tasks(n) for n in [0, 1, 30_000_000, 1_500_000_000, 4_000_000_000]] == [1, 1, 30, 200, 500]
+
+
+def test_keys_are_worked_out_before_the_spread(many, monkeypatch):
+    """Once for a row and not once for each of its pairs; and dealt rows are sorted by a number."""
+    assert "keys=[dealt#" in M.measure(many)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(M, "DEALT_CELLS", 0)
+    text = M.measure(many)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("Expand") < text.index("sha2")
+
+
+def test_keys_with_codes(spark):
+    """Codes in front of keys are those of the patterns, whatever the cell; equal keys are equal cells."""
+    rng = random.Random(7)
+    parts = ["2024-01-15", "1", "-", "T", "t", "f", "A", "z", "true", "FALSE", ".", " ", "é", "Ñ", "\n", "\u00a0", "02-30", "x" * 30]
+    texts = [p for p in POOL if p is not None] + ["".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(4000)]
+    texts = sorted({*texts, "A" * 32, "A" * 33, "7" * 32, "7" * 33, "2024-01-15" + " " * 30, "2024-02-30" + " " * 22, "Fals", "falsé"})
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    both = df.selectExpr("v", f"{C.coded_key('v')} AS key", f"{C.cell_code('v')} AS expected", f"{C.key_code(C.cell_key('v'))} AS code")
+    assert both.filter(f"{C.coded_key_code('key')} <> expected OR code <> expected").collect() == []
+    assert both.select("key").distinct().count() == len(texts)
+    assert df.selectExpr(C.cell_key("v")).distinct().count() == len(texts)
+    assert spark.sql(f"SELECT {C.coded_key('CAST(NULL AS STRING)')}").first()[0] is None
